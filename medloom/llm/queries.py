@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medloom.llm import quality, shard
+from medloom.llm import jaccard, langid, mix, quality, shard
 from medloom.llm.common import table
 
 
@@ -20,6 +20,25 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed with source weights 5, 2, 1, repeating, no source beyond 3 times its words."""
+    plan = mix.mix_plan(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
+    taken = (F.col("size") * F.size("copies")).cast("long").alias("taken")
+    return plan.select("doc_id", "size", "source_size", "target", taken)
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by a network learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents with similar shingle sets, over all documents."""
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of all documents under policy prose@1."""
     rows = quality.ledger(table(spark, sf_dir, "documents"))
@@ -32,6 +51,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_shard": op1_shard,
+    "op3_mix": op3_mix,
+    "op5_langid": op5_langid,
+    "op6_jaccard": op6_jaccard,
     "op10_quality": op10_quality,
 }
 
