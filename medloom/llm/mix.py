@@ -22,7 +22,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -60,7 +60,8 @@ def targets(sums: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     whole = W.partitionBy()
     level = (F.sum("source_size").over(whole) - before("cap")) / after
     df = df.withColumn("level", level)
-    fits = F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(whole)
+    ratio = F.col("cap") / F.col("weight")
+    fits = F.min_by("level", F.when(F.col("level") <= ratio, F.struct(ratio, "rank"))).over(whole)
     target = F.least(F.col("weight") * F.coalesce(fits, F.lit(0.0)), "cap")
     return df.select("none", "src", "rank", "source_size", target.alias("target"))
 
@@ -94,6 +95,33 @@ def shard_quotas(sources: DataFrame, shards: int, seed: int) -> DataFrame:
     return chunked.join(caps, "chunk").groupBy("chunk").applyInPandas(_source_ends(seed), "rank int, ends array<long>")
 
 
+def _line(df: DataFrame, where: list[str], starts: DataFrame) -> DataFrame:
+    """Rows with `start`, the words of their source before them, and their source's figures."""
+    inside = W.partitionBy(*where).orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    df = df.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, where)
+    return df.withColumn("start", F.col("start") + F.col("base"))
+
+
+def _inside() -> Column:
+    """Whether a document lies wholly in the last, partial pass."""
+    return F.col("start") + F.col("size") <= F.col("part")
+
+
+def _edges(df: DataFrame, where: list[str], starts: DataFrame) -> DataFrame:
+    """Per source the `filler`: the key of the document beyond the cut that fits the gap before it best, if it helps.
+
+    The document that the cut falls into would leave a gap, or overshoot, by up to its own size.
+    """
+    ends = _line(df, where, starts).groupBy("none", "src").agg(
+        F.max("part").alias("part"), F.max(F.when(_inside(), F.col("start") + F.col("size"))).alias("end")
+    )
+    gaps = stored(ends.select("none", "src", (F.col("part") - F.coalesce("end", F.lit(0))).alias("gap")), "mix-gaps")
+    beyond = _line(df, where, starts.join(gaps, ["none", "src"])).where(~_inside() & (F.col("size") > 0))
+    off = F.abs(F.col("size") - F.col("gap"))
+    best = beyond.groupBy("none", "src").agg(F.min(F.struct(off.alias("off"), "key", "gap")).alias("best"))
+    return best.where("best.off < best.gap").select("none", "src", F.col("best.key").alias("filler"))
+
+
 def mix_plan(
     docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, shards: int = 32, block_words: int = 65_536, seed: int = 3
 ) -> DataFrame:
@@ -117,12 +145,10 @@ def mix_plan(
     sources = sources.join(shard_quotas(sources, shards, seed), "rank")
     before = F.sum("words").over(W.partitionBy("none", "src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     starts = sums.select(*where, F.coalesce(before, F.lit(0)).alias("base")).join(sources, ["none", "src"])
-
-    inside = W.partitionBy(*where).orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
-    df = df.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, where)
-    df = df.withColumn("start", F.col("start") + F.col("base"))
+    edges = _edges(df, where, starts)
+    df = _line(df, where, starts.join(edges, ["none", "src"], "left"))
     passes = F.sequence(F.lit(0).cast("long"), F.col("full"))
-    taken = lambda e: (e < F.col("full")) | (F.col("start") + F.col("size") / 2 < F.col("part"))
+    taken = lambda e: (e < F.col("full")) | _inside() | F.coalesce(F.col("key") == F.col("filler"), F.lit(False))
 
     def dealt(e):
         block = e * F.col("a_pass") + F.floor(F.col("start") / block_words)
