@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medloom.llm import jaccard, langid, mix, quality, shard
+from medloom.llm import jaccard, langid, mix, pack, quality, shard
 from medloom.llm.common import table
 
 
@@ -39,6 +40,11 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
+    return pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of all documents under policy prose@1."""
     rows = quality.ledger(table(spark, sf_dir, "documents"))
@@ -54,6 +60,7 @@ QUERIES = {
     "op3_mix": op3_mix,
     "op5_langid": op5_langid,
     "op6_jaccard": op6_jaccard,
+    "op9_pack": op9_pack,
     "op10_quality": op10_quality,
 }
 
