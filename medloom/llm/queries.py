@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medloom.llm import jaccard, langid, mix, pack, quality, shard
+from medloom.llm import jaccard, langid, mix, pack, quality, shard, warc
 from medloom.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through legacy archives into WARC files, as read back from them."""
+    return warc.archive_pages(table(spark, sf_dir, "pages")).drop("record_id")
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed with source weights 5, 2, 1, repeating, no source beyond 3 times its words."""
     plan = mix.mix_plan(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
@@ -57,6 +62,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_shard": op1_shard,
+    "op2_warc": op2_warc,
     "op3_mix": op3_mix,
     "op5_langid": op5_langid,
     "op6_jaccard": op6_jaccard,
@@ -67,6 +73,19 @@ QUERIES = {
 _FAIL_BITS = " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in quality.RULES)
 
 ORACLES = {
+    "op2_warc": """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT payload_digest, payload_bytes, max(page_id) AS first, count(*) AS many FROM p WHERE payload_bytes >= 1000 GROUP BY ALL
+), r AS (
+  SELECT p.*, g.many > 1 AND g.first IS NOT NULL AND (p.page_id IS NULL OR p.page_id < g.first) AS again, g.first
+  FROM p LEFT JOIN g USING (payload_digest, payload_bytes)
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first END AS refers_to
+FROM r
+""",
     "op10_quality": rf"""
 WITH words AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
