@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medloom.llm import jaccard, langid, mix, pack, quality, shard, warc
+from medloom.llm import ann, jaccard, langid, mix, pack, quality, shard, warc
 from medloom.llm.common import table
 
 
@@ -45,6 +45,12 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all other vectors for every vector whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     return pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -66,6 +72,7 @@ QUERIES = {
     "op3_mix": op3_mix,
     "op5_langid": op5_langid,
     "op6_jaccard": op6_jaccard,
+    "op8_ann": op8_ann,
     "op9_pack": op9_pack,
     "op10_quality": op10_quality,
 }
