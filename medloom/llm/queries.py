@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medloom.llm import ann, jaccard, langid, mix, pack, quality, shard, warc
+from medloom.llm import ann, jaccard, langid, mix, pack, passages, pii, quality, shard, warc
 from medloom.llm.common import table
 
 
@@ -33,6 +33,11 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", taken)
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated paragraphs and passages of all documents: what goes, and which documents keep it."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document by a network learned from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -45,6 +50,16 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: counts and digest of the base spans, and all spans."""
+    rows = pii.find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda i: F.size(F.filter(base, lambda s: s["kind"] == i)).cast("long")
+    many = {f"n_{k}": count(i) for i, k in enumerate(pii.KINDS)}
+    digest = F.sha2(pii.span_text(base).cast("binary"), 256)
+    return rows.select("doc_id", *[v.alias(k) for k, v in many.items()], digest.alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of all other vectors for every vector whose id is divisible by 20."""
     rows = table(spark, sf_dir, "embeddings")
@@ -70,8 +85,10 @@ QUERIES = {
     "op1_shard": op1_shard,
     "op2_warc": op2_warc,
     "op3_mix": op3_mix,
+    "op4_passages": op4_passages,
     "op5_langid": op5_langid,
     "op6_jaccard": op6_jaccard,
+    "op7_pii": op7_pii,
     "op8_ann": op8_ann,
     "op9_pack": op9_pack,
     "op10_quality": op10_quality,
