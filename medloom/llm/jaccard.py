@@ -7,8 +7,8 @@ Two documents link when their sets of 5-word shingles have a Jaccard similarity
 2. Order shingles by (class, hash), the rare ones first. Sets that link share a shingle among the first
    n - ceil(3n/4) + 1 of both. A shingle that one document has alone takes a place there but finds nobody, so only the
    others become keys; most documents have none.
-3. Equal sets are one node. Nodes that share a key and stand next to each other by size are compared, which joins whole
-   groups of near copies by a chain instead of by all pairs; the components so far are known then.
+3. Equal sets are one node. Nodes next to each other under a key are compared, in an order that changes from round to
+   round, which joins whole groups of near copies by chains instead of by all pairs.
 4. Under each key, in order of size, tiles of nodes from different components are compared by bitmaps: with d differing
    bits two sets share at most (a + b - d) / 2 shingles. What the bound does not exclude is intersected exactly.
 
@@ -39,7 +39,10 @@ from medloom.llm.shingles import shingles
 
 #: Slots of the class table, two bits each (16 MB); shingles gathered before a task hands them on; shingles that a
 #: reducing group should hold; nodes in a tile; bits of a bitmap.
-SLOT_BITS, FLUSH, GROUP, TILE, BITMAP = 26, 2_000_000, 2_000_000, 512, 1024
+SLOT_BITS, FLUSH, GROUP, TILE, BITMAP = 26, 2_000_000, 2_000_000, 128, 2048
+#: Pairs that a task gathers before it hands on the distinct ones; neighbours compared in later rounds; open pairs a row
+#: that the last step may compare; rounds.
+HELD, REACH, FEW, MOST_ROUNDS = 1_000_000, 3, 0.5, 16
 CLASSES = (2, 16, 256)
 
 
@@ -66,12 +69,12 @@ def _flushed(parts: list[np.ndarray], bits: int) -> pa.RecordBatch:
     })
 
 
-def _gather(bits: int):
+def _gather(bits: int, values):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()):
-                parts.append(shingles(text.as_py()))
+                parts.append(values(text.as_py()))
                 held += len(parts[-1])
                 if held >= FLUSH:
                     yield _flushed(parts, bits)
@@ -101,11 +104,11 @@ def _classed(bits: int):
     return run
 
 
-def class_table(docs: DataFrame, text_col: str = "text") -> bytes:
-    """The packed frequency classes of all shingles of all documents; 16 MB at any size of the input."""
+def class_table(docs: DataFrame, text_col: str = "text", values=shingles) -> bytes:
+    """The packed frequency classes of all hashes that `values` gives for all texts; 16 MB at any size of the input."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     bits = min(SLOT_BITS - 4, max(6, math.ceil(math.log2(max(1, size / 6 / GROUP)))))
-    parts = docs.select(text_col).mapInArrow(_gather(bits), "part long, low binary, n binary")
+    parts = docs.select(text_col).mapInArrow(_gather(bits, values), "part long, low binary, n binary")
     rows = parts.groupBy("part").applyInPandas(_classed(bits), "part long, packed binary")
     width = (1 << (SLOT_BITS - bits)) // 4
     whole = bytearray(1 << (SLOT_BITS - 2))
@@ -117,11 +120,16 @@ def class_table(docs: DataFrame, text_col: str = "text") -> bytes:
 # --- 2. keys --------------------------------------------------------------------------------------------------------
 
 
+def classes_of(table: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The frequency classes of hashes."""
+    slot = s >> np.uint64(64 - SLOT_BITS)
+    return (table[slot >> np.uint64(2)] >> ((slot & np.uint64(3)) << np.uint64(1)).astype(np.uint8)) & 3
+
+
 def _keys(table: np.ndarray, s: np.ndarray) -> np.ndarray:
     """The shingles of a set under which it looks for others."""
     first = len(s) - -(-3 * len(s) // 4) + 1
-    slot = s >> np.uint64(64 - SLOT_BITS)
-    kind = (table[slot >> np.uint64(2)] >> ((slot & np.uint64(3)) << np.uint64(1)).astype(np.uint8)) & 3
+    kind = classes_of(table, s)
     alone = np.count_nonzero(kind == 0)
     if alone >= first:
         return s[:0]
@@ -129,7 +137,7 @@ def _keys(table: np.ndarray, s: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, kind))[: first - alone]]
 
 
-def _bitmap(s: np.ndarray) -> bytes:
+def bitmap(s: np.ndarray) -> bytes:
     bits = np.zeros(BITMAP, np.uint8)
     bits[(s & np.uint64(BITMAP - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
@@ -148,7 +156,7 @@ def _documents(table):
                 nodes.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63) if len(s) else None)
                 keys.append(own.view(np.int64) if len(own) else None)
                 sets.append(raw if len(own) else None)
-                maps.append(_bitmap(s) if len(own) else None)
+                maps.append(bitmap(s) if len(own) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
                  pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(maps, pa.binary())],
@@ -178,41 +186,91 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.empty((2, 0), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["a", "b"])
+class _Pairs:
+    """Distinct pairs of nodes, handed on before they grow beyond HELD."""
 
+    def __init__(self) -> None:
+        self.left, self.right, self.held = [], [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.left.append(np.minimum(a, b))
+        self.right.append(np.maximum(a, b))
+        self.held += len(a)
+        if self.held > HELD:
+            self.left, self.right = ([x] for x in self._distinct())
+            self.held = len(self.left[0])
+
+    def _distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (self.left, self.right))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return a[new], b[new]
+
+    def full(self) -> bool:
+        return self.held > HELD // 2
+
+    def batch(self) -> pa.RecordBatch:
+        a, b = self._distinct()
+        self.__init__()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes next to each other under a key, in order of size, that are not too different in size."""
-    for pdf in _runs(batches):
-        key, node, n = (pdf[c].to_numpy() for c in ("key", "node", "n"))
-        near = (key[1:] == key[:-1]) & (4 * n[:-1] >= 3 * n[1:]) & (node[1:] != node[:-1])
-        yield _pairs(node[:-1][near], node[1:][near])
+
+def _neighbours(reach: int):
+    """Nodes of different components at most `reach` rows apart under a key that are not too different in size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, last = _Pairs(), None
+        for batch in batches:
+            now = [batch.column(c).to_numpy() for c in ("key", "node", "n", "root")]
+            kept = 0 if last is None else len(last[0])
+            key, node, n, root = now if last is None else (np.append(x, y) for x, y in zip(last, now, strict=True))
+            last = [x[-reach:] for x in (key, node, n, root)]
+            for d in range(1, reach + 1):
+                a, b = n[:-d], n[d:]
+                near = (key[d:] == key[:-d]) & (root[d:] != root[:-d]) & (4 * np.minimum(a, b) >= 3 * np.maximum(a, b))
+                near[: max(0, kept - d)] = False  # both were in the batch before
+                found.add(node[:-d][near], node[d:][near])
+            if found.full():
+                yield found.batch()
+        yield found.batch()
+
+    return run
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes of different components under a key whose bitmaps do not exclude a link, tile by tile in order of size."""
+    """Nodes of different components under a key whose bitmaps do not exclude a link, tile by tile in order of size.
+
+    A pair is named under the smallest key that both nodes have, so once.
+    """
+    found = _Pairs()
     for pdf in _runs(batches):
         key, node, n, root = (pdf[c].to_numpy() for c in ("key", "node", "n", "root"))
         bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), -1)
         cuts = np.append(np.flatnonzero(np.diff(key, prepend=key[0] - 1)), len(key))
-        left, right = [], []
+        own = pdf["own"].to_numpy()
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            before = [frozenset(x[x < key[i]].tolist()) for x in own[i:j]]
             for at in range(i, j, TILE):
                 x = slice(at, min(at + TILE, j))
                 for other in range(at, j, TILE):
                     if 4 * n[x][-1] < 3 * n[other]:
                         break  # all later tiles hold larger sets
                     y = slice(other, min(other + TILE, j))
+                    apart = root[x][:, None] != root[y][None, :]
+                    if not apart.any():
+                        continue
                     differ = np.bitwise_count(bits[x][:, None, :] ^ bits[y][None, :, :]).sum(2, dtype=np.int64)
                     a, b = n[x][:, None], n[y][None, :]
                     most = np.minimum((a + b - differ) // 2, np.minimum(a, b))
-                    p, q = np.nonzero((most >= needed(a, b)) & (root[x][:, None] != root[y][None, :]))
-                    left.append(node[x][p])
-                    right.append(node[y][q])
-        if left:
-            yield _pairs(np.concatenate(left), np.concatenate(right))
+                    p, q = np.nonzero((most >= needed(a, b)) & apart)
+                    new = [before[at - i + v].isdisjoint(before[other - i + w]) for v, w in zip(p, q, strict=True)]
+                    p, q = p[new], q[new]
+                    found.add(node[x][p], node[y][q])
+                    if found.full():
+                        yield found.batch()
+    yield found.batch()
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,6 +292,61 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(_linked, "a long, b long")
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The component of every node (node, root) once the links (a, b) between nodes hold as well."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    ends = links.join(of("a"), "a").join(of("b"), "b")
+    above = components(ends, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return stored(roots.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "shingle-roots")
+
+
+def _open_rows(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows under keys that hold nodes of several components."""
+    known = keyed.join(roots, "node")
+    several = known.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    return stored(known.join(several, "key").select("key", "node", "n", "root"), "shingle-open")
+
+
+def _different_keys(keyed: DataFrame) -> DataFrame:
+    """The rows under keys with two nodes or more, of keys with the same nodes only the smallest."""
+    mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "node"))
+    lists = keyed.groupBy("key").agg(F.count("*").alias("c"), mark(1).alias("x"), mark(2).alias("y")).where("c > 1")
+    kept = lists.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return stored(keyed.join(kept, "key", "left_semi"), "shingle-keys")
+
+
+def _open_pairs(rows: DataFrame) -> tuple[float, int]:
+    """Pairs of rows under the same key in different components, and rows."""
+    each = rows.groupBy("key", "root").agg(F.count("*").cast("double").alias("c"))
+    keys = each.groupBy("key").agg(F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    pairs, total = keys.agg(F.sum((F.col("g") * F.col("g") - F.col("q")) / 2), F.sum("g")).first()
+    return pairs or 0.0, int(total or 0)
+
+
+def components_of(nodes: DataFrame) -> DataFrame:
+    """(node, root) of all nodes.
+
+    Round 0 compares neighbours by size under each key, later rounds neighbours in an order that changes from round to
+    round, and only across components. A group of near copies grows together in a few rounds, at one pair a node and
+    round. When few open pairs are left, or a round finds hardly any link, all that are still open are compared.
+    """
+    keyed = _different_keys(nodes.select(F.explode("keys").alias("key"), "node", "n"))
+    roots = nodes.select("node", F.col("node").alias("root"))
+    rows, order = keyed.withColumn("root", F.col("node")), F.col("n")
+    for turn in range(1, MOST_ROUNDS + 1):
+        spread = rows.repartition("key").sortWithinPartitions("key", order, "node")
+        near = spread.mapInArrow(_neighbours(1 if turn == 1 else REACH), "a long, b long")
+        links = stored(verified(near, nodes), "shingle-links")
+        roots = _merged(roots, links)
+        rows, order = _open_rows(keyed, roots), F.xxhash64(F.lit(turn), "node")
+        pairs, total = _open_pairs(rows)
+        if pairs <= FEW * total or (turn > 1 and links.count() < total / 100):
+            break
+    known = rows.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("own")).join(nodes.select("node", "bits"), "node")
+    spread = rows.join(known, "node").repartition("key").sortWithinPartitions("key", "n", "node")
+    return _merged(roots, verified(spread.select("key", "node", "n", "root", "bits", "own").mapInArrow(_tiles, "a long, b long"), nodes))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
@@ -242,18 +355,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = f"doc_id {kind}, n long, node long, keys array<long>, shingles binary, bits binary"
     sets = stored(docs.select(id_col, text_col).mapInArrow(_documents(classes), schema), "shingle-sets")
     nodes = stored(sets.where("keys is not null").drop("doc_id").dropDuplicates(["node"]), "shingle-nodes")
-    spread = lambda df: df.repartition("key").sortWithinPartitions("key", "n", "node")
-
-    keyed = nodes.select(F.explode("keys").alias("key"), "node", "n")
-    chained = spread(keyed).mapInArrow(_neighbours, "a long, b long")
-    links = stored(verified(chained, nodes), "shingle-links")
-    roots = stored(components(links, "a", "b"), "shingle-roots")
-
-    known = keyed.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = known.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    open_keys = known.join(mixed, "key").join(nodes.select("node", "n", "bits"), "node").select("key", "node", "n", "root", "bits")
-    more = verified(spread(open_keys).mapInArrow(_tiles, "a long, b long"), nodes)
-    roots = components(links.union(stored(more, "shingle-links")), "a", "b")
+    roots = components_of(nodes)
 
     first = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     grouped = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
