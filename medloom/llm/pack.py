@@ -8,7 +8,7 @@ A pattern found so is repeated as often as the histogram allows. Pieces get thei
 their length; ranks are two-level (counts per length and bucket, then inside the bucket), so no length meets in one task.
 
 The tokenizer drops white space and never joins across it, so the ids of a text are those of its words. Each worker keeps
-the ids of words that it has met, in a table that is emptied when it grows beyond TABLE_WORDS.
+the ids of words that it has met, in a table that keeps the first half when it grows beyond TABLE_WORDS.
 
 Cases: a null or empty text is the end id alone; ids of documents may be null or repeated, and equal rows are packed
 each for itself; an empty table gives no rows; other columns are ignored.
@@ -17,9 +17,12 @@ each for itself; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +32,32 @@ from pyspark.sql import Window as W
 
 from medloom.llm.common import stored
 
-CAPACITY, END_ID, TABLE_WORDS, BUCKET_ROWS = 4096, 1, 800_000, 4096
+CAPACITY, END_ID, TABLE_WORDS, ROWS, BUCKET_ROWS = 4096, 1, 400_000, 1000, 4096
 PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
 # --- token ids ------------------------------------------------------------------------------------------------------
 
 
+# What of UTF-8 the tokenizer's rules for words rest on. Letters are ASCII or Latin-1 ones; signs are ASCII's.
+_LETTERS = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+_SIGN = rb"[!-/:-@\[-`{-~]"
+#: Signs after a letter or digit, up to the next white space: a piece of their own for the tokenizer.
+_TAIL = re.compile(
+    rb"(" + _SIGN + rb"(?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))" + _SIGN + rb"*)(?=[ \t-\r]|\Z)", re.DOTALL
+)
+_ONE_PIECE = re.compile(_LETTERS)
+#: Leading bytes of combining marks, and how special tokens begin: lower-casing these first may give other ids.
+_DELICATE = (b"\xcc", b"\xcd", b"<|")
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Words whose ids, one after the other, are the text's: signs that end a word stand apart, A-Z are lower-cased."""
+    if any(x in text for x in _DELICATE):
+        return text.split()
+    return _TAIL.sub(rb" \1", text.lower()).split()
+
+
 class TokenTable(dict):
     """Token ids of words: word -> row, with ids[starts[row]:][:lens[row]]."""
 
@@ -45,39 +67,55 @@ class TokenTable(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.waiting: list[bytes] = []
-        self.empty()
+        self.ids, self.used = np.empty(1 << 18, "<u4"), 0
+        self.starts, self.lens = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def empty(self) -> None:
+    def shrink(self, keep: int) -> None:
+        """Forgets all but the words met first, which are the frequent ones."""
+        first = list(islice(self.items(), keep))
         self.clear()
-        self.ids, self.used = np.empty(1 << 20, "<u4"), 0
-        self.starts, self.lens = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.update(first)
+        self.used = int(self.starts[keep - 1] + self.lens[keep - 1])
 
     def __missing__(self, word: bytes) -> int:
         self.waiting.append(word)
         row = self[word] = len(self)
         return row
 
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each word). Words of one piece go through as one text: its word ends tell them apart."""
+        if words and all(map(_ONE_PIECE.fullmatch, words)):
+            ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) == len(words):
+                return ids, np.diff(ends, prepend=-1)
+        each = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+        lens = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter((i for x in each for i in x), "<u4", int(lens.sum())), lens
+
     def learn(self) -> None:
         """Encodes the words that came up since the last call."""
-        if not self.waiting:
-            return
-        new = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in self.waiting], add_special_tokens=False)]
-        lens = np.fromiter(map(len, new), np.int64, len(new))
-        first, total = len(self) - len(new), int(lens.sum())
+        rows = np.arange(len(self) - len(self.waiting), len(self))
         while len(self) > len(self.starts):
             self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        self.starts[first : len(self)] = self.used + np.cumsum(lens) - lens
-        self.lens[first : len(self)] = lens
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in new for i in x), "<u4", total)
-        self.used += total
+        plain = np.fromiter((bool(_ONE_PIECE.fullmatch(w)) for w in self.waiting), bool, len(rows))
+        for some in (plain, ~plain):
+            ids, lens = self._encode([w for w, s in zip(self.waiting, some, strict=True) if s])
+            while self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+            self.starts[rows[some]] = self.used + np.cumsum(lens) - lens
+            self.lens[rows[some]] = lens
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
         self.waiting = []
 
     def rows(self, text: bytes | None) -> np.ndarray:
-        words = text.split() if text else []
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        words = words_of(text) if text else []
+        return np.array(itemgetter(*words)(self), np.int64).reshape(-1) if words else np.empty(0, np.int64)
 
     def encoded(self, rows: np.ndarray) -> np.ndarray:
         lens = self.lens[rows]
@@ -92,9 +130,9 @@ _TABLES: dict[str, TokenTable] = {}
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _TABLES.get(path) or _TABLES.setdefault(path, TokenTable(path))
-        for batch in batches:
+        for batch in (part.slice(at, ROWS) for part in batches for at in range(0, part.num_rows, ROWS)):
             if len(table) > TABLE_WORDS:
-                table.empty()
+                table.shrink(TABLE_WORDS // 2)
             rows = [table.rows(text.as_py()) for text in batch.column(1).cast(pa.binary())]
             table.learn()
             source, piece, start, length, crc, held = [], [], [], [], [], []
