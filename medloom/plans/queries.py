@@ -540,7 +540,7 @@ def search_variants(spark, d):
 
 @query("""SELECT l_orderkey, string_agg(k, '|' ORDER BY i) AS keys FROM (SELECT l_orderkey, k, min(i) AS i FROM (
   SELECT l_orderkey, trim(unnest(string_split(replace(s, ';', ','), ','))) AS k, generate_subscripts(string_split(replace(s, ';', ','), ','), 1) AS i FROM (
-    SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, '; ' ORDER BY l_linenumber, l_partkey) AS s FROM lineitem WHERE l_linenumber > 0 GROUP BY l_orderkey))
+    SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, '; ' ORDER BY l_linenumber, l_partkey, l_returnflag || l_linestatus) AS s FROM lineitem WHERE l_linenumber > 0 GROUP BY l_orderkey))
   WHERE k <> '' GROUP BY ALL) GROUP BY l_orderkey""")
 def split_source_keys(spark, d):
     each = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.concat("l_returnflag", "l_linestatus").alias("s"))))
