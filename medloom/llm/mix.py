@@ -136,7 +136,8 @@ def mix_plan(
     })
     df = df.withColumn("bucket", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long"))
     where = ["none", "src", "bucket"]
-    sums = stored(df.groupBy(*where).agg(F.sum("size").alias("words")), "mix-sums")
+    light = stored(df.select(*where, "key", "doc_id", "size"), "mix-lines")  # so that texts are read twice in all
+    sums = stored(light.groupBy(*where).agg(F.sum("size").alias("words")), "mix-sums")
     part = F.col("target") - F.col("full") * F.col("source_size")
     blocks = lambda words: F.ceil(words / block_words)
     sources = targets(sums, weights, most).withColumn("full", F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)))
@@ -145,7 +146,7 @@ def mix_plan(
     sources = sources.join(shard_quotas(sources, shards, seed), "rank")
     before = F.sum("words").over(W.partitionBy("none", "src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     starts = sums.select(*where, F.coalesce(before, F.lit(0)).alias("base")).join(sources, ["none", "src"])
-    edges = _edges(df, where, starts)
+    edges = _edges(light, where, starts)
     df = _line(df, where, starts.join(edges, ["none", "src"], "left"))
     passes = F.sequence(F.lit(0).cast("long"), F.col("full"))
     taken = lambda e: (e < F.col("full")) | _inside() | F.coalesce(F.col("key") == F.col("filler"), F.lit(False))
