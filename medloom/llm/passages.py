@@ -1,4 +1,4 @@
-"""Substring dedup: paragraph MinHash banding with exact verification, and repeated stretches inside paragraphs.
+"""Substring dedup: paragraph MinHash banding with exact verification, and exact copies of passages inside paragraphs.
 
 A paragraph is a line of at least PARAGRAPH words. Its MinHash signature (BANDS bands of ROWS minima of its 5-word
 shingles) makes it collide with others; at a Jaccard similarity of 0.75 a pair collides with a probability of 0.996.
@@ -6,17 +6,17 @@ Colliding paragraphs are compared exactly, linked from 0.75 on, and clustered by
 that spans several documents the first document by id keeps its paragraphs and the others lose theirs.
 
 Text pasted into a longer line changes that line's shingles too much for this. So every document is also fingerprinted by
-winnowing: of the hashes of its SPAN-word sequences, those that are least in a window of WINDOW. A common stretch of
-SPAN + WINDOW - 1 words or more shares one. Stretches of at least STRETCH words whose fingerprints other documents
-have too go from all but the first; a copied passage of 51 words leaves a stretch of that length, wherever it stands.
+winnowing: of the hashes of its SPAN-word sequences, those that are least among WINDOW neighbours. A common passage of
+SPAN + WINDOW - 1 = 51 words or more, wherever it stands, shares one; the SPAN words of a fingerprint that several
+documents have go from all but the first by id.
 
-Which fingerprints repeat is first decided in a table of fixed size (see jaccard.class_table): only paragraphs and
-stretches that may repeat become rows, and those are then counted exactly. Copies of a third of all documents make skewed
-joins and aggregates with map-side combining, never a collected group.
+Which band keys and fingerprints repeat is first decided in a table of fixed size (see jaccard.class_table): only those
+that may repeat become rows, and these are then counted exactly. Copies of a third of all documents make skewed joins and
+aggregates with map-side combining, never a collected group.
 
 Cases: null and empty texts have no paragraphs; repeated rows and ids are documents of their own; ties go to the smaller
-id, then the earlier place; a null id never keeps a passage that an id keeps; an empty table gives no rows; other
-columns are ignored.
+id, then the earlier row; a null id never keeps a passage that an id keeps; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -33,25 +33,27 @@ from medloom.llm import jaccard
 from medloom.llm.common import stored
 from medloom.llm.shingles import mixed, word_hashes
 
-PARAGRAPH, BANDS, ROWS, SPAN, WINDOW, STRETCH = 50, 10, 3, 12, 5, 43
+PARAGRAPH, BANDS, ROWS, SPAN, WINDOW, BATCH = 50, 10, 3, 43, 9, 500
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _TURNS = np.random.default_rng(4).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_NONE = np.empty(0, np.uint64)
 
 
 def _rolled(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k-word sequences."""
     n = len(words) - k + 1
     if n <= 0:
-        return np.empty(0, np.uint64)
+        return _NONE
     h = np.zeros(n, np.uint64)
     for i in range(k):
-        h = h * np.uint64(0x100000001B3) + words[i : i + n]
+        h *= np.uint64(0x100000001B3)
+        h += words[i : i + n]
     return mixed(h)
 
 
 def fingerprints(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) that winnowing selects from a text's word hashes."""
+    """(places, hashes) that winnowing selects from a text's word hashes; fewer than WINDOW sequences give their least."""
     h = _rolled(words, SPAN)
     if len(h) <= WINDOW:
         at = np.array([int(h.argmin())]) if len(h) else np.empty(0, np.int64)
@@ -63,17 +65,6 @@ def fingerprints(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def _fingerprint_values(text: bytes | None) -> np.ndarray:
-    return np.sort(fingerprints(word_hashes(text))[1]) if text else np.empty(0, np.uint64)
-
-
-def _stretches(at: np.ndarray, repeated: np.ndarray, least: int = STRETCH) -> list[tuple[int, int]]:
-    """Word ranges (first, end) that consecutive repeated fingerprints cover, of at least `least` words."""
-    flags = np.concatenate([[False], repeated, [False]])
-    edge = np.flatnonzero(flags[1:] != flags[:-1]).reshape(-1, 2)
-    return [(int(at[i]), int(at[j - 1]) + SPAN) for i, j in edge if at[j - 1] + SPAN - at[i] >= least]
-
-
 def _bands(s: np.ndarray) -> np.ndarray:
     """The band keys of a shingle set."""
     least = ((s[:, None] * _TURNS[None, :]) >> np.uint64(3)).min(0).reshape(BANDS, ROWS)
@@ -83,75 +74,75 @@ def _bands(s: np.ndarray) -> np.ndarray:
     return keys
 
 
-PARA = "uid long, doc_id {k}, kind int, ord int, place int, first int, last int, words int, node long, n long, keys array<long>, shingles binary, bits binary"
+def _paragraphs(raw: bytes, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first word, end, shingle set, band keys) of each paragraph."""
+    at = 0
+    for line in raw.split(b"\n"):
+        end = at + len(line.split())
+        if end - at >= PARAGRAPH:
+            s = np.unique(_rolled(words[at:end], 5))
+            yield at, end, s, _bands(s)
+        at = end
+
+
+def _values(raw: bytes | None) -> np.ndarray:
+    """What the class table counts of a text: its fingerprints and its paragraphs' band keys, each once."""
+    if not raw:
+        return _NONE
+    words = word_hashes(raw)
+    return np.unique(np.concatenate([fingerprints(words)[1], *[keys for *_, keys in _paragraphs(raw, words)]]))
+
+
+_LINE = "first: int, last: int, node: bigint, n: bigint, keys: array<bigint>, shingles: binary, bits: binary"
+_UNITS = "uid long, doc_id {k}, prints array<long>, first array<int>, last array<int>, lines array<struct<" + _LINE + ">>"
+_LINE_TYPE = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("node", pa.int64()), ("n", pa.int64()),
+                        ("keys", pa.list_(pa.int64())), ("shingles", pa.binary()), ("bits", pa.binary())])
 
 
 def _units(table):
-    """A row for each document (kind -1), and its paragraphs (kind 0) and stretches' fingerprints (kind 1) that may
-    repeat; `ord` counts a document's fingerprints, `first` and `last` are code points."""
+    """Per document the fingerprints and paragraphs that may repeat; first and last are code points."""
+
+    def one(classes: np.ndarray, raw: bytes) -> tuple:
+        words = word_hashes(raw)
+        at, h = fingerprints(words)
+        may = jaccard.classes_of(classes, h) > 0
+        at, h = at[may], h[may]
+        lines = []
+        for a, b, s, keys in _paragraphs(raw, words):
+            keys = keys[jaccard.classes_of(classes, keys) > 0]
+            if len(keys):
+                lines.append((a, b, s, np.unique(keys)))
+        if not len(h) and not lines:
+            return None, None, None, None
+        data = np.frombuffer(raw, np.uint8)
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]])))
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]).astype(np.int32)
+        starts, ends = points[edge[::2]], points[edge[1::2]]
+        kept = []
+        for a, b, s, keys in lines:
+            shingles = s.astype("<u8").tobytes()
+            kept.append({"first": int(starts[a]), "last": int(ends[b - 1]), "node": xxhash.xxh3_64_intdigest(shingles) - (1 << 63), "n": len(s),
+                         "keys": keys.view(np.int64), "shingles": shingles, "bits": jaccard.bitmap(s)})
+        return h.view(np.int64), starts[at], ends[at + SPAN - 1], kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(table.value, np.uint8)
-        for batch in batches:
-            rows: list[tuple] = []
-            for i, text in enumerate(batch.column(2).cast(pa.binary())):
-                rows.append((i, -1, *[None] * 10))
-                raw = text.as_py()
-                words = word_hashes(raw) if raw else np.empty(0, np.uint64)
-                at, h = fingerprints(words)
-                may = jaccard.classes_of(classes, h) > 0
-                if not may.any():
-                    continue
-                data = np.frombuffer(raw, np.uint8)
-                edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]])))
-                starts, ends = edge[::2], edge[1::2]
-                points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]).astype(np.int64)
-                line = np.concatenate([[0], np.cumsum(data == 10)])[starts]
-                cuts = np.append(np.flatnonzero(np.diff(line, prepend=-1)), len(line))
-                seen = np.zeros(len(words) + 1, np.int64)
-                np.add.at(seen, at[may] + 1, 1)
-                seen = np.cumsum(seen)
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    if b - a >= PARAGRAPH and seen[b - SPAN + 1] > seen[a]:
-                        s = np.unique(_rolled(words[a:b], 5))
-                        raw_set = s.astype("<u8").tobytes()
-                        rows.append((i, 0, None, int(a), int(points[starts[a]]), int(points[ends[b - 1]]), int(b - a),
-                                     xxhash.xxh3_64_intdigest(raw_set) - (1 << 63), len(s), _bands(s).view(np.int64), raw_set, jaccard.bitmap(s)))
-                for a, b in _stretches(at, may):
-                    inside = np.flatnonzero((at >= a) & (at + SPAN <= b))
-                    for o, p, v in zip(inside, at[inside], h[inside].view(np.int64), strict=True):
-                        rows.append((i, 1, int(o), int(p), int(points[starts[p]]), int(points[ends[p + SPAN - 1]]), SPAN, int(v), 0, None, None, None))
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(12)]
-            who = pa.array(cols[0], pa.int64())
-            kinds = [pa.int32()] * 6 + [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-            names = ["kind", "ord", "place", "first", "last", "words", "node", "n", "keys", "shingles", "bits"]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(who), batch.column(1).take(who), *(pa.array(list(c), k) for c, k in zip(cols[1:], kinds, strict=True))],
-                names=["uid", "doc_id", *names],
-            )
+        for batch in (part.slice(i, BATCH) for part in batches for i in range(0, part.num_rows, BATCH)):
+            rows = [one(classes, raw) if (raw := text.as_py()) else (None,) * 4 for text in batch.column(2).cast(pa.binary())]
+            kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(_LINE_TYPE)]
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["uid", "doc_id", "prints", "first", "last", "lines"])
 
     return run
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document the removed code point ranges: removed paragraphs, and runs of removed fingerprints."""
+    """Per document the removed code point ranges, merged."""
     for batch in batches:
         texts, chars = [], []
-        for units in batch.column("gone"):
-            spans: list[list[int]] = []
-            run: list = []
-            for u in sorted(units.as_py(), key=lambda u: (u["kind"], u["place"])) + [None]:
-                near = run and u and u["kind"] == 1 and u["ord"] == run[-1]["ord"] + 1
-                if run and not near:
-                    if run[-1]["place"] + SPAN - run[0]["place"] >= STRETCH:
-                        spans.append([run[0]["first"], run[-1]["last"]])
-                    run = []
-                if u and u["kind"] == 1:
-                    run.append(u)
-                elif u:
-                    spans.append([u["first"], u["last"]])
+        for ranges in batch.column("gone"):
             merged: list[list[int]] = []
-            for a, b in sorted(spans):
+            for a, b in sorted((r["first"], r["last"]) for r in ranges.as_py()):
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], b)
                 else:
@@ -159,42 +150,52 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append(",".join(f"{a}:{b}" for a, b in merged))
             chars.append(sum(b - a for a, b in merged))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("uid"), pa.array(texts), pa.array(chars, pa.int64()), batch.column("kept_in")],
-            names=["uid", "spans", "removed_chars", "kept_in"],
+            [batch.column("uid"), pa.array(texts, pa.string()), pa.array(chars, pa.int64())], names=["uid", "spans", "removed_chars"]
         )
 
 
-def _first() -> Column:
-    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "place")).alias("keeper")
+def _shared(units: DataFrame, group: str) -> DataFrame:
+    """Units (group, doc_id, uid, at) of groups that span several documents, with the group's first document."""
+    first: Column = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("keeper")
+    keepers = units.groupBy(group).agg((F.min("uid") < F.max("uid")).alias("several"), first).where("several")
+    return units.join(keepers.select(group, "keeper"), group)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_repeated (its paragraphs and fingerprints that others have too), removed spans, kept_in.
-
-    `spans` holds start:end in code points, comma-joined; `kept_in` the ids of the documents that keep what went.
-    """
+    """Per document: doc_id, n_repeated (its paragraphs and fingerprints that others have too), `spans` (removed start:end
+    in code points, comma-joined), removed_chars, and `kept_in`, the ids of the documents that keep what went."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
-    table = spark.sparkContext.broadcast(jaccard.class_table(docs, "text", _fingerprint_values))
+    docs = docs.select("doc_id", "text")
+    table = spark.sparkContext.broadcast(jaccard.class_table(docs, "text", _values))
     numbered = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
-    units = stored(numbered.mapInArrow(_units(table), PARA.format(k=kind)), "passage-units")
-    lines = units.where("kind = 0")
+    units = stored(numbered.mapInArrow(_units(table), _UNITS.format(k=kind)), "passage-units")
+
+    lines = units.select("uid", "doc_id", F.explode("lines").alias("x")).select("uid", "doc_id", "x.*")
     nodes = stored(lines.select("node", "n", "keys", "shingles", "bits").dropDuplicates(["node"]), "passage-nodes")
     roots = jaccard.components_of(nodes)
-    place = ["uid", "doc_id", "kind", "ord", "place", "first", "last"]
-    grouped = lines.select(*place, "node").join(roots, "node").select(*place, F.col("root").alias("group"))
-    grouped = grouped.union(units.where("kind = 1").select(*place, F.col("node").alias("group")))
-    several = F.min("uid") < F.max("uid")
-    keepers = grouped.groupBy("kind", "group").agg(several.alias("several"), _first()).where("several")
-    hit = grouped.join(keepers, ["kind", "group"])
+    grouped = lines.select("uid", "doc_id", "first", "last", "node").join(roots, "node").select("uid", "doc_id", "first", "last", "root")
+    prints = units.select("uid", "doc_id", F.posexplode("prints").alias("at", "print"))
+
     gone = F.col("uid") != F.col("keeper.uid")
-    unit = F.struct("kind", "ord", "place", "first", "last")
-    per_doc = hit.groupBy("uid").agg(
-        F.count("*").alias("n_repeated"),
-        F.collect_list(F.when(gone, unit)).alias("gone"),
-        F.array_sort(F.collect_set(F.when(gone, F.col("keeper.doc_id")))).alias("kept_in"),
+    hit_lines, hit_prints = _shared(grouped, "root"), _shared(prints, "print")
+    by_line = hit_lines.groupBy("uid").agg(
+        F.count("*").alias("n_lines"), F.collect_list(F.when(gone, F.struct("first", "last"))).alias("gone_lines"),
+        F.collect_set(F.when(gone, F.col("keeper.doc_id"))).alias("line_keepers"),
+    )
+    by_print = hit_prints.groupBy("uid").agg(
+        F.count("*").alias("n_prints"), F.collect_list(F.when(gone, F.col("at"))).alias("gone_prints"),
+        F.collect_set(F.when(gone, F.col("keeper.doc_id"))).alias("print_keepers"),
+    )
+    rows = units.select("uid", "doc_id", "first", "last").join(by_line, "uid", "left").join(by_print, "uid", "left")
+    ranges = F.transform("gone_prints", lambda i: F.struct(F.get("first", i).alias("first"), F.get("last", i).alias("last")))
+    either = lambda a, b, kind: F.concat(F.coalesce(a, F.array().cast(kind)), F.coalesce(b, F.array().cast(kind)))
+    rows = stored(rows.select(
+        "uid", "doc_id", (F.coalesce("n_lines", F.lit(0)) + F.coalesce("n_prints", F.lit(0))).alias("n_repeated"),
+        either(F.col("gone_lines"), ranges, "array<struct<first: int, last: int>>").alias("gone"),
+        F.array_sort(F.array_distinct(either(F.col("line_keepers"), F.col("print_keepers"), f"array<{kind}>"))).alias("kept_in"),
+    ), "passage-hits")
+    spans = rows.where(F.size("gone") > 0).select("uid", "gone").mapInArrow(_spans, "uid long, spans string, removed_chars long")
+    return rows.join(spans, "uid", "left").select(
+        "doc_id", "n_repeated", F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("removed_chars", F.lit(0)).alias("removed_chars"), "kept_in"
     )
-    spans = per_doc.select("uid", "gone", "kept_in").mapInArrow(_spans, f"uid long, spans string, removed_chars long, kept_in array<{kind}>")
-    rows = units.where("kind = -1").select("uid", "doc_id").join(per_doc.select("uid", "n_repeated"), "uid", "left").join(spans, "uid", "left")
-    return rows.select("doc_id", F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"), F.coalesce("spans", F.lit("")).alias("spans"),
-                       F.coalesce("removed_chars", F.lit(0)).alias("removed_chars"), F.coalesce("kept_in", F.array().cast(f"array<{kind}>")).alias("kept_in"))
