@@ -37,9 +37,9 @@ from medloom.llm.cc import components
 from medloom.llm.common import stored
 from medloom.llm.shingles import shingles
 
-#: Slots of the class table, two bits each (16 MB); shingles gathered before a task hands them on; shingles that a
-#: reducing group should hold; nodes in a tile; bits of a bitmap.
-SLOT_BITS, FLUSH, GROUP, TILE, BITMAP = 26, 2_000_000, 2_000_000, 128, 2048
+#: Slots of the class table, two bits each (16 MB); shingles gathered before a task hands them on; documents
+#: handled at a time; shingles that a reducing group should hold; nodes in a tile; bits of a bitmap.
+SLOT_BITS, FLUSH, BATCH, GROUP, TILE, BITMAP = 26, 1_000_000, 1000, 2_000_000, 128, 2048
 #: Pairs that a task gathers before it hands on the distinct ones; neighbours compared in later rounds; open pairs a row
 #: that the last step may compare; rounds.
 HELD, REACH, FEW, MOST_ROUNDS = 1_000_000, 3, 0.5, 16
@@ -146,7 +146,7 @@ def bitmap(s: np.ndarray) -> bytes:
 def _documents(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(table.value, np.uint8)
-        for batch in batches:
+        for batch in (part.slice(i, BATCH) for part in batches for i in range(0, part.num_rows, BATCH)):
             sizes, nodes, keys, sets, maps = [], [], [], [], []
             for text in batch.column(1).cast(pa.binary()):
                 s = shingles(text.as_py())

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words kept in a worker's table of word hashes before it is emptied, which bounds its memory.
-TABLE_WORDS = 500_000
+TABLE_WORDS = 200_000
 
 
 class WordHashes(dict):
