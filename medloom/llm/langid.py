@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 WINDOW, HIDDEN, BLOCK = 96, 8, 2048
+#: Steps of training at least, so that a small sample is passed over more often.
+STEPS = 360
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 Weights = dict[str, np.ndarray]
 
@@ -130,7 +132,9 @@ def train(windows: list[bytes], labels: list[str], seed: int = 5, epochs: int =
     label = np.array([langs.index(x) for x in labels])
     first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     step = 0
-    total = epochs * max(1, -(-len(windows) // batch))
+    each = max(1, -(-len(windows) // batch))
+    epochs = max(epochs, -(-STEPS // each))
+    total = epochs * each
     for _ in range(epochs):
         order = rng.permutation(len(windows))
         for i in range(0, len(order), batch):
