@@ -106,7 +106,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast(LONG),
     })
     names = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words")
-    return _repeat_words(df).select("doc_id", *keep, *names)
+    # The generator keeps a later filter on a measure from being pushed down, which would copy the nested arrays into it.
+    return _repeat_words(df).select("doc_id", *keep, F.inline(F.array(F.struct(*names))))
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
