@@ -134,7 +134,8 @@ def discovered(based: DataFrame, text_col: str = "text") -> DataFrame:
     totals = graph.join(contexts, "context", "left_semi").groupBy("context").agg(F.sum("n").alias("total"))
     edges = graph.where("value is not null").join(totals, "context").groupBy("context", "value", "total").agg(F.sum("n").alias("n"))
     edges = stored(edges, "pii-edges")
-    believed = stored(seeds.withColumn("score", F.lit(1.0)), "pii-believed")
+    sure = seeds.withColumns({"score": F.lit(1.0), "seed": F.lit(True)})
+    believed = stored(sure, "pii-believed")
     for _ in range(ROUNDS):
         links = edges.join(believed, "value")
         patterns = links.groupBy("context", "kind", "total").agg(
@@ -147,8 +148,8 @@ def discovered(based: DataFrame, text_col: str = "text") -> DataFrame:
         fresh = fresh.groupBy("value", "kind").agg((1 - doubt).alias("score"))
         new = fresh.join(seeds, "value", "left_anti").where(F.col("score") >= CONFIDENCE)
         best = new.groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"), F.max("score").alias("score"))
-        believed = stored(seeds.withColumn("score", F.lit(1.0)).unionByName(best), "pii-believed")
-    return believed.where("score < 1.0").select("value", "kind")
+        believed = stored(sure.unionByName(best.withColumn("seed", F.lit(False))), "pii-believed")
+    return believed.where("not seed").select("value", "kind")
 
 
 def find_personal(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

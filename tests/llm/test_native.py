@@ -158,6 +158,14 @@ def test_patterns_discover_and_spare(spark):
         assert [r.text[s.start : s.end] for s in r.spans] == [f"+1 (555) 010-{1000 + r.doc_id}", f"555-010-{7000 + r.doc_id}"]
 
 
+def test_strong_discoveries_stay(spark):
+    """Three patterns near certainty bring the score of an unseen value to 1.0 in a double; it is still no seed."""
+    rows = [f"please {c} +1 (555) 010-{1000 + 100 * k + i} thanks" for k, c in enumerate(("call me", "ring us", "phone at")) for i in range(19)]
+    rows += [f"please {c} 555-010-7000 thanks" for c in ("call me", "ring us", "phone at")]
+    found = pii.find_personal(spark.createDataFrame([*enumerate(rows)], "doc_id long, text string")).collect()
+    assert [[r.text[s.start : s.end] for s in r.spans] for r in found if "7000" in r.text] == [["555-010-7000"]] * 3
+
+
 def test_redaction_and_odd_rows(spark, odd, empty, odd_rows):
     df = spark.createDataFrame([(1, "to a@b.cd from 1.2.3.4!"), (2, None), (3, "plain")], "doc_id long, text string")
     rows = pii.find_personal(df).select("doc_id", pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()
