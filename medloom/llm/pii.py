@@ -1,11 +1,13 @@
 r"""Personal data: exact base patterns, and bootstrapped contextual extraction of what they do not see.
 
 The base finds e-mail addresses, IP addresses, card numbers that pass Luhn's check, and phone numbers, leftmost and without
-overlaps for each kind. Its finds are the seeds. A lexical pattern is the two words before an identifier. The documents
-that hold identifier-like words give a bipartite graph of patterns and instances; in each round a pattern's confidence
-for a kind is the share of its occurrences that precede believed instances of that kind, and patterns with at least
-SUPPORT different instances and CONFIDENCE believe in the unseen instances they precede, if these look like their
-kind. Both are joins and aggregates of pre-aggregated counts. What is believed in the end is found wherever it occurs.
+overlaps for each kind. Its finds are the seeds. A lexical pattern is the two words before an identifier. Identifier-like
+words, and runs of number words that look like a card or phone number, give a bipartite graph of patterns and instances; in
+each round a pattern's confidence for a kind is the share of its occurrences, over all documents, that precede believed
+instances of that kind, and patterns with at least SUPPORT different instances and CONFIDENCE believe in the unseen
+instances they precede, if these look like their kind. A value keeps the kind it was first believed to be of, so scores only
+rise; rounds end when none rises by more than MOVED. Both are joins and aggregates of pre-aggregated counts. What is
+believed in the end is found wherever it occurs, whatever white space parts its words.
 Only SQL expressions are used.
 
 Cases: a null text is an empty one; null and repeated ids and repeated rows are kept; overlaps between kinds are all
@@ -30,14 +32,19 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 MARK = "\ue000"
+#: Card and phone numbers written as several words.
+CARD_RUN = r"[0-9](?:[\x20-]?[0-9]){11,18}"
+PHONE_RUN = r"[(]?[0-9](?:[).-]{0,2}\x20?[(.-]?[0-9]){6,14}"
 #: What an unseen instance of a kind must look like.
 SHAPES = {
     "email": r"^[^@\s]+(@|\[at\]|\(at\))[^@\s]+$",
     "ip": r"^[0-9]+([.:\[\]()-]+[0-9]+){3}$",
     "card": r"^[0-9]([ -]?[0-9]){11,18}$",
-    "phone": r"^[(0-9][0-9().-]{5,13}[0-9]$",
+    "phone": rf"^(?:[(0-9][0-9().-]{{5,13}}[0-9]|(?=.*\x20){PHONE_RUN})$",
 }
-SUPPORT, CONFIDENCE, ROUNDS = 3, 0.5, 3
+#: The longest run at the start of joined words, and the most words that it can have.
+RUN, RUN_WORDS = rf"^[^A-Za-z0-9(+]*({CARD_RUN}|{PHONE_RUN})(?=[^A-Za-z0-9@{MARK}]*(?:\x20|$))", 19
+SUPPORT, CONFIDENCE, MOVED = 3, 0.5, 0.01
 SPAN = "struct<kind: int, start: int, end: int, value: string>"
 
 
@@ -97,27 +104,50 @@ def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 # --- bootstrapping --------------------------------------------------------------------------------------------------
 
 
-def _contexts(based: DataFrame, text_col: str) -> DataFrame:
-    """(context, value, kind) for each word of the documents that hold identifier-like words.
-
-    Seeds are masked by their kind first; kind is null for words that are no seeds, value for those without a digit or @.
-    """
+def _masked(based: DataFrame, text_col: str) -> DataFrame:
+    """The words of each text, seeds masked by their kind first."""
     masked = F.aggregate(
         "base", F.col(text_col),
         lambda t, s: F.replace(t, s["value"], F.concat(F.lit(MARK), s["kind"].cast("string"), F.lit(MARK), F.translate(s["value"], " ", ""), F.lit(MARK))),
     )
-    df = based.where(F.col(text_col).rlike("[0-9@]")).select(masked.alias("masked"))
-    df = df.withColumn("words", F.split("masked", SPACE))
+    return based.select(F.split(masked, SPACE).alias("words"))
+
+
+def _before(i: Column) -> Column:
+    return F.lower(F.concat_ws(" ", F.get("words", i - 2), F.get("words", i - 1)))
+
+
+def _bare(word: Column) -> Column:
+    return F.regexp_replace(word, f"^[^A-Za-z0-9(+{MARK}]+|[^A-Za-z0-9){MARK}]+$", "")
+
+
+def _in_run(word: Column, after: Column) -> Column:
+    """Whether a word and the one after it can be parts of a number."""
+    return word.rlike(r"^[^A-Za-z0-9@]*[0-9][0-9().-]*$") & after.rlike("^[(]?[0-9]")
+
+
+def _instances(based: DataFrame, text_col: str) -> DataFrame:
+    """(context, value, kind) for each identifier-like word and run of number words; kind is null for what is no seed."""
 
     def word(w: Column, i: Column) -> Column:
-        before = F.concat_ws(" ", F.get("words", i - 2), F.get("words", i - 1))
-        bare = F.regexp_replace(w, r"^[^A-Za-z0-9(+]+|[^A-Za-z0-9)]+$", "")
+        bare = _bare(w)
         seed = F.regexp_extract(bare, f"{MARK}([0-9]){MARK}([^{MARK}]+){MARK}", 1)
         value = F.when(seed != "", F.regexp_extract(bare, f"{MARK}([0-9]){MARK}([^{MARK}]+){MARK}", 2))
         value = value.when((F.length(bare) >= 6) & bare.rlike("[0-9@]"), bare)
-        return F.struct(F.lower(before).alias("context"), value.alias("value"), F.when(seed != "", seed.cast("int")).alias("kind"))
+        run = F.when(_in_run(w, F.get("words", i + 1)), F.regexp_extract(F.array_join(F.slice("words", i + 1, RUN_WORDS), " "), RUN, 1))
+        one = lambda value, kind: F.struct(_before(i).alias("context"), value.alias("value"), kind.alias("kind"))
+        single = one(value, F.when(seed != "", seed.cast("int")))
+        return F.array(single, one(F.when(run.contains(" "), run), F.lit(None).cast("int")))
 
-    return df.select(F.inline(F.filter(F.transform("words", word), lambda x: ~x["context"].contains(MARK))))
+    df = _masked(based.where(F.col(text_col).rlike("[0-9@]")), text_col)
+    found = F.filter(F.flatten(F.transform("words", word)), lambda x: x["value"].isNotNull() & ~x["context"].contains(MARK))
+    return df.select(F.inline(found))
+
+
+def _totals(based: DataFrame, text_col: str, contexts: DataFrame) -> DataFrame:
+    """(context, total): the occurrences of these contexts before any word of all documents."""
+    every = _masked(based, text_col).select(F.explode(F.transform("words", lambda w, i: _before(i))).alias("context"))
+    return every.groupBy("context").agg(F.count("*").alias("total")).join(contexts, "context", "left_semi")
 
 
 def _looks(kind: Column, value: Column) -> Column:
@@ -126,30 +156,34 @@ def _looks(kind: Column, value: Column) -> Column:
 
 def discovered(based: DataFrame, text_col: str = "text") -> DataFrame:
     """(value, kind): what the patterns believe in after all rounds, without the seeds."""
-    words = _contexts(based, text_col)
-    graph = words.groupBy("context", "value", "kind").agg(F.count("*").alias("n"))
-    graph = stored(graph.where("value is not null or context is not null"), "pii-graph")
+    graph = stored(_instances(based, text_col).groupBy("context", "value", "kind").agg(F.count("*").alias("n")), "pii-graph")
     seeds = graph.where("kind is not null").select("value", "kind").distinct()
-    contexts = graph.where("kind is not null").select("context").distinct()
-    totals = graph.join(contexts, "context", "left_semi").groupBy("context").agg(F.sum("n").alias("total"))
-    edges = graph.where("value is not null").join(totals, "context").groupBy("context", "value", "total").agg(F.sum("n").alias("n"))
+    # a context of fewer different values never becomes a pattern
+    contexts = graph.select("context", "value").distinct().groupBy("context").agg(F.count("*").alias("many")).where(F.col("many") >= SUPPORT)
+    totals = _totals(based, text_col, stored(contexts.select("context"), "pii-contexts"))
+    edges = graph.groupBy("context", "value").agg(F.sum("n").alias("n")).join(stored(totals, "pii-totals"), "context")
     edges = stored(edges, "pii-edges")
-    sure = seeds.withColumns({"score": F.lit(1.0), "seed": F.lit(True)})
+    sure = seeds.withColumns({"score": F.lit(1.0), "seed": F.lit(True), "moved": F.lit(0.0)})
     believed = stored(sure, "pii-believed")
-    for _ in range(ROUNDS):
+    while True:
         links = edges.join(believed, "value")
         patterns = links.groupBy("context", "kind", "total").agg(
             F.sum(F.col("n") * F.col("score")).alias("hits"), F.count("*").alias("many")
         )
-        patterns = patterns.withColumn("confidence", F.col("hits") / F.col("total"))
+        # a word and the run it begins can both be believed at one place
+        patterns = patterns.withColumn("confidence", F.least(F.lit(1.0), F.col("hits") / F.col("total")))
         patterns = patterns.where((F.col("many") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE))
         fresh = edges.join(patterns.select("context", "kind", "confidence"), "context").where(_looks(F.col("kind"), F.col("value")))
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))
         fresh = fresh.groupBy("value", "kind").agg((1 - doubt).alias("score"))
         new = fresh.join(seeds, "value", "left_anti").where(F.col("score") >= CONFIDENCE)
-        best = new.groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"), F.max("score").alias("score"))
-        believed = stored(sure.unionByName(best.withColumn("seed", F.lit(False))), "pii-believed")
-    return believed.where("not seed").select("value", "kind")
+        old = believed.where("not seed").select("value", F.col("kind").alias("was"), F.col("score").alias("before"))
+        new = new.join(old, "value", "left").where("was is null or was = kind")
+        best = new.groupBy("value").agg(F.max_by(F.struct("kind", "score", "before"), F.struct("score", -F.col("kind"))).alias("x")).select("value", "x.*")
+        moved = (F.col("score") - F.coalesce("before", F.lit(0.0))).alias("moved")
+        believed = stored(sure.unionByName(best.select("value", "kind", "score", F.lit(False).alias("seed"), moved)), "pii-believed")
+        if (believed.agg(F.max("moved")).first()[0] or 0.0) <= MOVED:
+            return believed.where("not seed").select("value", "kind")
 
 
 def find_personal(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -165,21 +199,28 @@ def find_personal(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
         return based.withColumn("spans", flag("base", True)).drop("base")
     text = F.col(text_col)
     key = F.xxhash64(id_col, text_col)
-    bare = F.regexp_replace("word", r"^[^A-Za-z0-9(+]+|[^A-Za-z0-9)]+$", "")
-    holds = docs.where(text.rlike("[0-9@]")).select(key.alias("_key"), text.alias("_text"), F.explode(F.array_distinct(F.split(text, SPACE))).alias("word"))
-    holds = holds.withColumn("value", bare).join(known, "value").select("_key", "_text", "value", "kind").distinct()
-    pieces = F.split("_text", F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.col("value"), F.lit(r"\E(?![A-Za-z0-9])")), -1)
-    gaps = F.transform(pieces, lambda p: F.length(p))
-    places = F.transform(
-        F.sequence(F.lit(1), F.size(gaps) - 1),
-        lambda i: F.aggregate(F.slice(gaps, F.lit(1), i), F.lit(0), lambda a, g: a + g) + (i - 1) * F.length("value"),
-    )
-    more = holds.where(F.size(gaps) > 1).select("_key", "kind", "value", F.explode(places).alias("start"))
-    one = F.struct("kind", "start", (F.col("start") + F.length("value")).alias("end"), F.lit(False).alias("base"))
+    most = known.agg(F.max(F.size(F.split("value", " ")))).first()[0]
+    df = docs.where(text.rlike("[0-9@]")).select(key.alias("_key"), text.alias("_text"), F.split(text, SPACE).alias("words"))
+    upto = lambda i: F.transform(F.sequence(F.lit(2), F.lit(most)), lambda n: F.array_join(F.slice("words", i + 1, n), " "))
+    runs = F.transform("words", lambda w, i: F.when(_in_run(w, F.get("words", i + 1)), upto(i)).otherwise(F.array().cast("array<string>")))
+    every = F.concat("words", F.flatten(runs)) if most > 1 else F.col("words")
+    holds = df.select("_key", "_text", F.explode(F.array_distinct(F.transform(every, _bare))).alias("value"))
+    holds = holds.join(known, "value").select("_key", "_text", "value", "kind").distinct()
+    spaced = F.replace("value", F.lit(" "), F.lit(rf"\E{SPACE}\Q"))
+    pattern = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), spaced, F.lit(r"\E(?![A-Za-z0-9])"))
+    holds = holds.withColumns({"gaps": F.transform(F.split("_text", pattern, -1), F.length), "sizes": F.transform(F.regexp_extract_all("_text", pattern, F.lit(0)), F.length)})
+    total = lambda sizes, n: F.aggregate(F.slice(sizes, F.lit(1), n), F.lit(0), lambda a, x: a + x)
+    places = F.transform("sizes", lambda n, i: F.struct((total("gaps", i + 1) + total("sizes", i)).alias("start"), n.alias("size")))
+    more = holds.where(F.size("sizes") > 0).select("_key", "kind", F.inline(places))
+    one = F.struct("kind", "start", (F.col("start") + F.col("size")).alias("end"), F.lit(False).alias("base"))
     more = more.groupBy("_key").agg(F.collect_set(one).alias("more"))
     df = based.withColumn("_key", key).join(more, "_key", "left")
     seen = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     extra = F.filter(F.coalesce("more", F.array().cast("array<struct<kind: int, start: int, end: int, base: boolean>>")), lambda s: ~seen(s))
+    # of what was found both alone and as a part of a longer number of its kind, the longer one
+    longer = lambda s, o: (o["kind"] == s["kind"]) & (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
+    df = df.withColumn("more", extra)
+    extra = F.filter("more", lambda s: ~F.exists("more", lambda o: longer(s, o)))
     return df.withColumn("spans", F.array_sort(F.concat(flag("base", True), extra))).drop("base", "more", "_key")
 
 

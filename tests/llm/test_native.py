@@ -166,6 +166,33 @@ def test_strong_discoveries_stay(spark):
     assert [[r.text[s.start : s.end] for s in r.spans] for r in found if "7000" in r.text] == [["555-010-7000"]] * 3
 
 
+def discoveries(spark, texts):
+    rows = pii.find_personal(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    return {r.text[s.start : s.end] for r in rows for s in r.spans if not s.base}
+
+
+def test_contexts_count_in_all_documents(spark):
+    rows = [f"please call me +1 (555) 010-{1000 + i} thanks" for i in range(12)] + ["please call me 555-010-7000 thanks"]
+    assert discoveries(spark, rows) == {"555-010-7000"}
+    assert discoveries(spark, rows + ["they call me often"] * 60) == set()
+
+
+def test_numbers_written_as_words(spark):
+    cards = [f"411111111111{i:04d}" for i in range(400)]
+    cards = [" ".join(c[k : k + 4] for k in (0, 4, 8, 12)) for c in cards if luhn(c)][:20]
+    rows = [f"please call me +1 (555) 010-{1000 + i} thanks" for i in range(20)] + [f"my card: {c} thanks" for c in cards]
+    rows += ["please call me (555) 123-4567 now", "please call me 030 1234 5678, or write", "my card: 4111 1111 1111 1112 is void", "desk 030\n1234  5678."]
+    assert discoveries(spark, rows) == {"(555) 123-4567", "030 1234 5678", "030\n1234  5678", "4111 1111 1111 1112"}
+
+
+def test_rounds_go_on_until_nothing_new_comes(spark):
+    number = lambda level, i: f"555-{level}10-{7000 + i}"
+    rows = [f"in step0 +1 (555) 010-{1000 + i} thanks" for i in range(30)] + [f"in step0 {number(0, i)} thanks" for i in range(3)]
+    for level in range(5):
+        rows += [f"in step{level + 1} {number(level, i)} thanks" for i in range(3)] * 2 + [f"in step{level + 1} {number(level + 1, i)} thanks" for i in range(3)]
+    assert discoveries(spark, rows) == {number(level, i) for level in range(6) for i in range(3)}
+
+
 def test_redaction_and_odd_rows(spark, odd, empty, odd_rows):
     df = spark.createDataFrame([(1, "to a@b.cd from 1.2.3.4!"), (2, None), (3, "plain")], "doc_id long, text string")
     rows = pii.find_personal(df).select("doc_id", pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()
