@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from medloom.llm import jaccard, langid, mix, pack, pii
-from medloom.llm.common import stored, table
+from medloom.llm.common import WORD, stored, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,12 +21,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: the smallest id, once; rows without an id stay."""
-    groups = jaccard.similar_groups(docs)
-    kept = groups.where("component_id = doc_id").select("doc_id").distinct()
-    once = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang"))
-    some = docs.join(kept, "doc_id", "left_semi").withColumn("once", once).where("once = 1")
-    return some.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each group of similar ones: the smallest id's, null ids last; rows without words all stay."""
+    # rows are told apart by all of their columns: equal rows are copies of each other anyway
+    every = [*docs.columns, *[F.col(c).isNull() for c in docs.columns]]
+    keyed = docs.withColumns({f"_row{i}": F.xxhash64(F.lit(i), *every) for i in (1, 2)})
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row1", "_row2")
+    groups = jaccard.similar_groups(keyed.select(row.alias("row"), "text"), "row")
+    kept = groups.where("component_id = doc_id").select("doc_id._row1", "doc_id._row2").distinct()
+    wordy = F.coalesce("text", F.lit("")).rlike(WORD)
+    once = keyed.where(wordy).dropDuplicates(["_row1", "_row2"]).join(kept, ["_row1", "_row2"], "left_semi")
+    return once.select(docs.columns).unionByName(docs.where(~wordy))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import pytest
 from conftest import words  # tests/llm/conftest.py
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from medloom.llm import cc, jaccard, langid, mix, pack, passages, queries, warc
 from medloom.llm.shingles import word_hashes
 
@@ -78,6 +79,24 @@ def test_odd_rows(odd, empty, odd_rows):
     assert jaccard.similar_groups(empty).count() == 0
 
 
+def test_one_row_of_near_copies_stays(spark, odd, empty, odd_rows):
+    rng = random.Random(7)
+    base = words(rng, 120)
+    near = lambda n: base + " " + words(rng, n)
+    lone = words(rng, 50)
+    rows = [(i, text, "en", "a", 1) for i, text in [(3, near(2)), (3, base.upper()), (1, near(1)), (1, base), (None, base), (None, base), (None, near(3)), (None, lone), (None, lone), (None, lone.upper()), (4, ""), (4, ""), (None, None), (None, None)]]
+    rows.append((None, base, None, "en", 1))
+    df = spark.createDataFrame(rows, odd.schema)
+    got = [tuple(r)[:2] for r in corpus_pipeline.keep_one_of_near_copies(spark, df, "").collect()]
+    assert sorted(map(str, [r for r in got if not r[1]])) == sorted(map(str, [(4, ""), (4, ""), (None, None), (None, None)]))
+    some = sorted([r for r in got if r[1]], key=str)
+    assert [i for i, _ in some] == [1, None]
+    assert some[1][1].lower() == lone
+    assert Counter(tuple(r)[0] for r in corpus_pipeline.keep_one_of_near_copies(spark, odd, "").collect()) == Counter([1, 3, 4, None, 5, 6, 7, 8, 8])
+    assert corpus_pipeline.keep_one_of_near_copies(spark, empty, "").count() == 0
+
+
+
 def test_components_of_a_path_a_star_and_nothing(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(200, 260)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in cc.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
