@@ -7,13 +7,14 @@ the whole text counts. It is trained in numpy by backpropagation through time on
 
 Cases: a null text, or one without a letter, is `und` with score 0; without any labelled row to learn from everything is
 `und`; a null label is not learned from; an empty table gives no rows; ties between languages go to the first by name;
-repeated rows get the same answer; the input's other columns are not read.
+repeated rows get the same answer; texts of any length pass in slices; all columns of the input are kept, and a clash with
+`lang_pred` or `score` raises an error.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-WINDOW, HIDDEN, BLOCK = 96, 8, 2048
+#: Bytes of a window, hidden units, windows computed at a time, bytes of text held at a time (a multiple of WINDOW).
+WINDOW, HIDDEN, BLOCK, SLICE = 96, 8, 2048, 96 * 20_480
 #: Steps of training at least, so that a small sample is passed over more often.
 STEPS = 360
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -203,13 +205,13 @@ def _has_letter(raw: bytes) -> bool:
     return bool(_ASCII_LETTER.search(raw)) or any(c.isalpha() for c in raw.decode("utf-8", "replace"))
 
 
-def pooled(model: Model, texts: list[bytes]) -> np.ndarray:
-    """Probabilities (text, language): the mean over all positions of each text."""
-    sizes = np.array([len(x) for x in texts])
+def _window_sums(model: Model, parts: list[bytes]) -> np.ndarray:
+    """Probabilities (part, language) summed over all positions of each part."""
+    sizes = np.array([len(x) for x in parts])
     wins = -(-sizes // WINDOW)
     ends = np.cumsum(wins)
     codes = np.zeros(int(ends[-1]) * WINDOW, np.uint8)
-    for x, at in zip(texts, (ends - wins) * WINDOW, strict=True):
+    for x, at in zip(parts, (ends - wins) * WINDOW, strict=True):
         codes[at : at + len(x)] = np.frombuffer(x, np.uint8)
     codes = codes.reshape(-1, WINDOW)
     filled = np.full(len(codes), WINDOW)
@@ -217,40 +219,55 @@ def pooled(model: Model, texts: list[bytes]) -> np.ndarray:
     sums = np.empty((len(codes), len(model.langs)))
     for i in range(0, len(codes), BLOCK):
         p = position_probabilities(model.weights, np.ascontiguousarray(codes[i : i + BLOCK].T))
-        short = np.flatnonzero(filled[i : i + BLOCK] < WINDOW)
-        for j in short:
+        for j in np.flatnonzero(filled[i : i + BLOCK] < WINDOW):
             p[filled[i + j] :, j] = 0
         sums[i : i + BLOCK] = p.sum(0)
-    return np.add.reduceat(sums, ends - wins) / sizes[:, None]
-
-
-def _predict(model: Model | None, columns: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
-            texts, at = [], []
-            for i, text in enumerate(batch.column(columns - 1).cast(pa.binary())):
-                raw = text.as_py()
-                if model and raw and _has_letter(raw):
-                    texts.append(raw.lower())
-                    at.append(i)
-            if texts:
-                p = pooled(model, texts)
-                best = p.argmax(1)
-                scores[at] = np.minimum(p[np.arange(len(p)), best], 1.0)
-                for i, k in zip(at, best, strict=True):
-                    langs[i] = model.langs[k]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: columns - 1], pa.array(langs), pa.array(scores)],
-                names=[*batch.schema.names[: columns - 1], "lang_pred", "score"],
-            )
-
-    return run
-
-
-def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """`keep` columns of every row with lang_pred and score; only the text is looked at."""
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double"])
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    return rows.mapInArrow(_predict(model, len(keep) + 1), schema)
+    return np.add.reduceat(sums, ends - wins)
+
+
+def pooled(model: Model, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+    """For each text in turn its probabilities, the mean over all positions; at most about two slices are held."""
+    parts, owners, held = [], [], 0
+    waiting: list[list] = []  # [sum so far, bytes, whether all parts were cut]
+
+    def flush() -> Iterator[np.ndarray]:
+        nonlocal parts, owners, held
+        if parts:
+            for own, x in zip(owners, _window_sums(model, parts), strict=True):
+                own[0] = own[0] + x
+        parts, owners, held = [], [], 0
+        while waiting and waiting[0][2]:
+            total, size, _ = waiting.pop(0)
+            yield total / size
+
+    for raw in texts:
+        own = [np.zeros(len(model.langs)), len(raw), False]
+        waiting.append(own)
+        for at in range(0, len(raw), SLICE):
+            parts.append(raw[at : at + SLICE].lower())
+            owners.append(own)
+            held += len(parts[-1])
+            own[2] = at + SLICE >= len(raw)
+            if held >= SLICE:
+                yield from flush()
+    yield from flush()
+
+
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """All rows and columns, with lang_pred and score; only the text goes through Python, and only the answer back."""
+    if clash := {"lang_pred", "score"} & set(docs.columns):
+        raise ValueError(f"columns clash with the operator's: {sorted(clash)}")
+
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def answer(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            langs, scores = ["und"] * len(column), np.zeros(len(column))
+            raw = column.cast(pa.binary())
+            at = [i for i, x in enumerate(raw) if model and x.is_valid and _has_letter(x.as_py())]
+            for i, p in zip(at, pooled(model, (raw[i].as_py() for i in at)) if at else (), strict=True):
+                best = int(p.argmax())
+                langs[i], scores[i] = model.langs[best], min(float(p[best]), 1.0)
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], names=["lang_pred", "score"])
+
+    # the generator keeps later filters from asking twice
+    return docs.select("*", F.inline(F.array(answer(F.col(text_col)))))

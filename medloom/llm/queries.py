@@ -41,7 +41,7 @@ def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document by a network learned from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    found = langid.predict(docs, langid.fit(docs))
+    found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 

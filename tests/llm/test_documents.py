@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from conftest import words  # tests/llm/conftest.py
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -182,12 +183,52 @@ def test_held_out_accuracy(spark, small):
 
 def test_languages_of_odd_rows(docs, odd, empty, odd_rows):
     model = langid.fit(docs, per_lang=40, spans=4)
-    rows = langid.predict(odd, model, keep=("doc_id", "text", "lang")).collect()
+    rows = langid.predict(odd, model).collect()
     assert len(rows) == len(odd_rows)
     for r in rows:
         assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
     assert langid.fit(empty) is None
     assert {r.lang_pred for r in langid.predict(odd, None).collect()} == {"und"}
+    with pytest.raises(ValueError, match="score"):
+        langid.predict(odd.withColumnRenamed("lang", "score"), model)
+
+
+def plain_probabilities(model, raw):
+    """One byte after the other, with sigmoids written out."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    w = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    total = np.zeros(len(model.langs))
+    for at in range(0, len(raw), langid.WINDOW):
+        codes = np.frombuffer(raw[at : at + langid.WINDOW].ljust(langid.WINDOW, b"\0"), np.uint8)
+        logits = np.tile(w["bias"], (langid.WINDOW, 1))
+        for d in "fb":
+            h = np.zeros(langid.HIDDEN)
+            for t in range(langid.WINDOW) if d == "f" else reversed(range(langid.WINDOW)):
+                gates = sigmoid(2 * (w[f"xg_{d}"][codes[t]] + h @ w[f"hg_{d}"]))
+                r, z = gates[: langid.HIDDEN], gates[langid.HIDDEN :]
+                h = h + z * (np.tanh(w[f"xc_{d}"][codes[t]] + (r * h) @ w[f"hc_{d}"]) - h)
+                logits[t] += h @ w[f"out_{d}"]
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        total += (p / p.sum(1, keepdims=True))[: len(raw) - at].sum(0)
+    return total / len(raw)
+
+
+def test_pooling_matches_a_plain_network(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = langid.Model(("a", "b", "c"), langid._new_weights(rng, 3))
+    texts = [rng.integers(1, 256, n).astype(np.uint8).tobytes().lower() for n in (1, 95, 96, 97, 700, 5, 2000)]
+    want = [plain_probabilities(model, x) for x in texts]
+    for size in (96, 960, langid.SLICE):
+        monkeypatch.setattr(langid, "SLICE", size)
+        assert np.allclose(list(langid.pooled(model, texts)), want, atol=1e-5)
+
+
+def test_ties_of_languages_and_a_long_text(spark):
+    flat = langid.Model(("a", "b"), {k: np.zeros_like(v) for k, v in langid._new_weights(np.random.default_rng(0), 2).items()})
+    rows = [(1, "word " * 2_000_000), (2, "x"), (3, "7" * 3_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1))
+    got = langid.predict(df, flat).select("doc_id", "key", "lang_pred", "score").collect()
+    assert [tuple(r) for r in got] == [(1, 1, "a", 0.5), (2, 1, "a", 0.5), (3, 1, "und", 0.0)]
 
 
 # --- mixing ---------------------------------------------------------------------------------------------------------
