@@ -2,19 +2,25 @@
 
 Two documents link when their sets of 5-word shingles have a Jaccard similarity of 0.75 or more. All steps are exact:
 
-1. Count, over all documents, how many hold each shingle, coarsened to four classes (1, 2.., 16.., 256..) and kept in a
-   table of fixed size indexed by the shingle's hash. Collisions only make a shingle look more frequent.
-2. Order shingles by (class, hash), the rare ones first. Sets that link share a shingle among the first
-   n - ceil(3n/4) + 1 of both. A shingle that one document has alone takes a place there but finds nobody, so only the
-   others become keys; most documents have none.
+1. Count, over all documents, how many hold each shingle (a shuffle of packed counts); those that `frequent` documents or
+   more hold are the frequent ones, with the binary logarithm of their count as their class.
+2. Order shingles by (class, hash), so the rare ones come first. Sets that link share a shingle among the first
+   n - ceil(3n/4) + 1 of both. These are a set's keys; rows under keys that only one set has are dropped in a sorted
+   stream. Keys of very frequent shingles are salted from the start, so no task gets more than about `salt_rows` of them.
 3. Equal sets are one node. Nodes next to each other under a key are compared, in an order that changes from round to
    round, which joins whole groups of near copies by chains instead of by all pairs.
-4. Under each key, in order of size, tiles of nodes from different components are compared by bitmaps: with d differing
-   bits two sets share at most (a + b - d) / 2 shingles. What the bound does not exclude is intersected exactly.
+4. What is still open is cut into tiles by key, size band and hash, and pairs of tiles meet as Spark groups of bounded
+   size. Sizes of linked sets differ by a third at most, so only bands next to each other meet. Of the sets under keys
+   that fill several tiles, those with more than a seventh of shingles that no other such set has never link with each
+   other, so their tiles do not meet: pages of a common template with some text of their own are not compared.
 
-Nothing is capped: the class table has a fixed size whatever the input, and when it fills up more keys are made, not
-fewer. Keys meet in sorted partitions, read as a stream. Sets are 64-bit hashes, nodes 64-bit hashes of sets: among 1e9
-different texts a collision of nodes is expected with a probability of 0.03.
+Every candidate pair, of 3 and of 4, passes the bitmap bound first: with d differing bits two sets share at most
+(a + b - d) / 2 shingles. Bitmaps grow with the sets (a wide one is folded to meet a narrow one), so long sets do not
+saturate. What the bound does not exclude is intersected exactly.
+
+Nothing is capped. The frequent shingles are broadcast up to `frequent_rows` rows (2 million: 24 MB), else joined.
+Sets are 64-bit hashes, nodes 64-bit hashes of sets: among 1e9 different texts a collision of nodes is expected with a
+probability of 0.03. Keys are cut to about 6 bits more than the text's bytes count, which can only add candidates.
 
 Cases: a null or wordless text has an empty set and links with nothing; a text of fewer than five words has its whole
 word sequence as its only shingle; repeated rows and ids are separate documents; a null id takes part, but is never the
@@ -24,26 +30,42 @@ smallest; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medloom.llm.cc import components
 from medloom.llm.common import stored
-from medloom.llm.shingles import shingles
+from medloom.llm.shingles import mixed, shingles
 
-#: Slots of the class table, two bits each (16 MB); shingles gathered before a task hands them on; documents
-#: handled at a time; shingles that a reducing group should hold; nodes in a tile; bits of a bitmap.
-SLOT_BITS, FLUSH, BATCH, GROUP, TILE, BITMAP = 26, 1_000_000, 1000, 2_000_000, 128, 2048
+#: Shingles gathered before a task hands them on; shingles that a reducing group should hold; documents handled at a
+#: time; nodes that a task remembers to have handed on.
+FLUSH, GROUP, BATCH, SEEN = 2_000_000, 2_000_000, 500, 100_000
 #: Pairs that a task gathers before it hands on the distinct ones; neighbours compared in later rounds; open pairs a row
 #: that the last step may compare; rounds.
 HELD, REACH, FEW, MOST_ROUNDS = 1_000_000, 3, 0.5, 16
-CLASSES = (2, 16, 256)
+#: Size bands are a little wider than a factor of 4/3, so that linked sets are in the same or in neighbouring ones.
+BAND = math.log(1.334)
+
+
+@dataclass(frozen=True)
+class Limits:
+    """How work is cut up; no result depends on it."""
+
+    frequent: int = 64  # documents that make a shingle frequent
+    frequent_rows: int = 2_000_000  # frequent shingles that may be broadcast
+    salt_rows: int = 4096  # rows of a key that one task should get
+    tile: int = 1024  # nodes in a tile
+
+
+LIMITS = Limits()
 
 
 def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -51,139 +73,248 @@ def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-3 * (a + b) // 7)
 
 
-# --- 1. frequency classes -------------------------------------------------------------------------------------------
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most BATCH rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH):
+            yield batch.slice(at, BATCH)
+
+
+# --- 1. frequent shingles -------------------------------------------------------------------------------------------
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte, all lowest bytes first: small numbers compress to their low bytes."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _flushed(parts: list[np.ndarray], bits: int) -> pa.RecordBatch:
-    """Gathered shingles by their leading bits: each with how often it came, at most 255."""
-    values, counts = np.unique(np.concatenate(parts), return_counts=True)
-    group = (values >> np.uint64(64 - bits)).astype(np.int64)
+    """Gathered hashes by their leading bits: the next 32 bits as differences, and how often each came."""
+    values, counts = np.unique(np.concatenate(parts) >> np.uint64(32 - bits), return_counts=True)
+    group = (values >> np.uint64(32)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(group, prepend=-1))
-    low = ((values >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-    few = np.minimum(counts, 255).astype(np.uint8)
+    low = (values & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     ends = np.append(cuts[1:], len(values))
+    each = list(zip(cuts, ends, strict=True))
     return pa.RecordBatch.from_pydict({
         "part": pa.array(group[cuts], pa.int64()),
-        "low": pa.array([low[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()),
-        "n": pa.array([few[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()),
+        "low": pa.array([_planes(np.diff(low[i:j], prepend=np.uint32(0))) for i, j in each], pa.binary()),
+        "n": pa.array([_planes(counts[i:j]) for i, j in each], pa.binary()),
     })
 
 
-def _gather(bits: int, values):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                parts.append(values(text.as_py()))
-                held += len(parts[-1])
-                if held >= FLUSH:
-                    yield _flushed(parts, bits)
-                    parts, held = [], 0
-        if held:
-            yield _flushed(parts, bits)
+def _gathered(bits: int, values: Callable[[pa.RecordBatch], Iterable[np.ndarray]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts, held = [], 0
+    for batch in sliced(batches):
+        for x in values(batch):
+            parts.append(x)
+            held += len(x)
+            if held >= FLUSH:
+                yield _flushed(parts, bits)
+                parts, held = [], 0
+    if held:
+        yield _flushed(parts, bits)
 
-    return run
 
+def _counted(least: int, pdf: pd.DataFrame) -> pd.DataFrame:
+    low = np.concatenate([np.cumsum(_numbers(x), dtype=np.uint32) for x in pdf["low"]])
+    n = np.concatenate([_numbers(x) for x in pdf["n"]]).astype(np.int64)
+    order = np.argsort(low, kind="stable")
+    low, n = low[order], n[order]
+    starts = np.flatnonzero(np.diff(low.astype(np.int64), prepend=-1))
+    n = np.add.reduceat(n, starts)
+    keep = n >= least
+    short = low[starts][keep].astype(np.int64) + (int(pdf["part"].iloc[0]) << 32)
+    return pd.DataFrame({"short": short, "kind": np.log2(n[keep]).astype(np.int32)})
 
-def _classed(bits: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["low"]])
-        n = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["n"]]).astype(np.int64)
-        order = np.argsort(low, kind="stable")
-        low, n = low[order], n[order]
-        starts = np.flatnonzero(np.diff(low.astype(np.int64), prepend=-1))
-        kind = np.digitize(np.add.reduceat(n, starts), CLASSES).astype(np.uint8)
-        keep = kind > 0
-        slot, kind = low[starts][keep] >> np.uint32(32 - (SLOT_BITS - bits)), kind[keep]
-        mine = np.zeros(1 << (SLOT_BITS - bits), np.uint8)
-        np.maximum.at(mine, slot, kind)
-        four = mine.reshape(-1, 4)
-        packed = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "packed": [packed.tobytes()]})
 
-    return run
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
+def frequent(rows: DataFrame, values: Callable[[pa.RecordBatch], Iterable[np.ndarray]], many: float, least: int) -> tuple[DataFrame, int]:
+    """(short, kind) of the hashes that come `least` times or more, and how many leading bits `short` has beyond 32.
+
+    values gives the hashes of a batch of rows, each document's distinct ones; many: about how many there are in all.
+    """
+    bits = min(30, max(4, math.ceil(math.log2(max(1.0, many / GROUP)))))
+    parts = rows.mapInArrow(partial(_gathered, bits, values), "part long, low binary, n binary")
+    return stored(parts.groupBy("part").applyInPandas(partial(_counted, least), "short long, kind int"), "shingle-frequent"), bits
 
 
-def class_table(docs: DataFrame, text_col: str = "text", values=shingles) -> bytes:
-    """The packed frequency classes of all hashes that `values` gives for all texts; 16 MB at any size of the input."""
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    bits = min(SLOT_BITS - 4, max(6, math.ceil(math.log2(max(1, size / 6 / GROUP)))))
-    parts = docs.select(text_col).mapInArrow(_gather(bits, values), "part long, low binary, n binary")
-    rows = parts.groupBy("part").applyInPandas(_classed(bits), "part long, packed binary")
-    width = (1 << (SLOT_BITS - bits)) // 4
-    whole = bytearray(1 << (SLOT_BITS - 2))
-    for row in rows.toLocalIterator():
-        whole[row["part"] * width : (row["part"] + 1) * width] = row["packed"]
-    return bytes(whole)
+def _of_texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for text in batch.column(0).cast(pa.binary()):
+        yield shingles(text.as_py())
+
+
+@dataclass(frozen=True)
+class Kinds:
+    """The classes of hashes: sorted leading bits of the frequent ones and their classes."""
+
+    short: np.ndarray
+    kind: np.ndarray
+    bits: int
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(s), np.int32)
+        if len(self.short):
+            mine = (s >> np.uint64(32 - self.bits)).astype(np.int64)
+            at = np.minimum(np.searchsorted(self.short, mine), len(self.short) - 1)
+            hit = self.short[at] == mine
+            out[hit] = self.kind[at[hit]]
+        return out
+
+
+def _sorted_kinds(short: np.ndarray, kind: np.ndarray, bits: int) -> Kinds:
+    order = np.argsort(short, kind="stable")
+    return Kinds(short[order], kind[order], bits)
 
 
 # --- 2. keys --------------------------------------------------------------------------------------------------------
 
 
-def classes_of(table: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """The frequency classes of hashes."""
-    slot = s >> np.uint64(64 - SLOT_BITS)
-    return (table[slot >> np.uint64(2)] >> ((slot & np.uint64(3)) << np.uint64(1)).astype(np.uint8)) & 3
+def salts(kind: np.ndarray, salt_rows: int) -> np.ndarray:
+    """Into how many groups the rows of keys of these classes are dealt; one if they are few."""
+    return np.maximum(1, (1 << np.minimum(kind, 62).astype(np.int64)) // salt_rows)
+
 
+def cut_keys(hashes: np.ndarray, key_bits: int) -> np.ndarray:
+    return (mixed(hashes) >> np.uint64(64 - key_bits)).view(np.int64)
 
-def _keys(table: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """The shingles of a set under which it looks for others."""
+
+def key_bits_for(size: int) -> int:
+    return min(60, math.ceil(math.log2(max(2, size))) + 6)
+
+
+def _keys(kinds: Kinds, s: np.ndarray, key_bits: int, salt_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a set, distinct, and into how many groups each is dealt."""
     first = len(s) - -(-3 * len(s) // 4) + 1
-    kind = classes_of(table, s)
-    alone = np.count_nonzero(kind == 0)
-    if alone >= first:
-        return s[:0]
-    kind, s = kind[kind > 0], s[kind > 0]
-    return s[np.lexsort((s, kind))[: first - alone]]
+    kind = kinds.of(s)
+    at = np.lexsort((s, kind))[:first] if kind.any() else slice(0, first)
+    keys, where = np.unique(cut_keys(s[at], key_bits), return_index=True)
+    return keys, salts(kind[at][where], salt_rows)
+
+
+def node_of(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.astype("<u8").tobytes()) - (1 << 63)
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITMAP, np.uint8)
-    bits[(s & np.uint64(BITMAP - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+    """As many bits as the set has members, doubled and rounded up to a power of two, 256 at least."""
+    width = max(256, 1 << (2 * len(s) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (row, bytes) brought to a smaller width."""
+    return np.bitwise_or.reduce(bits.reshape(len(bits), -1, width), axis=1) if bits.shape[1] > width else bits
 
 
-def _documents(table):
+def _unseen(node: int, seen: set[int]) -> bool:
+    if node in seen:
+        return False
+    if len(seen) >= SEEN:
+        seen.clear()
+    seen.add(node)
+    return True
+
+
+_SET_TYPES = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("key", pa.int64()), ("salt", pa.int32())]))]
+_SET_SCHEMA = "n long, node long, keys array<long>, hot array<struct<key: long, salt: int>>"
+
+
+def _documents(known, bits: int, key_bits: int, salt_rows: int):
+    """Rows (doc_id, mark, text[, marks]) as sets; equal sets that a task meets again come without keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = np.frombuffer(table.value, np.uint8)
-        for batch in (part.slice(i, BATCH) for part in batches for i in range(0, part.num_rows, BATCH)):
-            sizes, nodes, keys, sets, maps = [], [], [], [], []
-            for text in batch.column(1).cast(pa.binary()):
+        kinds, seen = (Kinds(*known.value, bits) if known else None), set()
+        for batch in sliced(batches):
+            rows = []
+            for i, text in enumerate(batch.column(2).cast(pa.binary())):
                 s = shingles(text.as_py())
-                own = _keys(classes, s) if len(s) else s
-                raw = s.astype("<u8").tobytes()
-                sizes.append(len(s))
-                nodes.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63) if len(s) else None)
-                keys.append(own.view(np.int64) if len(own) else None)
-                sets.append(raw if len(own) else None)
-                maps.append(bitmap(s) if len(own) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(maps, pa.binary())],
-                names=["doc_id", "n", "node", "keys", "shingles", "bits"],
-            )
+                if not len(s):
+                    rows.append((0, None, None, None))
+                    continue
+                if not known:
+                    own = batch.column(3)[i].as_py() or []
+                    kinds = _sorted_kinds(np.array([x["short"] for x in own], np.int64), np.array([x["kind"] for x in own], np.int32), bits)
+                node = node_of(s)
+                keys, many = _keys(kinds, s, key_bits, salt_rows)
+                if not _unseen(node, seen):
+                    rows.append((len(s), node, None, None))
+                    continue
+                salted = many > 1
+                hot = [{"key": int(k), "salt": 1 + node % int(m)} for k, m in zip(keys[salted], many[salted], strict=True)]
+                rows.append((len(s), node, keys[~salted], hot or None))
+            columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(_SET_TYPES)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "mark", "n", "node", "keys", "hot"])
 
     return run
 
 
-# --- 3. and 4. pairs ------------------------------------------------------------------------------------------------
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-    """A sorted stream in pieces that never cut the rows of a key in two."""
-    held: list[pd.DataFrame] = []
+def _shorts(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (uid, text) as (uid, short) for each shingle."""
+    for batch in sliced(batches):
+        for uid, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
+            short = np.unique(shingles(text.as_py()) >> np.uint64(32 - bits)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(short), uid.as_py())), pa.array(short)], names=["uid", "short"])
+
+
+def _sets(docs: DataFrame, limits: Limits) -> DataFrame:
+    """Rows (doc_id, mark, text) as (doc_id, mark, n, node, keys, hot); mark is a hash of the text."""
+    spark, size = docs.sparkSession, text_bytes(docs)
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, mark long, {_SET_SCHEMA}"
+    found, bits = frequent(docs.select("text"), _of_texts, size / 6, limits.frequent)
+    key_bits = key_bits_for(size)
+    if found.count() <= limits.frequent_rows:
+        rows = found.toPandas()
+        kinds = _sorted_kinds(rows["short"].to_numpy(np.int64), rows["kind"].to_numpy(np.int32), bits)
+        known = spark.sparkContext.broadcast((kinds.short, kinds.kind))
+        return docs.mapInArrow(_documents(known, bits, key_bits, limits.salt_rows), schema)
+    numbered = stored(docs.withColumn("uid", F.monotonically_increasing_id()), "shingle-numbered")
+    marks = numbered.select("uid", "text").mapInArrow(partial(_shorts, bits), "uid long, short long").join(found, "short")
+    marks = marks.groupBy("uid").agg(F.collect_list(F.struct("short", "kind")).alias("marks"))
+    rows = numbered.join(marks, "uid", "left").select("doc_id", "mark", "text", "marks")
+    return rows.mapInArrow(_documents(None, bits, key_bits, limits.salt_rows), schema)
+
+
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A stream of (key, salt, node, n) sorted so, without repeated rows and rows that are alone under an unsalted key."""
+    names = ["key", "salt", "node", "n"]
+    held, matched = None, False
     for batch in batches:
-        pdf = batch.to_pandas()
-        if not len(pdf):
+        if not batch.num_rows:
             continue
-        last = pdf["key"].iloc[-1]
-        cut = int((pdf["key"].to_numpy() == last).argmax())
-        if cut or (held and held[-1]["key"].iloc[-1] != last):
-            yield pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
-            held = []
-        held.append(pdf.iloc[cut:])
-    if held:
-        yield pd.concat(held, ignore_index=True)
+        now = [batch.column(c).to_numpy() for c in names]
+        now = now if held is None else [np.append(a, b) for a, b in zip(held, now, strict=True)]
+        same = (now[0][1:] == now[0][:-1]) & (now[1][1:] == now[1][:-1])
+        fresh = np.append(True, ~(same & (now[2][1:] == now[2][:-1])))
+        now = [x[fresh] for x in now]
+        same = (now[0][1:] == now[0][:-1]) & (now[1][1:] == now[1][:-1])
+        keep = now[1] > 0
+        keep[0] |= matched
+        keep[1:] |= same
+        keep[:-1] |= same
+        held, matched = [x[-1:] for x in now], bool(keep[-1])
+        keep[-1] = False
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in now], names=names)
+    if matched:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=names)
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """Rows (key, salt, node, n) of keys that several nodes have."""
+    spread = rows.select("key", "salt", "node", "n").repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "node")
+    return stored(spread.mapInArrow(_several, "key long, salt int, node long, n long"), "shingle-rows")
+
+
+# --- 3. and 4. pairs ------------------------------------------------------------------------------------------------
 
 
 class _Pairs:
@@ -218,18 +349,19 @@ class _Pairs:
 
 
 def _neighbours(reach: int):
-    """Nodes of different components at most `reach` rows apart under a key that are not too different in size."""
+    """Nodes of different components at most `reach` rows apart in a group that are not too different in size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, last = _Pairs(), None
         for batch in batches:
-            now = [batch.column(c).to_numpy() for c in ("key", "node", "n", "root")]
+            now = [batch.column(c).to_numpy() for c in ("key", "part", "node", "n", "root")]
             kept = 0 if last is None else len(last[0])
-            key, node, n, root = now if last is None else (np.append(x, y) for x, y in zip(last, now, strict=True))
-            last = [x[-reach:] for x in (key, node, n, root)]
+            key, part, node, n, root = now if last is None else (np.append(x, y) for x, y in zip(last, now, strict=True))
+            last = [x[-reach:] for x in (key, part, node, n, root)]
             for d in range(1, reach + 1):
                 a, b = n[:-d], n[d:]
-                near = (key[d:] == key[:-d]) & (root[d:] != root[:-d]) & (4 * np.minimum(a, b) >= 3 * np.maximum(a, b))
+                near = (key[d:] == key[:-d]) & (part[d:] == part[:-d]) & (root[d:] != root[:-d])
+                near &= 4 * np.minimum(a, b) >= 3 * np.maximum(a, b)
                 near[: max(0, kept - d)] = False  # both were in the batch before
                 found.add(node[:-d][near], node[d:][near])
             if found.full():
@@ -239,38 +371,101 @@ def _neighbours(reach: int):
     return run
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes of different components under a key whose bitmaps do not exclude a link, tile by tile in order of size.
+def _stacked(bits: pd.Series) -> np.ndarray:
+    """Bitmaps as rows of bytes, all folded to the narrowest."""
+    width = int(bits.map(len).min())
+    return np.concatenate([folded(np.frombuffer(x, np.uint8)[None, :], width) for x in bits]).view(np.uint64)
+
+
+def _tiles(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a group (tile x, tile y; or one tile with itself) that the bitmaps do not exclude.
 
     A pair is named under the smallest key that both nodes have, so once.
     """
-    found = _Pairs()
-    for pdf in _runs(batches):
-        key, node, n, root = (pdf[c].to_numpy() for c in ("key", "node", "n", "root"))
-        bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), -1)
-        cuts = np.append(np.flatnonzero(np.diff(key, prepend=key[0] - 1)), len(key))
-        own = pdf["own"].to_numpy()
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            before = [frozenset(x[x < key[i]].tolist()) for x in own[i:j]]
-            for at in range(i, j, TILE):
-                x = slice(at, min(at + TILE, j))
-                for other in range(at, j, TILE):
-                    if 4 * n[x][-1] < 3 * n[other]:
-                        break  # all later tiles hold larger sets
-                    y = slice(other, min(other + TILE, j))
-                    apart = root[x][:, None] != root[y][None, :]
-                    if not apart.any():
-                        continue
-                    differ = np.bitwise_count(bits[x][:, None, :] ^ bits[y][None, :, :]).sum(2, dtype=np.int64)
-                    a, b = n[x][:, None], n[y][None, :]
-                    most = np.minimum((a + b - differ) // 2, np.minimum(a, b))
-                    p, q = np.nonzero((most >= needed(a, b)) & apart)
-                    new = [before[at - i + v].isdisjoint(before[other - i + w]) for v, w in zip(p, q, strict=True)]
-                    p, q = p[new], q[new]
-                    found.add(node[x][p], node[y][q])
-                    if found.full():
-                        yield found.batch()
-    yield found.batch()
+    x = pdf[pdf["side"] == 0]
+    y = pdf[pdf["side"] == 1]
+    alike = not len(y)
+    y = x if alike else y
+    if not len(x):
+        return pd.DataFrame({"a": pd.Series(dtype=np.int64), "b": pd.Series(dtype=np.int64)})
+    width = min(int(x["bits"].map(len).min()), int(y["bits"].map(len).min()))
+    p_bits, q_bits = (folded(_stacked(v["bits"]).view(np.uint8), width).view(np.uint64) for v in (x, y))
+    key, pairs = int(pdf["key"].iloc[0]), _Pairs()
+    p_own, q_own = ([frozenset(k[k < key].tolist()) for k in v["own"]] for v in (x, y))
+    b, rb, nb = (y[c].to_numpy() for c in ("node", "root", "n"))
+    for i, (node, root, n) in enumerate(zip(x["node"], x["root"], x["n"], strict=True)):
+        may = (rb != root) & (needed(n, nb) <= np.minimum(n, nb))
+        if alike:
+            may[: i + 1] = False
+        at = np.flatnonzero(may)
+        if not len(at):
+            continue
+        differ = np.bitwise_count(p_bits[i] ^ q_bits[at]).sum(1, dtype=np.int64)
+        at = at[(n + nb[at] - differ) // 2 >= needed(n, nb[at])]
+        at = np.array([j for j in at if p_own[i].isdisjoint(q_own[j])], np.int64)
+        pairs.add(np.full(len(at), node), b[at])
+    out = pairs.batch()
+    return pd.DataFrame({"a": out.column(0).to_numpy(), "b": out.column(1).to_numpy()})
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingles) as (node, member) for each shingle."""
+    for batch in sliced(batches):
+        for node, raw in zip(batch.column(0), batch.column(1), strict=True):
+            member = np.frombuffer(raw.as_buffer(), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(member), node.as_py())), pa.array(member)], names=["node", "member"])
+
+
+def _crowd(rows: DataFrame, nodes: DataFrame, tile: int) -> DataFrame:
+    """The nodes under keys of more than a tile that share so little with all others of them that no two of them link:
+    of a pair's union each one's own members, more than a seventh of it, would be missing in the intersection."""
+    big = rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > tile).select("key")
+    some = nodes.join(rows.join(big, "key", "left_semi").select("node").distinct(), "node", "left_semi")
+    members = some.select("node", "shingles").mapInArrow(_members, "node long, member long")
+    own = members.groupBy("member").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    own = own.groupBy("node").agg(F.count("*").alias("own")).join(some.select("node", "n"), "node")
+    return own.where("7 * own > n").select("node", F.lit(1).alias("crowd"))
+
+
+def _tile_pairs(rows: DataFrame, nodes: DataFrame, per_tile: int) -> DataFrame:
+    """Pairs (a, b) of the open rows (key, node, n, root) that may link."""
+    crowd = stored(_crowd(rows, nodes, per_tile), "shingle-crowd")
+    known = rows.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("own")).join(nodes.select("node", "bits"), "node")
+    known = stored(known.join(crowd, "node", "left").fillna(0, ["crowd"]), "shingle-open-nodes")
+    rows = rows.join(known.select("node", "crowd"), "node")
+    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / BAND).cast("int"))
+    sizes = rows.groupBy("key", "band", "crowd").agg(F.ceil(F.count("*") / per_tile).cast("int").alias("tiles"))
+    end = lambda c: sizes.select("key", *[F.col(k).alias(f"{k}_{c}") for k in ("band", "crowd", "tiles")])
+    meet = F.col("band_y").isin(F.col("band_x"), F.col("band_x") + 1) & ~((F.col("crowd_x") == 1) & (F.col("crowd_y") == 1))
+    ordered = (F.col("band_x") < F.col("band_y")) | (F.col("crowd_x") <= F.col("crowd_y"))
+    meets = stored(end("x").join(end("y"), "key").where(meet & ordered), "shingle-meets")
+    one = (F.col("band_x") == F.col("band_y")) & (F.col("crowd_x") == F.col("crowd_y"))
+    tile = lambda many: F.pmod(F.xxhash64("node"), F.col(many)).cast("int")
+    upto = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+
+    def side(c: str, o: str) -> DataFrame:
+        mine = rows.withColumnsRenamed({"band": f"band_{c}", "crowd": f"crowd_{c}"}).join(meets, ["key", f"band_{c}", f"crowd_{c}"])
+        mine = mine.withColumn(f"tile_{c}", tile(f"tiles_{c}"))
+        own = F.col(f"tile_{c}")
+        twins = upto(own, F.col("tiles_x") - 1) if c == "x" else upto(F.lit(0), own - 1)
+        others = F.when(one, twins).otherwise(upto(F.lit(0), F.col(f"tiles_{o}") - 1))
+        mine = mine.withColumn(f"tile_{o}", F.explode(others))
+        return mine.select("key", "band_x", "band_y", "crowd_x", "crowd_y", "tile_x", "tile_y", F.lit(0 if c == "x" else 1).alias("side"), "node", "n", "root")
+
+    both = side("x", "y").unionByName(side("y", "x")).join(known.select("node", "own", "bits"), "node")
+    return both.groupBy("key", "band_x", "band_y", "crowd_x", "crowd_y", "tile_x", "tile_y").applyInPandas(_tiles, "a long, b long")
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that the bitmaps do not exclude."""
+    for batch in batches:
+        keep = []
+        for x, y, n, m in zip(*(batch.column(c) for c in ("bits_a", "bits_b")), *(batch.column(c).to_numpy() for c in ("n_a", "n_b")), strict=True):
+            p, q = (np.frombuffer(v.as_buffer(), np.uint8)[None, :] for v in (x, y))
+            width = min(p.shape[1], q.shape[1])
+            differ = int(np.bitwise_count(folded(p, width) ^ folded(q, width)).sum(dtype=np.int64))
+            keep.append((n + m - differ) // 2 >= -(-3 * (n + m) // 7))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,11 +480,17 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def _joined(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    for c in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns]), c)
+    return pairs.select("a", "b", *[f"{x}_{c}" for x in columns for c in ("a", "b")])
+
+
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that really link; both joins are on evenly spread node hashes and may be split where skewed."""
-    of = lambda c: nodes.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
-    both = pairs.distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b")
-    return both.mapInArrow(_linked, "a long, b long")
+    """The pairs (a, b) that really link: bitmaps first, sets only of what these leave. The joins are on evenly spread
+    node hashes and may be split where skewed."""
+    likely = _joined(pairs.distinct(), nodes, "bits", "n").mapInArrow(_bounded, "a long, b long")
+    return _joined(likely, nodes, "shingles").mapInArrow(_linked, "a long, b long")
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -304,15 +505,16 @@ def _open_rows(keyed: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows under keys that hold nodes of several components."""
     known = keyed.join(roots, "node")
     several = known.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    return stored(known.join(several, "key").select("key", "node", "n", "root"), "shingle-open")
+    return stored(known.join(several, "key").select("key", "node", "n", "root", "parts"), "shingle-open")
 
 
-def _different_keys(keyed: DataFrame) -> DataFrame:
-    """The rows under keys with two nodes or more, of keys with the same nodes only the smallest."""
+def _different_keys(rows: DataFrame, salt_rows: int) -> DataFrame:
+    """The rows, with the number of parts a key is dealt to; of keys with the same nodes only the smallest."""
     mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "node"))
-    lists = keyed.groupBy("key").agg(F.count("*").alias("c"), mark(1).alias("x"), mark(2).alias("y")).where("c > 1")
-    kept = lists.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key")
-    return stored(keyed.join(kept, "key", "left_semi"), "shingle-keys")
+    lists = rows.groupBy("key").agg(F.count("*").alias("c"), mark(1).alias("x"), mark(2).alias("y"))
+    kept = lists.where("c > 1").groupBy("c", "x", "y").agg(F.min("key").alias("key"))
+    kept = kept.select("key", F.ceil(F.col("c") / salt_rows).cast("int").alias("parts"))
+    return stored(rows.join(kept, "key").select("key", "node", "n", "parts"), "shingle-keys")
 
 
 def _open_pairs(rows: DataFrame) -> tuple[float, int]:
@@ -323,39 +525,55 @@ def _open_pairs(rows: DataFrame) -> tuple[float, int]:
     return pairs or 0.0, int(total or 0)
 
 
-def components_of(nodes: DataFrame) -> DataFrame:
-    """(node, root) of all nodes.
+def components_of(rows: DataFrame, nodes: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """(node, root) of all nodes (node, n, bits, shingles) that have rows (key, node, n).
 
     Round 0 compares neighbours by size under each key, later rounds neighbours in an order that changes from round to
-    round, and only across components. A group of near copies grows together in a few rounds, at one pair a node and
-    round. When few open pairs are left, or a round finds hardly any link, all that are still open are compared.
+    round, and only across components; a key with many rows is dealt to parts, anew in each round. A group of near
+    copies grows together in a few rounds, at one pair a node and round. When few open pairs are left, or a round finds
+    hardly any link, all that are still open are compared, whatever part they were in.
     """
-    keyed = _different_keys(nodes.select(F.explode("keys").alias("key"), "node", "n"))
+    keyed = _different_keys(rows, limits.salt_rows)
     roots = nodes.select("node", F.col("node").alias("root"))
     rows, order = keyed.withColumn("root", F.col("node")), F.col("n")
     for turn in range(1, MOST_ROUNDS + 1):
-        spread = rows.repartition("key").sortWithinPartitions("key", order, "node")
-        near = spread.mapInArrow(_neighbours(1 if turn == 1 else REACH), "a long, b long")
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(-turn), "node"), F.col("parts")).cast("int"))
+        spread = dealt.repartition("key", "part").sortWithinPartitions("key", "part", order, "node")
+        near = spread.select("key", "part", "node", "n", "root").mapInArrow(_neighbours(1 if turn == 1 else REACH), "a long, b long")
         links = stored(verified(near, nodes), "shingle-links")
         roots = _merged(roots, links)
         rows, order = _open_rows(keyed, roots), F.xxhash64(F.lit(turn), "node")
         pairs, total = _open_pairs(rows)
         if pairs <= FEW * total or (turn > 1 and links.count() < total / 100):
             break
-    known = rows.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("own")).join(nodes.select("node", "bits"), "node")
-    spread = rows.join(known, "node").repartition("key").sortWithinPartitions("key", "n", "node")
-    return _merged(roots, verified(spread.select("key", "node", "n", "root", "bits", "own").mapInArrow(_tiles, "a long, b long"), nodes))
+    return _merged(roots, verified(_tile_pairs(rows.drop("parts"), nodes, limits.tile), nodes)) if pairs else roots
+
+
+def _node_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as (node, bits, shingles), each set once a task or more."""
+    seen: set[int] = set()
+    for batch in sliced(batches):
+        rows = []
+        for text in batch.column(0).cast(pa.binary()):
+            s = shingles(text.as_py())
+            if len(s) and _unseen(node := node_of(s), seen):
+                rows.append((node, bitmap(s), s.astype("<u8").tobytes()))
+        columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "bits", "shingles"])
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = LIMITS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    spark = docs.sparkSession
-    classes = spark.sparkContext.broadcast(class_table(docs, text_col))
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"doc_id {kind}, n long, node long, keys array<long>, shingles binary, bits binary"
-    sets = stored(docs.select(id_col, text_col).mapInArrow(_documents(classes), schema), "shingle-sets")
-    nodes = stored(sets.where("keys is not null").drop("doc_id").dropDuplicates(["node"]), "shingle-nodes")
-    roots = components_of(nodes)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    sets = stored(_sets(texts, limits), "shingle-sets")
+    one = sets.select("node", "n", F.explode("keys").alias("key"), F.lit(0).alias("salt"))
+    rows = meeting(one.unionByName(sets.select("node", "n", F.inline("hot"))))
+
+    known = sets.where("node is not null").groupBy("node", "n").agg(F.min("mark").alias("mark"))
+    known = stored(known.join(rows.select("node").distinct(), "node", "left_semi"), "shingle-known")
+    some = texts.join(known.select("mark").distinct(), "mark", "left_semi").select("text")
+    nodes = some.mapInArrow(_node_sets, "node long, bits binary, shingles binary").join(known.drop("mark"), "node").dropDuplicates(["node"])
+    roots = components_of(rows, stored(nodes, "shingle-nodes"), limits)
 
     first = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     grouped = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

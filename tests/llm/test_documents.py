@@ -73,6 +73,35 @@ def test_large_family_with_many_edits(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(df).collect()} == groups(texts)
 
 
+@pytest.mark.parametrize("rows", [10**6, 0])
+def test_hot_keys_are_cut_up_without_losing_links(spark, rows):
+    """Pages of one template with 10 to 24 % of their own text, all keys hot, frequent shingles broadcast and joined."""
+    rng = random.Random(6)
+    template = words(rng, 150).split()
+    texts = {i: " ".join([*template, *words(rng, rng.randint(10, 48)).split()]) for i in range(70)}
+    texts |= {100 + i: words(rng, 3) + " " + " ".join(template) for i in range(5)} | {200: texts[3], 201: texts[3].upper()}
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    limits = jaccard.Limits(frequent=4, frequent_rows=rows, salt_rows=8, tile=8)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(df, limits=limits).collect()} == groups(texts)
+
+
+def test_packed_numbers():
+    x = np.random.default_rng(3).integers(0, 2**32, 1000, dtype=np.uint32)
+    assert (jaccard._numbers(jaccard._planes(x)) == x).all()
+
+
+def test_bitmaps_never_exclude_a_link():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 300, 20_000):
+        pool = rng.integers(0, 2**64, 2 * n + 4, dtype=np.uint64)
+        a = np.unique(pool[:n])
+        b = np.unique(np.concatenate([pool[: n - n // 9], pool[n : n + n // 7]]))
+        p, q = (np.frombuffer(jaccard.bitmap(x), np.uint8)[None, :] for x in (a, b))
+        width = min(p.shape[1], q.shape[1])
+        differ = int(np.bitwise_count(jaccard.folded(p, width) ^ jaccard.folded(q, width)).sum())
+        assert (len(a) + len(b) - differ) // 2 >= len(np.intersect1d(a, b))
+
+
 def test_odd_rows(odd, empty, odd_rows):
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(odd).collect())
     assert got[1, 76, 1] == 1 and got[2, 76, 1] == 2 and got[3, 0, 3] == 1 and got[4, 0, 4] == 1 and got[8, 1, 8] == 1
