@@ -5,8 +5,8 @@ Two documents link when their sets of 5-word shingles have a Jaccard similarity
 1. Count, over all documents, how many hold each shingle (a shuffle of packed counts); those that `frequent` documents or
    more hold are the frequent ones, with the binary logarithm of their count as their class.
 2. Order shingles by (class, hash), so the rare ones come first. Sets that link share a shingle among the first
-   n - ceil(3n/4) + 1 of both. These are a set's keys; rows under keys that only one set has are dropped in a sorted
-   stream. Keys of very frequent shingles are salted from the start, so no task gets more than about `salt_rows` of them.
+   n - ceil(3n/4) + 1 of both. These are a set's keys. Keys that are not frequent meet in packed parts of even size, where
+   those that only one set has are dropped; the frequent ones, which could fill a part, are rows of their own.
 3. Equal sets are one node. Nodes next to each other under a key are compared, in an order that changes from round to
    round, which joins whole groups of near copies by chains instead of by all pairs.
 4. What is still open is cut into tiles by key, size band and hash, and pairs of tiles meet as Spark groups of bounded
@@ -16,7 +16,7 @@ Two documents link when their sets of 5-word shingles have a Jaccard similarity
 
 Every candidate pair, of 3 and of 4, passes the bitmap bound first: with d differing bits two sets share at most
 (a + b - d) / 2 shingles. Bitmaps grow with the sets (a wide one is folded to meet a narrow one), so long sets do not
-saturate. What the bound does not exclude is intersected exactly.
+saturate. What the bound does not exclude is intersected exactly; only these sets are computed again from their texts.
 
 Nothing is capped. The frequent shingles are broadcast up to `frequent_rows` rows (2 million: 24 MB), else joined.
 Sets are 64-bit hashes, nodes 64-bit hashes of sets: among 1e9 different texts a collision of nodes is expected with a
@@ -32,13 +32,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medloom.llm.cc import components
@@ -61,7 +61,7 @@ class Limits:
 
     frequent: int = 64  # documents that make a shingle frequent
     frequent_rows: int = 2_000_000  # frequent shingles that may be broadcast
-    salt_rows: int = 4096  # rows of a key that one task should get
+    salt_rows: int = 4096  # rows of a key that are dealt to one part
     tile: int = 1024  # nodes in a tile
 
 
@@ -177,26 +177,22 @@ def _sorted_kinds(short: np.ndarray, kind: np.ndarray, bits: int) -> Kinds:
 # --- 2. keys --------------------------------------------------------------------------------------------------------
 
 
-def salts(kind: np.ndarray, salt_rows: int) -> np.ndarray:
-    """Into how many groups the rows of keys of these classes are dealt; one if they are few."""
-    return np.maximum(1, (1 << np.minimum(kind, 62).astype(np.int64)) // salt_rows)
-
-
 def cut_keys(hashes: np.ndarray, key_bits: int) -> np.ndarray:
     return (mixed(hashes) >> np.uint64(64 - key_bits)).view(np.int64)
 
 
 def key_bits_for(size: int) -> int:
-    return min(60, math.ceil(math.log2(max(2, size))) + 6)
+    """Bits of a key, so that leading ones beyond 32 make parts of some 3 million keys of a text of `size` bytes."""
+    return min(62, max(36, math.ceil(math.log2(max(2, size))) + 6))
 
 
-def _keys(kinds: Kinds, s: np.ndarray, key_bits: int, salt_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of a set, distinct, and into how many groups each is dealt."""
+def _keys(kinds: Kinds, s: np.ndarray, key_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a set, distinct: those that are not frequent, and those that are."""
     first = len(s) - -(-3 * len(s) // 4) + 1
     kind = kinds.of(s)
-    at = np.lexsort((s, kind))[:first] if kind.any() else slice(0, first)
-    keys, where = np.unique(cut_keys(s[at], key_bits), return_index=True)
-    return keys, salts(kind[at][where], salt_rows)
+    at = np.lexsort((s, kind))[:first] if kind.any() else np.arange(first)
+    keys, hot = cut_keys(s[at], key_bits), kind[at] > 0
+    return np.unique(keys[~hot]), np.unique(keys[hot])
 
 
 def node_of(s: np.ndarray) -> int:
@@ -204,8 +200,8 @@ def node_of(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """As many bits as the set has members, doubled and rounded up to a power of two, 256 at least."""
-    width = max(256, 1 << (2 * len(s) - 1).bit_length())
+    """As many bits as the set has members, doubled and rounded up to a power of two, 64 at least."""
+    width = max(64, 1 << (2 * len(s) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -216,7 +212,8 @@ def folded(bits: np.ndarray, width: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(len(bits), -1, width), axis=1) if bits.shape[1] > width else bits
 
 
-def _unseen(node: int, seen: set[int]) -> bool:
+def unseen(node: int, seen: set[int]) -> bool:
+    """Whether a task meets a node for the first time, as far as it remembers."""
     if node in seen:
         return False
     if len(seen) >= SEEN:
@@ -225,12 +222,12 @@ def _unseen(node: int, seen: set[int]) -> bool:
     return True
 
 
-_SET_TYPES = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("key", pa.int64()), ("salt", pa.int32())]))]
-_SET_SCHEMA = "n long, node long, keys array<long>, hot array<struct<key: long, salt: int>>"
+_SET_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+_SET_SCHEMA = "n long, node long, bits binary, keys array<long>, hot array<long>"
 
 
-def _documents(known, bits: int, key_bits: int, salt_rows: int):
-    """Rows (doc_id, mark, text[, marks]) as sets; equal sets that a task meets again come without keys."""
+def _documents(known, bits: int, key_bits: int):
+    """Rows (doc_id, mark, text[, marks]) as sets; equal sets that a task meets again come without bits and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, seen = (Kinds(*known.value, bits) if known else None), set()
@@ -238,22 +235,16 @@ def _documents(known, bits: int, key_bits: int, salt_rows: int):
             rows = []
             for i, text in enumerate(batch.column(2).cast(pa.binary())):
                 s = shingles(text.as_py())
-                if not len(s):
-                    rows.append((0, None, None, None))
+                node = node_of(s) if len(s) else None
+                if node is None or not unseen(node, seen):
+                    rows.append((len(s), node, None, None, None))
                     continue
                 if not known:
                     own = batch.column(3)[i].as_py() or []
                     kinds = _sorted_kinds(np.array([x["short"] for x in own], np.int64), np.array([x["kind"] for x in own], np.int32), bits)
-                node = node_of(s)
-                keys, many = _keys(kinds, s, key_bits, salt_rows)
-                if not _unseen(node, seen):
-                    rows.append((len(s), node, None, None))
-                    continue
-                salted = many > 1
-                hot = [{"key": int(k), "salt": 1 + node % int(m)} for k, m in zip(keys[salted], many[salted], strict=True)]
-                rows.append((len(s), node, keys[~salted], hot or None))
+                rows.append((len(s), node, bitmap(s), *_keys(kinds, s, key_bits)))
             columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(_SET_TYPES)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "mark", "n", "node", "keys", "hot"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "mark", "n", "node", "bits", "keys", "hot"])
 
     return run
 
@@ -266,52 +257,111 @@ def _shorts(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(short), uid.as_py())), pa.array(short)], names=["uid", "short"])
 
 
-def _sets(docs: DataFrame, limits: Limits) -> DataFrame:
-    """Rows (doc_id, mark, text) as (doc_id, mark, n, node, keys, hot); mark is a hash of the text."""
-    spark, size = docs.sparkSession, text_bytes(docs)
+def broadcast_kinds(found: DataFrame, bits: int, most: int):
+    """The frequent hashes as a broadcast (short, kind), sorted; None where there are more than `most`."""
+    if found.count() > most:
+        return None
+    rows = found.toPandas()
+    kinds = _sorted_kinds(rows["short"].to_numpy(np.int64), rows["kind"].to_numpy(np.int32), bits)
+    return found.sparkSession.sparkContext.broadcast((kinds.short, kinds.kind))
+
+
+def _sets(docs: DataFrame, size: int, limits: Limits) -> DataFrame:
+    """Rows (doc_id, mark, text) as (doc_id, mark, n, node, bits, keys, hot); mark is a hash of the text."""
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, mark long, {_SET_SCHEMA}"
     found, bits = frequent(docs.select("text"), _of_texts, size / 6, limits.frequent)
     key_bits = key_bits_for(size)
-    if found.count() <= limits.frequent_rows:
-        rows = found.toPandas()
-        kinds = _sorted_kinds(rows["short"].to_numpy(np.int64), rows["kind"].to_numpy(np.int32), bits)
-        known = spark.sparkContext.broadcast((kinds.short, kinds.kind))
-        return docs.mapInArrow(_documents(known, bits, key_bits, limits.salt_rows), schema)
+    if known := broadcast_kinds(found, bits, limits.frequent_rows):
+        return docs.mapInArrow(_documents(known, bits, key_bits), schema)
     numbered = stored(docs.withColumn("uid", F.monotonically_increasing_id()), "shingle-numbered")
     marks = numbered.select("uid", "text").mapInArrow(partial(_shorts, bits), "uid long, short long").join(found, "short")
     marks = marks.groupBy("uid").agg(F.collect_list(F.struct("short", "kind")).alias("marks"))
     rows = numbered.join(marks, "uid", "left").select("doc_id", "mark", "text", "marks")
-    return rows.mapInArrow(_documents(None, bits, key_bits, limits.salt_rows), schema)
+    return rows.mapInArrow(_documents(None, bits, key_bits), schema)
+
+
+def _part_rows(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    """Gathered (node, keys) by the leading bits of the keys: their last 32 bits as differences, and the nodes."""
+    keys = np.concatenate([k for _, k in parts])
+    nodes = np.repeat(np.array([n for n, _ in parts], np.int64), [len(k) for _, k in parts])
+    order = np.argsort(keys, kind="stable")
+    keys, nodes = keys[order], nodes[order]
+    group, low = keys >> 32, (keys & 0xFFFFFFFF).astype(np.uint32)
+    cuts = np.flatnonzero(np.diff(group, prepend=-1))
+    each = list(zip(cuts, np.append(cuts[1:], len(keys)), strict=True))
+    return pa.RecordBatch.from_pydict({
+        "part": pa.array(group[cuts], pa.int64()),
+        "low": pa.array([_planes(np.diff(low[i:j], prepend=np.uint32(0))) for i, j in each], pa.binary()),
+        "nodes": pa.array([nodes[i:j].tobytes() for i, j in each], pa.binary()),
+    })
 
 
-def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A stream of (key, salt, node, n) sorted so, without repeated rows and rows that are alone under an unsalted key."""
-    names = ["key", "salt", "node", "n"]
-    held, matched = None, False
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts, held = [], 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = [batch.column(c).to_numpy() for c in names]
-        now = now if held is None else [np.append(a, b) for a, b in zip(held, now, strict=True)]
-        same = (now[0][1:] == now[0][:-1]) & (now[1][1:] == now[1][:-1])
-        fresh = np.append(True, ~(same & (now[2][1:] == now[2][:-1])))
-        now = [x[fresh] for x in now]
-        same = (now[0][1:] == now[0][:-1]) & (now[1][1:] == now[1][:-1])
-        keep = now[1] > 0
-        keep[0] |= matched
-        keep[1:] |= same
-        keep[:-1] |= same
-        held, matched = [x[-1:] for x in now], bool(keep[-1])
-        keep[-1] = False
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in now], names=names)
-    if matched:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=names)
-
-
-def meeting(rows: DataFrame) -> DataFrame:
-    """Rows (key, salt, node, n) of keys that several nodes have."""
-    spread = rows.select("key", "salt", "node", "n").repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "node")
-    return stored(spread.mapInArrow(_several, "key long, salt int, node long, n long"), "shingle-rows")
+        ends = batch.column(1).offsets.to_numpy()
+        flat = batch.column(1).values.to_numpy()
+        for node, i, j in zip(batch.column(0).to_numpy(), ends[:-1], ends[1:], strict=True):
+            parts.append((node, flat[i:j]))
+            held += j - i
+            if held >= FLUSH:
+                yield _part_rows(parts)
+                parts, held = [], 0
+    if held:
+        yield _part_rows(parts)
+
+
+def _met(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a part whose key several nodes have."""
+    low = np.concatenate([np.cumsum(_numbers(x), dtype=np.uint32) for x in pdf["low"]])
+    node = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["nodes"]])
+    order = np.lexsort((node, low))
+    low, node = low[order], node[order]
+    fresh = np.append(True, (low[1:] != low[:-1]) | (node[1:] != node[:-1]))
+    low, node = low[fresh], node[fresh]
+    same, keep = low[1:] == low[:-1], np.zeros(len(low), bool)
+    keep[1:] |= same
+    keep[:-1] |= same
+    return pd.DataFrame({"key": low[keep].astype(np.int64) + (int(pdf["part"].iloc[0]) << 32), "node": node[keep]})
+
+
+def meeting(lists: DataFrame) -> DataFrame:
+    """(key, node) for the keys that several nodes have, of rows (node, keys); no key may be frequent here."""
+    packed = lists.where(F.size("keys") > 0).mapInArrow(_parts, "part long, low binary, nodes binary")
+    return packed.groupBy("part").applyInPandas(_met, "key long, node long")
+
+
+def _split(known, bits: int, key_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = Kinds(*known.value, bits)
+        for batch in batches:
+            flat, ends = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
+            hot = kinds.of(flat.view(np.uint64) << np.uint64(64 - key_bits)) > 0
+            lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(some))[ends].astype(np.int32)), pa.array(flat[some])) for some in (~hot, hot)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["node", "keys", "hot"])
+
+    return run
+
+
+def _of_lists(key_bits: int, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    flat, ends = batch.column(0).values.to_numpy(), batch.column(0).offsets.to_numpy()
+    yield flat[ends[0] : ends[-1]].view(np.uint64) << np.uint64(64 - key_bits)
+
+
+def meeting_lists(lists: DataFrame, key_bits: int, limits: Limits = LIMITS) -> DataFrame:
+    """(key, node) for the keys that several nodes have, of rows (node, keys); any key may be frequent.
+
+    Frequent keys are told by an exact count and go as rows of their own, so that no part grows with one of them; where
+    there are too many of them to broadcast, all go so.
+    """
+    lists = lists.where(F.size("keys") > 0)
+    many = lists.agg(F.sum(F.size("keys"))).first()[0] or 0
+    found, bits = frequent(lists.select("keys"), partial(_of_lists, key_bits), many, limits.frequent)
+    known = broadcast_kinds(found, bits, limits.frequent_rows)
+    if not known:
+        return lists.select(F.explode("keys").alias("key"), "node").distinct()
+    split = lists.mapInArrow(_split(known, bits, key_bits), "node long, keys array<long>, hot array<long>")
+    return meeting(split.select("node", "keys")).unionByName(split.select(F.explode("hot").alias("key"), "node").distinct())
 
 
 # --- 3. and 4. pairs ------------------------------------------------------------------------------------------------
@@ -371,41 +421,73 @@ def _neighbours(reach: int):
     return run
 
 
-def _stacked(bits: pd.Series) -> np.ndarray:
-    """Bitmaps as rows of bytes, all folded to the narrowest."""
-    width = int(bits.map(len).min())
-    return np.concatenate([folded(np.frombuffer(x, np.uint8)[None, :], width) for x in bits]).view(np.uint64)
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """A stream sorted by `group` in pieces that never cut a group, which holds two tiles at most."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        pdf = batch.to_pandas()
+        if not len(pdf):
+            continue
+        last = pdf["group"].iloc[-1]
+        cut = int((pdf["group"].to_numpy() == last).argmax())
+        if cut or (held and held[-1]["group"].iloc[-1] != last):
+            yield pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
+            held = []
+        held.append(pdf.iloc[cut:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+class _Maps:
+    """Bitmaps of rows, brought to a common width where two rows meet."""
+
+    def __init__(self, bits: pd.Series) -> None:
+        self.bits, self.width, self.made = bits.to_numpy(), bits.map(len).to_numpy(), {}
+
+    def _of(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        if width not in self.made:
+            rows = np.flatnonzero(self.width >= width)
+            at = np.full(len(self.width), -1)
+            at[rows] = np.arange(len(rows))
+            maps = np.concatenate([folded(np.frombuffer(self.bits[k], np.uint8)[None, :], width) for k in rows])
+            self.made[width] = at, maps.view(np.uint64)
+        return self.made[width]
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out, widths = np.empty(len(i), np.int64), np.minimum(self.width[i], self.width[j])
+        for width in np.unique(widths):
+            at, maps = self._of(int(width))
+            for some in np.array_split(np.flatnonzero(widths == width), 1 + len(i) * int(width) // 50_000_000):
+                out[some] = np.bitwise_count(maps[at[i[some]]] ^ maps[at[j[some]]]).sum(1, dtype=np.int64)
+        return out
 
 
-def _tiles(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a group (tile x, tile y; or one tile with itself) that the bitmaps do not exclude.
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the two tiles of a group (of a tile that is alone: of its rows) that the bitmaps do not exclude.
 
     A pair is named under the smallest key that both nodes have, so once.
     """
-    x = pdf[pdf["side"] == 0]
-    y = pdf[pdf["side"] == 1]
-    alike = not len(y)
-    y = x if alike else y
-    if not len(x):
-        return pd.DataFrame({"a": pd.Series(dtype=np.int64), "b": pd.Series(dtype=np.int64)})
-    width = min(int(x["bits"].map(len).min()), int(y["bits"].map(len).min()))
-    p_bits, q_bits = (folded(_stacked(v["bits"]).view(np.uint8), width).view(np.uint64) for v in (x, y))
-    key, pairs = int(pdf["key"].iloc[0]), _Pairs()
-    p_own, q_own = ([frozenset(k[k < key].tolist()) for k in v["own"]] for v in (x, y))
-    b, rb, nb = (y[c].to_numpy() for c in ("node", "root", "n"))
-    for i, (node, root, n) in enumerate(zip(x["node"], x["root"], x["n"], strict=True)):
-        may = (rb != root) & (needed(n, nb) <= np.minimum(n, nb))
-        if alike:
-            may[: i + 1] = False
-        at = np.flatnonzero(may)
-        if not len(at):
-            continue
-        differ = np.bitwise_count(p_bits[i] ^ q_bits[at]).sum(1, dtype=np.int64)
-        at = at[(n + nb[at] - differ) // 2 >= needed(n, nb[at])]
-        at = np.array([j for j in at if p_own[i].isdisjoint(q_own[j])], np.int64)
-        pairs.add(np.full(len(at), node), b[at])
-    out = pairs.batch()
-    return pd.DataFrame({"a": out.column(0).to_numpy(), "b": out.column(1).to_numpy()})
+    found = _Pairs()
+    for pdf in _runs(batches):
+        group, key, side, node, n, root = (pdf[c].to_numpy() for c in ("group", "key", "side", "node", "n", "root"))
+        cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        ends = np.repeat(np.append(cuts[1:], len(group)), np.diff(np.append(cuts, len(group))))
+        alone = np.repeat(np.add.reduceat(side, cuts) == 0, np.diff(np.append(cuts, len(group))))
+        maps, own = _Maps(pdf["bits"]), pdf["own"].to_numpy()
+        i, step = np.arange(len(group)), 1
+        while len(i := i[i + step < ends[i]]):
+            j = i + step
+            may = (root[i] != root[j]) & (alone[i] | (side[i] != side[j])) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
+            p, q = i[may], j[may]
+            if len(p):
+                likely = (n[p] + n[q] - maps.differ(p, q)) // 2 >= needed(n[p], n[q])
+                p, q = p[likely], q[likely]
+                first = np.array([not set(own[x][own[x] < key[x]].tolist()) & set(own[y].tolist()) for x, y in zip(p, q, strict=True)], bool)
+                found.add(node[p[first]], node[q[first]])
+                if found.full():
+                    yield found.batch()
+            step += 1
+    yield found.batch()
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,20 +498,23 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(member), node.as_py())), pa.array(member)], names=["node", "member"])
 
 
-def _crowd(rows: DataFrame, nodes: DataFrame, tile: int) -> DataFrame:
+def _crowd(rows: DataFrame, nodes: DataFrame, store: SetStore, tile: int) -> DataFrame:
     """The nodes under keys of more than a tile that share so little with all others of them that no two of them link:
     of a pair's union each one's own members, more than a seventh of it, would be missing in the intersection."""
     big = rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > tile).select("key")
-    some = nodes.join(rows.join(big, "key", "left_semi").select("node").distinct(), "node", "left_semi")
-    members = some.select("node", "shingles").mapInArrow(_members, "node long, member long")
+    some = stored(nodes.join(rows.join(big, "key", "left_semi").select("node").distinct(), "node", "left_semi").select("node", "n"), "shingle-crowd")
+    if some.isEmpty():
+        return some.select("node", F.lit(1).alias("crowd"))
+    sets = store.of(some.select("node")).join(some, "node", "left_semi").dropDuplicates(["node"])
+    members = sets.select("node", "shingles").mapInArrow(_members, "node long, member long")
     own = members.groupBy("member").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
     own = own.groupBy("node").agg(F.count("*").alias("own")).join(some.select("node", "n"), "node")
     return own.where("7 * own > n").select("node", F.lit(1).alias("crowd"))
 
 
-def _tile_pairs(rows: DataFrame, nodes: DataFrame, per_tile: int) -> DataFrame:
+def _tile_pairs(rows: DataFrame, nodes: DataFrame, store: SetStore, per_tile: int) -> DataFrame:
     """Pairs (a, b) of the open rows (key, node, n, root) that may link."""
-    crowd = stored(_crowd(rows, nodes, per_tile), "shingle-crowd")
+    crowd = stored(_crowd(rows, nodes, store, per_tile), "shingle-crowd")
     known = rows.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("own")).join(nodes.select("node", "bits"), "node")
     known = stored(known.join(crowd, "node", "left").fillna(0, ["crowd"]), "shingle-open-nodes")
     rows = rows.join(known.select("node", "crowd"), "node")
@@ -453,44 +538,76 @@ def _tile_pairs(rows: DataFrame, nodes: DataFrame, per_tile: int) -> DataFrame:
         return mine.select("key", "band_x", "band_y", "crowd_x", "crowd_y", "tile_x", "tile_y", F.lit(0 if c == "x" else 1).alias("side"), "node", "n", "root")
 
     both = side("x", "y").unionByName(side("y", "x")).join(known.select("node", "own", "bits"), "node")
-    return both.groupBy("key", "band_x", "band_y", "crowd_x", "crowd_y", "tile_x", "tile_y").applyInPandas(_tiles, "a long, b long")
+    both = both.withColumn("group", F.xxhash64("key", "band_x", "band_y", "crowd_x", "crowd_y", "tile_x", "tile_y"))
+    spread = both.select("group", "key", "side", "node", "n", "root", "own", "bits").repartition("group").sortWithinPartitions("group", "side")
+    return spread.mapInArrow(_tiles, "a long, b long")
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that the bitmaps do not exclude."""
+    """Pairs that the bitmaps do not exclude, with the most that they can share of what they need."""
     for batch in batches:
-        keep = []
-        for x, y, n, m in zip(*(batch.column(c) for c in ("bits_a", "bits_b")), *(batch.column(c).to_numpy() for c in ("n_a", "n_b")), strict=True):
-            p, q = (np.frombuffer(v.as_buffer(), np.uint8)[None, :] for v in (x, y))
-            width = min(p.shape[1], q.shape[1])
-            differ = int(np.bitwise_count(folded(p, width) ^ folded(q, width)).sum(dtype=np.int64))
-            keep.append((n + m - differ) // 2 >= -(-3 * (n + m) // 7))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+        bits = pd.concat([batch.column(c).to_pandas() for c in ("bits_a", "bits_b")], ignore_index=True)
+        at = np.arange(len(n))
+        most = (n + m - _Maps(bits).differ(at, at + len(n))) // 2 if len(n) else n
+        keep = most >= needed(n, m)
+        rows = batch.select(["a", "b"]).filter(pa.array(keep))
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(most[keep] / (n + m)[keep])], names=["a", "b", "share"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sorted arrays share enough."""
+    """Of a stream (a, b, node, shingles), sorted so, the pairs whose sorted arrays share enough."""
+    last, first = None, None
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            p, q = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
-            i = np.searchsorted(q, p)
-            common = np.count_nonzero(q[np.minimum(i, len(q) - 1)] == p)
-            keep.append(100 * common >= 75 * (len(p) + len(q) - common))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-
-def _joined(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+        pairs = []
+        for a, b, node, raw in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
+            x = np.frombuffer(raw.as_buffer(), "<u8")
+            if (a, b) != last:
+                last, first = (a, b), (node, x)
+            elif first and node != first[0]:
+                i = np.searchsorted(x, first[1])
+                common = np.count_nonzero(x[np.minimum(i, len(x) - 1)] == first[1])
+                if 100 * common >= 75 * (len(x) + len(first[1]) - common):
+                    pairs.append((a, b))
+                first = None
+        if first:
+            first = first[0], first[1].copy()
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+class SetStore:
+    """The sets of nodes, computed from texts (mark, text) when they are first asked for, and kept in the shared folder."""
+
+    def __init__(self, nodes: DataFrame, texts: DataFrame, extract) -> None:
+        self.marks, self.texts, self.extract = nodes.select("node", "mark"), texts, extract
+        self.tables: list[DataFrame] = []
+
+    def of(self, need: DataFrame) -> DataFrame:
+        """(node, shingles) of these nodes, and of others; some more than once."""
+        new = need
+        for table in self.tables:
+            new = new.join(table.select("node"), "node", "left_anti")
+        new = stored(new.join(self.marks, "node"), "shingle-needed")
+        if not self.tables or not new.isEmpty():
+            some = self.texts.join(new.select("mark").distinct(), "mark", "left_semi").select("text")
+            sets = some.mapInArrow(self.extract, "node long, shingles binary")
+            self.tables.append(stored(sets.join(new.select("node"), "node", "left_semi"), "shingle-nodes"))
+        return reduce(DataFrame.unionByName, self.tables)
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, store: SetStore, best: bool) -> DataFrame:
+    """The pairs (a, b) that really link: bitmaps first, sets only of what these leave; best: for each a only the most
+    likely b. The joins are on evenly spread node hashes and may be split where skewed."""
+    pairs = pairs.distinct()
     for c in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns]), c)
-    return pairs.select("a", "b", *[f"{x}_{c}" for x in columns for c in ("a", "b")])
-
-
-def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that really link: bitmaps first, sets only of what these leave. The joins are on evenly spread
-    node hashes and may be split where skewed."""
-    likely = _joined(pairs.distinct(), nodes, "bits", "n").mapInArrow(_bounded, "a long, b long")
-    return _joined(likely, nodes, "shingles").mapInArrow(_linked, "a long, b long")
+        pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}")), c)
+    likely = pairs.mapInArrow(_bounded, "a long, b long, share double")
+    if best:
+        likely = likely.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
+    likely = stored(likely.select("a", "b"), "shingle-likely")
+    ends = likely.select(F.explode(F.array("a", "b")).alias("node"), "a", "b")
+    met = ends.join(store.of(ends.select("node").distinct()), "node").select("a", "b", "node", "shingles")
+    return met.repartition("a", "b").sortWithinPartitions("a", "b", "node").mapInArrow(_linked, "a long, b long")
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -525,8 +642,8 @@ def _open_pairs(rows: DataFrame) -> tuple[float, int]:
     return pairs or 0.0, int(total or 0)
 
 
-def components_of(rows: DataFrame, nodes: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """(node, root) of all nodes (node, n, bits, shingles) that have rows (key, node, n).
+def components_of(rows: DataFrame, nodes: DataFrame, store: SetStore, limits: Limits = LIMITS) -> DataFrame:
+    """(node, root) of all nodes (node, n, bits) by rows (key, node, n).
 
     Round 0 compares neighbours by size under each key, later rounds neighbours in an order that changes from round to
     round, and only across components; a key with many rows is dealt to parts, anew in each round. A group of near
@@ -540,40 +657,40 @@ def components_of(rows: DataFrame, nodes: DataFrame, limits: Limits = LIMITS) ->
         dealt = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(-turn), "node"), F.col("parts")).cast("int"))
         spread = dealt.repartition("key", "part").sortWithinPartitions("key", "part", order, "node")
         near = spread.select("key", "part", "node", "n", "root").mapInArrow(_neighbours(1 if turn == 1 else REACH), "a long, b long")
-        links = stored(verified(near, nodes), "shingle-links")
+        links = stored(verified(near, nodes, store, True), "shingle-links")
         roots = _merged(roots, links)
         rows, order = _open_rows(keyed, roots), F.xxhash64(F.lit(turn), "node")
         pairs, total = _open_pairs(rows)
         if pairs <= FEW * total or (turn > 1 and links.count() < total / 100):
             break
-    return _merged(roots, verified(_tile_pairs(rows.drop("parts"), nodes, limits.tile), nodes)) if pairs else roots
+    if not pairs:
+        return roots
+    return _merged(roots, verified(_tile_pairs(rows.drop("parts"), nodes, store, limits.tile), nodes, store, False))
 
 
 def _node_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as (node, bits, shingles), each set once a task or more."""
+    """Texts as (node, shingles), each set once a task or more."""
     seen: set[int] = set()
     for batch in sliced(batches):
         rows = []
         for text in batch.column(0).cast(pa.binary()):
             s = shingles(text.as_py())
-            if len(s) and _unseen(node := node_of(s), seen):
-                rows.append((node, bitmap(s), s.astype("<u8").tobytes()))
-        columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["node", "bits", "shingles"])
+            if len(s) and unseen(node := node_of(s), seen):
+                rows.append((node, s.astype("<u8").tobytes()))
+        columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.binary()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles"])
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = LIMITS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    sets = stored(_sets(texts, limits), "shingle-sets")
-    one = sets.select("node", "n", F.explode("keys").alias("key"), F.lit(0).alias("salt"))
-    rows = meeting(one.unionByName(sets.select("node", "n", F.inline("hot"))))
-
-    known = sets.where("node is not null").groupBy("node", "n").agg(F.min("mark").alias("mark"))
-    known = stored(known.join(rows.select("node").distinct(), "node", "left_semi"), "shingle-known")
-    some = texts.join(known.select("mark").distinct(), "mark", "left_semi").select("text")
-    nodes = some.mapInArrow(_node_sets, "node long, bits binary, shingles binary").join(known.drop("mark"), "node").dropDuplicates(["node"])
-    roots = components_of(rows, stored(nodes, "shingle-nodes"), limits)
+    sets = stored(_sets(texts, text_bytes(texts), limits), "shingle-sets")
+    hot = sets.select(F.explode("hot").alias("key"), "node").distinct()
+    rows = stored(meeting(sets.select("node", "keys")).unionByName(hot), "shingle-rows")
+    nodes = sets.where("bits is not null").join(rows.select("node").distinct(), "node", "left_semi")
+    nodes = stored(nodes.select("node", "n", "bits", "mark").dropDuplicates(["node"]), "shingle-nodes")
+    store = SetStore(nodes, texts.select("mark", "text"), _node_sets)
+    roots = components_of(rows.join(nodes.select("node", "n"), "node"), nodes, store, limits)
 
     first = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     grouped = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

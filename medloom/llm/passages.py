@@ -1,22 +1,23 @@
 """Substring dedup: paragraph MinHash banding with exact verification, and exact copies of passages inside paragraphs.
 
-A paragraph is a line of at least PARAGRAPH words. Its MinHash signature (BANDS bands of ROWS minima of its 5-word
-shingles) makes it collide with others; at a Jaccard similarity of 0.75 a pair collides with a probability of 0.996.
-Colliding paragraphs are compared exactly, linked from 0.75 on, and clustered by connected components; of each cluster
-that spans several documents the first document by id keeps its paragraphs and the others lose theirs.
+A paragraph is a line of at least `least_words` words (five, the length of a shingle). Its MinHash signature (BANDS bands
+of ROWS minima of its 5-word shingles) makes it collide with others; at a Jaccard similarity of 0.75 a pair collides with
+a probability of 0.996. Colliding paragraphs are compared exactly, linked from 0.75 on, and clustered by connected
+components (see jaccard.components_of); of each cluster that spans several documents the first document by id keeps its
+paragraphs and the others lose theirs. Sets of one or two shingles can only link with equal ones, so they need no bands.
 
 Text pasted into a longer line changes that line's shingles too much for this. So every document is also fingerprinted by
 winnowing: of the hashes of its SPAN-word sequences, those that are least among WINDOW neighbours. A common passage of
 SPAN + WINDOW - 1 = 51 words or more, wherever it stands, shares one; the SPAN words of a fingerprint that several
 documents have go from all but the first by id.
 
-Which band keys and fingerprints repeat is first decided in a table of fixed size (see jaccard.class_table): only those
-that may repeat become rows, and these are then counted exactly. Copies of a third of all documents make skewed joins and
-aggregates with map-side combining, never a collected group.
+Texts are read once for signatures and fingerprints; band keys and fingerprints meet packed (jaccard.meeting_lists), and
+only those that meet become rows. Shingle sets are computed again for the paragraphs that bitmaps do not keep apart.
+Copies of a third of all documents make skewed joins and aggregates with map-side combining, never a collected group.
 
-Cases: null and empty texts have no paragraphs; repeated rows and ids are documents of their own; ties go to the smaller
-id, then the earlier row; a null id never keeps a passage that an id keeps; an empty table gives no rows; other columns
-are ignored.
+Cases: null and empty texts have no paragraphs; lines of fewer than `least_words` words are never removed as paragraphs;
+repeated rows and ids are documents of their own; ties go to the smaller id, then the earlier row; a null id never keeps a
+passage that an id keeps; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +33,9 @@ from medloom.llm import jaccard
 from medloom.llm.common import stored
 from medloom.llm.shingles import mixed, word_hashes
 
-PARAGRAPH, BANDS, ROWS, SPAN, WINDOW, BATCH = 50, 10, 3, 43, 9, 500
+#: Words of a paragraph that counts as long; bands and minima of a signature; words of a fingerprint; neighbours.
+LONG, BANDS, ROWS, SPAN, WINDOW = 50, 10, 3, 43, 9
+LEAST_WORDS = 5
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _TURNS = np.random.default_rng(4).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -74,64 +76,100 @@ def _bands(s: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _paragraphs(raw: bytes, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first word, end, shingle set, band keys) of each paragraph."""
+def _paragraphs(raw: bytes, words: np.ndarray, least: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first word, end, shingle set) of each paragraph."""
     at = 0
     for line in raw.split(b"\n"):
         end = at + len(line.split())
-        if end - at >= PARAGRAPH:
-            s = np.unique(_rolled(words[at:end], 5))
-            yield at, end, s, _bands(s)
+        if end - at >= least:
+            yield at, end, np.unique(_rolled(words[at:end], min(5, end - at)))
         at = end
 
 
-def _values(raw: bytes | None) -> np.ndarray:
-    """What the class table counts of a text: its fingerprints and its paragraphs' band keys, each once."""
-    if not raw:
-        return _NONE
-    words = word_hashes(raw)
-    return np.unique(np.concatenate([fingerprints(words)[1], *[keys for *_, keys in _paragraphs(raw, words)]]))
-
-
-_LINE = "first: int, last: int, node: bigint, n: bigint, keys: array<bigint>, shingles: binary, bits: binary"
-_UNITS = "uid long, doc_id {k}, prints array<long>, first array<int>, last array<int>, lines array<struct<" + _LINE + ">>"
-_LINE_TYPE = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("node", pa.int64()), ("n", pa.int64()),
-                        ("keys", pa.list_(pa.int64())), ("shingles", pa.binary()), ("bits", pa.binary())])
+_LINE = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("words", pa.int32()), ("node", pa.int64())])
+_FRESH = pa.struct([("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_UNITS = (
+    "uid long, doc_id {k}, mark long, prints array<long>, first array<int>, last array<int>, "
+    "lines array<struct<first: int, last: int, words: int, node: long>>, "
+    "fresh array<struct<node: long, n: long, bits: binary, keys: array<long>>>"
+)
 
 
-def _units(table):
-    """Per document the fingerprints and paragraphs that may repeat; first and last are code points."""
+def _units(least: int, key_bits: int):
+    """Rows (uid, doc_id, mark, text) with their fingerprints, paragraphs and, for paragraphs that the task had not met
+    before, bitmaps and band keys; first and last are code points."""
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(_LINE), pa.list_(_FRESH)]
 
-    def one(classes: np.ndarray, raw: bytes) -> tuple:
+    def one(raw: bytes, seen: set[int]) -> tuple:
         words = word_hashes(raw)
         at, h = fingerprints(words)
-        may = jaccard.classes_of(classes, h) > 0
-        at, h = at[may], h[may]
-        lines = []
-        for a, b, s, keys in _paragraphs(raw, words):
-            keys = keys[jaccard.classes_of(classes, keys) > 0]
-            if len(keys):
-                lines.append((a, b, s, np.unique(keys)))
-        if not len(h) and not lines:
-            return None, None, None, None
         data = np.frombuffer(raw, np.uint8)
         edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]])))
         points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]).astype(np.int32)
         starts, ends = points[edge[::2]], points[edge[1::2]]
-        kept = []
-        for a, b, s, keys in lines:
-            shingles = s.astype("<u8").tobytes()
-            kept.append({"first": int(starts[a]), "last": int(ends[b - 1]), "node": xxhash.xxh3_64_intdigest(shingles) - (1 << 63), "n": len(s),
-                         "keys": keys.view(np.int64), "shingles": shingles, "bits": jaccard.bitmap(s)})
-        return h.view(np.int64), starts[at], ends[at + SPAN - 1], kept
+        lines, fresh = [], []
+        for a, b, s in _paragraphs(raw, words, least):
+            node = jaccard.node_of(s)
+            lines.append({"first": int(starts[a]), "last": int(ends[b - 1]), "words": b - a, "node": node})
+            if len(s) > 2 and jaccard.unseen(node, seen):
+                fresh.append({"node": node, "n": len(s), "bits": jaccard.bitmap(s), "keys": np.unique(jaccard.cut_keys(_bands(s), key_bits))})
+        return h.view(np.int64), starts[at], ends[at + SPAN - 1] if len(at) else starts[:0], lines, fresh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = np.frombuffer(table.value, np.uint8)
-        for batch in (part.slice(i, BATCH) for part in batches for i in range(0, part.num_rows, BATCH)):
-            rows = [one(classes, raw) if (raw := text.as_py()) else (None,) * 4 for text in batch.column(2).cast(pa.binary())]
-            kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(_LINE_TYPE)]
+        seen: set[int] = set()
+        for batch in jaccard.sliced(batches):
+            rows = [one(raw, seen) if (raw := text.as_py()) else (None,) * 5 for text in batch.column(3).cast(pa.binary())]
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["uid", "doc_id", "prints", "first", "last", "lines"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], *columns], names=["uid", "doc_id", "mark", "prints", "first", "last", "lines", "fresh"]
+            )
+
+    return run
+
+
+def _line_sets(least: int):
+    """Texts as (node, shingles) of their paragraphs, each set once a task or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in jaccard.sliced(batches):
+            rows = []
+            for text in batch.column(0).cast(pa.binary()):
+                raw = text.as_py()
+                for *_, s in _paragraphs(raw, word_hashes(raw), least):
+                    if len(s) > 2 and jaccard.unseen(node := jaccard.node_of(s), seen):
+                        rows.append((node, s.astype("<u8").tobytes()))
+            columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles"])
+
+    return run
+
+
+def _met_prints(key_bits: int):
+    """Rows (uid, doc_id, prints, first, last, keys) as a row for each fingerprint whose key is among those that met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in jaccard.sliced(batches):
+            ids, many, found = [], [], []
+            for i, (h, first, last, keys) in enumerate(zip(*(batch.column(c) for c in range(2, 6)), strict=True)):
+                h = h.values.to_numpy()
+                met = np.isin(jaccard.cut_keys(h.view(np.uint64), key_bits), keys.values.to_numpy())
+                found.append((h[met], first.values.to_numpy()[met], last.values.to_numpy()[met]))
+                ids.append(i)
+                many.append(int(met.sum()))
+            at = pa.array(np.repeat(np.array(ids, np.int64), many))
+            columns = [pa.array(np.concatenate([f[c] for f in found]) if found else [], kind) for c, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["uid", "doc_id", "print", "first", "last"])
+
+    return run
+
+
+def _print_keys(key_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            keys = jaccard.cut_keys(lists.values.to_numpy().view(np.uint64), key_bits)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(lists.offsets, pa.array(keys))], names=["node", "keys"])
 
     return run
 
@@ -161,41 +199,43 @@ def _shared(units: DataFrame, group: str) -> DataFrame:
     return units.join(keepers.select(group, "keeper"), group)
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_repeated (its paragraphs and fingerprints that others have too), `spans` (removed start:end
-    in code points, comma-joined), removed_chars, and `kept_in`, the ids of the documents that keep what went."""
-    spark = docs.sparkSession
+def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, limits: jaccard.Limits = jaccard.LIMITS) -> DataFrame:
+    """Per document: doc_id, n_repeated (its paragraphs of LONG words or more and fingerprints that others have too),
+    n_short (its shorter paragraphs that others have too), `spans` (removed start:end in code points, comma-joined),
+    removed_chars, and `kept_in`, the ids of the documents that keep what went."""
     kind = dict(docs.dtypes)["doc_id"]
-    docs = docs.select("doc_id", "text")
-    table = spark.sparkContext.broadcast(jaccard.class_table(docs, "text", _values))
-    numbered = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
-    units = stored(numbered.mapInArrow(_units(table), _UNITS.format(k=kind)), "passage-units")
-
-    lines = units.select("uid", "doc_id", F.explode("lines").alias("x")).select("uid", "doc_id", "x.*")
-    nodes = stored(lines.select("node", "n", "keys", "shingles", "bits").dropDuplicates(["node"]), "passage-nodes")
-    roots = jaccard.components_of(nodes)
-    grouped = lines.select("uid", "doc_id", "first", "last", "node").join(roots, "node").select("uid", "doc_id", "first", "last", "root")
-    prints = units.select("uid", "doc_id", F.posexplode("prints").alias("at", "print"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    key_bits = jaccard.key_bits_for(2 * jaccard.text_bytes(docs))
+    numbered = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "mark", "text")
+    units = stored(numbered.mapInArrow(_units(least_words, key_bits), _UNITS.format(k=kind)), "passage-units")
+
+    fresh = units.select("mark", F.inline("fresh"))
+    rows = stored(jaccard.meeting_lists(fresh.select("node", "keys"), key_bits, limits), "passage-rows")
+    nodes = fresh.select("node", "n", "bits", "mark").join(rows.select("node").distinct(), "node", "left_semi")
+    nodes = stored(nodes.dropDuplicates(["node"]), "passage-nodes")
+    store = jaccard.SetStore(nodes, docs.select("mark", "text"), _line_sets(least_words))
+    roots = jaccard.components_of(rows.join(nodes.select("node", "n"), "node"), nodes, store, limits)
+    lines = units.select("uid", "doc_id", F.inline("lines")).join(roots, "node", "left")
+    lines = lines.select("uid", "doc_id", "first", "last", (F.col("words") >= LONG).alias("long"), F.coalesce("root", "node").alias("root"))
+
+    lists = units.where(F.size("prints") > 0)
+    cut = lists.select(F.col("uid").alias("node"), "prints").mapInArrow(_print_keys(key_bits), "node long, keys array<long>")
+    met = jaccard.meeting_lists(cut, key_bits, limits).groupBy(F.col("node").alias("uid")).agg(F.collect_set("key").alias("keys"))
+    prints = lists.select("uid", "doc_id", "prints", "first", "last").join(met, "uid")
+    prints = stored(prints.mapInArrow(_met_prints(key_bits), f"uid long, doc_id {kind}, print long, first int, last int"), "passage-prints")
 
     gone = F.col("uid") != F.col("keeper.uid")
-    hit_lines, hit_prints = _shared(grouped, "root"), _shared(prints, "print")
-    by_line = hit_lines.groupBy("uid").agg(
-        F.count("*").alias("n_lines"), F.collect_list(F.when(gone, F.struct("first", "last"))).alias("gone_lines"),
-        F.collect_set(F.when(gone, F.col("keeper.doc_id"))).alias("line_keepers"),
-    )
-    by_print = hit_prints.groupBy("uid").agg(
-        F.count("*").alias("n_prints"), F.collect_list(F.when(gone, F.col("at"))).alias("gone_prints"),
-        F.collect_set(F.when(gone, F.col("keeper.doc_id"))).alias("print_keepers"),
+    span = F.when(gone, F.struct("first", "last"))
+    hits = _shared(lines, "root").select("uid", "long", span.alias("gone"), F.when(gone, F.col("keeper.doc_id")).alias("kept"))
+    hits = hits.unionByName(_shared(prints, "print").select("uid", F.lit(True).alias("long"), span.alias("gone"), F.when(gone, F.col("keeper.doc_id")).alias("kept")))
+    hits = hits.groupBy("uid").agg(
+        F.count_if("long").alias("n_repeated"), F.count_if(~F.col("long")).alias("n_short"),
+        F.collect_list("gone").alias("gone"), F.array_sort(F.collect_set("kept")).alias("kept_in"),
     )
-    rows = units.select("uid", "doc_id", "first", "last").join(by_line, "uid", "left").join(by_print, "uid", "left")
-    ranges = F.transform("gone_prints", lambda i: F.struct(F.get("first", i).alias("first"), F.get("last", i).alias("last")))
-    either = lambda a, b, kind: F.concat(F.coalesce(a, F.array().cast(kind)), F.coalesce(b, F.array().cast(kind)))
-    rows = stored(rows.select(
-        "uid", "doc_id", (F.coalesce("n_lines", F.lit(0)) + F.coalesce("n_prints", F.lit(0))).alias("n_repeated"),
-        either(F.col("gone_lines"), ranges, "array<struct<first: int, last: int>>").alias("gone"),
-        F.array_sort(F.array_distinct(either(F.col("line_keepers"), F.col("print_keepers"), f"array<{kind}>"))).alias("kept_in"),
-    ), "passage-hits")
-    spans = rows.where(F.size("gone") > 0).select("uid", "gone").mapInArrow(_spans, "uid long, spans string, removed_chars long")
-    return rows.join(spans, "uid", "left").select(
-        "doc_id", "n_repeated", F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("removed_chars", F.lit(0)).alias("removed_chars"), "kept_in"
+    hits = stored(hits, "passage-hits")
+    spans = hits.where(F.size("gone") > 0).select("uid", "gone").mapInArrow(_spans, "uid long, spans string, removed_chars long")
+    none = lambda c, x: F.coalesce(c, F.lit(x)).alias(c)
+    return units.select("uid", "doc_id").join(hits.drop("gone"), "uid", "left").join(spans, "uid", "left").select(
+        "doc_id", none("n_repeated", 0), none("n_short", 0), none("spans", ""), none("removed_chars", 0),
+        F.coalesce("kept_in", F.array().cast(f"array<{kind}>")).alias("kept_in"),
     )

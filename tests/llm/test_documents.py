@@ -166,10 +166,42 @@ def test_near_copied_paragraphs(spark):
     assert (out[1].removed_chars, out[3].n_repeated) == (0, 0)
 
 
+def lines_of(text):
+    return [w for line in (text or "").split("\n") if len(w := WORD.findall(line.translate(LOWER))) >= passages.LEAST_WORDS]
+
+
+@pytest.mark.parametrize("limits", [jaccard.LIMITS, jaccard.Limits(frequent=3, salt_rows=8, tile=8), jaccard.Limits(frequent=3, frequent_rows=0)])
+def test_repeats_match_all_pairs(docs, texts, limits):
+    got = {r.doc_id: r for r in passages.repeated_passages(docs, limits=limits).collect()}
+    joined = {" ".join(w): w for t in texts.values() for w in lines_of(t)}
+    root = {k: v[1] for k, v in groups({k: k for k in joined}).items()}
+    holders, sequences = defaultdict(set), defaultdict(set)
+    for i, t in texts.items():
+        for w in lines_of(t):
+            holders[root[" ".join(w)]].add(i)
+        w = WORD.findall((t or "").translate(LOWER))
+        for n in (passages.SPAN, passages.SPAN + passages.WINDOW - 1):
+            for at in range(len(w) - n + 1):
+                sequences[tuple(w[at : at + n])].add(i)
+    missed = total = 0
+    for i, t in texts.items():
+        long = sum(len(holders[root[" ".join(w)]]) > 1 for w in lines_of(t) if len(w) >= passages.LONG)
+        short = sum(len(holders[root[" ".join(w)]]) > 1 for w in lines_of(t) if len(w) < passages.LONG)
+        w = WORD.findall((t or "").translate(LOWER))
+        shares = lambda n: any(len(sequences[tuple(w[at : at + n])]) > 1 for at in range(len(w) - n + 1))  # noqa: E731, B023
+        assert got[i].n_short <= short
+        missed += short - got[i].n_short
+        total += short
+        assert not shares(passages.SPAN + passages.WINDOW - 1) or got[i].n_repeated > 0
+        assert got[i].n_repeated == 0 or long or shares(passages.SPAN)
+    assert missed <= 0.01 * total
+
+
 def test_passages_of_odd_rows(odd, empty, odd_rows):
-    rows = passages.repeated_passages(odd).collect()
+    rows = passages.repeated_passages(odd.withColumns({"uid": F.lit(1), "mark": F.lit("x"), "node": F.lit(2.0)})).collect()
     assert len(rows) == len(odd_rows)
     assert sorted(r.doc_id for r in rows if r.removed_chars) == [2, 2]
+    assert all(r.kept_in == ([1] if r.removed_chars else []) for r in rows)  # of ties the smallest id keeps
     assert passages.repeated_passages(empty).count() == 0
 
 
