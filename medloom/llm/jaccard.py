@@ -35,7 +35,6 @@ from dataclasses import dataclass
 from functools import partial, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -47,7 +46,9 @@ from medloom.llm.shingles import mixed, shingles
 
 #: Shingles gathered before a task hands them on; shingles that a reducing group should hold; documents handled at a
 #: time; nodes that a task remembers to have handed on.
-FLUSH, GROUP, BATCH, SEEN = 2_000_000, 2_000_000, 500, 100_000
+FLUSH, GROUP, BATCH, SEEN = 1_000_000, 2_000_000, 500, 100_000
+#: Bytes of rows handled at a time.
+SLICE = 4 << 20
 #: Pairs that a task gathers before it hands on the distinct ones; neighbours compared in later rounds; open pairs a row
 #: that the last step may compare; rounds.
 HELD, REACH, FEW, MOST_ROUNDS = 1_000_000, 3, 0.5, 16
@@ -74,10 +75,11 @@ def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of at most BATCH rows."""
+    """Batches of at most BATCH rows and, on average, SLICE bytes."""
     for batch in batches:
-        for at in range(0, batch.num_rows, BATCH):
-            yield batch.slice(at, BATCH)
+        step = max(1, min(BATCH, batch.num_rows * SLICE // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 # --- 1. frequent shingles -------------------------------------------------------------------------------------------
@@ -120,16 +122,19 @@ def _gathered(bits: int, values: Callable[[pa.RecordBatch], Iterable[np.ndarray]
         yield _flushed(parts, bits)
 
 
-def _counted(least: int, pdf: pd.DataFrame) -> pd.DataFrame:
-    low = np.concatenate([np.cumsum(_numbers(x), dtype=np.uint32) for x in pdf["low"]])
-    n = np.concatenate([_numbers(x) for x in pdf["n"]]).astype(np.int64)
+def _lows(rows: pa.Table) -> np.ndarray:
+    return np.concatenate([np.cumsum(_numbers(x.as_buffer()), dtype=np.uint32) for x in rows["low"]])
+
+
+def _counted(least: int, rows: pa.Table) -> pa.Table:
+    low, n = _lows(rows), np.concatenate([_numbers(x.as_buffer()) for x in rows["n"]]).astype(np.int64)
     order = np.argsort(low, kind="stable")
     low, n = low[order], n[order]
     starts = np.flatnonzero(np.diff(low.astype(np.int64), prepend=-1))
     n = np.add.reduceat(n, starts)
     keep = n >= least
-    short = low[starts][keep].astype(np.int64) + (int(pdf["part"].iloc[0]) << 32)
-    return pd.DataFrame({"short": short, "kind": np.log2(n[keep]).astype(np.int32)})
+    short = low[starts][keep].astype(np.int64) + (rows["part"][0].as_py() << 32)
+    return pa.table({"short": short, "kind": np.log2(n[keep]).astype(np.int32)})
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
@@ -143,7 +148,7 @@ def frequent(rows: DataFrame, values: Callable[[pa.RecordBatch], Iterable[np.nda
     """
     bits = min(30, max(4, math.ceil(math.log2(max(1.0, many / GROUP)))))
     parts = rows.mapInArrow(partial(_gathered, bits, values), "part long, low binary, n binary")
-    return stored(parts.groupBy("part").applyInPandas(partial(_counted, least), "short long, kind int"), "shingle-frequent"), bits
+    return stored(parts.groupBy("part").applyInArrow(lambda rows: _counted(least, rows), "short long, kind int"), "shingle-frequent"), bits
 
 
 def _of_texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -261,8 +266,8 @@ def broadcast_kinds(found: DataFrame, bits: int, most: int):
     """The frequent hashes as a broadcast (short, kind), sorted; None where there are more than `most`."""
     if found.count() > most:
         return None
-    rows = found.toPandas()
-    kinds = _sorted_kinds(rows["short"].to_numpy(np.int64), rows["kind"].to_numpy(np.int32), bits)
+    rows = found.toArrow()
+    kinds = _sorted_kinds(rows["short"].to_numpy(), rows["kind"].to_numpy(), bits)
     return found.sparkSession.sparkContext.broadcast((kinds.short, kinds.kind))
 
 
@@ -280,10 +285,9 @@ def _sets(docs: DataFrame, size: int, limits: Limits) -> DataFrame:
     return rows.mapInArrow(_documents(None, bits, key_bits), schema)
 
 
-def _part_rows(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-    """Gathered (node, keys) by the leading bits of the keys: their last 32 bits as differences, and the nodes."""
-    keys = np.concatenate([k for _, k in parts])
-    nodes = np.repeat(np.array([n for n, _ in parts], np.int64), [len(k) for _, k in parts])
+def _part_rows(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Gathered (nodes, keys) by the leading bits of the keys: their last 32 bits as differences, and the nodes."""
+    nodes, keys = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     order = np.argsort(keys, kind="stable")
     keys, nodes = keys[order], nodes[order]
     group, low = keys >> 32, (keys & 0xFFFFFFFF).astype(np.uint32)
@@ -296,25 +300,66 @@ def _part_rows(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
     })
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts, held = [], 0
-    for batch in batches:
-        ends = batch.column(1).offsets.to_numpy()
-        flat = batch.column(1).values.to_numpy()
-        for node, i, j in zip(batch.column(0).to_numpy(), ends[:-1], ends[1:], strict=True):
-            parts.append((node, flat[i:j]))
-            held += j - i
+@dataclass(frozen=True)
+class Lists:
+    """How rows (node, keys) are read: `whole` keys are hashes yet to be cut to key_bits."""
+
+    key_bits: int
+    whole: bool = False
+
+    def of(self, column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """(all keys, where each row's end; rows are cut at these from the first on)."""
+        ends = column.offsets.to_numpy()
+        flat = column.values.to_numpy()[ends[0] : ends[-1]]
+        return cut_keys(flat.view(np.uint64), self.key_bits) if self.whole else flat, ends - ends[0]
+
+    def hashes(self, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        """The keys as hashes of 64 bits, which `frequent` counts."""
+        yield self.of(batch.column(0))[0].view(np.uint64) << np.uint64(64 - self.key_bits)
+
+    def hot(self, keys: np.ndarray, kinds: Kinds) -> np.ndarray:
+        return kinds.of(keys.view(np.uint64) << np.uint64(64 - self.key_bits)) > 0
+
+
+def _parts(lists: Lists, known, bits: int):
+    """Rows (node, keys) packed, without the frequent keys if these are known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, parts, held = (Kinds(*known.value, bits) if known else None), [], 0
+        for batch in sliced(batches):
+            keys, ends = lists.of(batch.column(1))
+            nodes = np.repeat(batch.column(0).to_numpy(), np.diff(ends))
+            if kinds:
+                cold = ~lists.hot(keys, kinds)
+                keys, nodes = keys[cold], nodes[cold]
+            parts.append((nodes, keys))
+            held += len(keys)
             if held >= FLUSH:
                 yield _part_rows(parts)
                 parts, held = [], 0
-    if held:
-        yield _part_rows(parts)
+        if held:
+            yield _part_rows(parts)
+
+    return run
+
+
+def _hot_rows(lists: Lists, known, bits: int):
+    """Rows (node, keys) as (key, node) for the frequent keys, or for all if these are not known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = Kinds(*known.value, bits) if known else None
+        for batch in sliced(batches):
+            keys, ends = lists.of(batch.column(1))
+            nodes = np.repeat(batch.column(0).to_numpy(), np.diff(ends))
+            hot = lists.hot(keys, kinds) if kinds else np.ones(len(keys), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hot]), pa.array(nodes[hot])], names=["key", "node"])
+
+    return run
 
 
-def _met(pdf: pd.DataFrame) -> pd.DataFrame:
+def _met(rows: pa.Table) -> pa.Table:
     """The rows of a part whose key several nodes have."""
-    low = np.concatenate([np.cumsum(_numbers(x), dtype=np.uint32) for x in pdf["low"]])
-    node = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["nodes"]])
+    low, node = _lows(rows), np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in rows["nodes"]])
     order = np.lexsort((node, low))
     low, node = low[order], node[order]
     fresh = np.append(True, (low[1:] != low[:-1]) | (node[1:] != node[:-1]))
@@ -322,46 +367,31 @@ def _met(pdf: pd.DataFrame) -> pd.DataFrame:
     same, keep = low[1:] == low[:-1], np.zeros(len(low), bool)
     keep[1:] |= same
     keep[:-1] |= same
-    return pd.DataFrame({"key": low[keep].astype(np.int64) + (int(pdf["part"].iloc[0]) << 32), "node": node[keep]})
-
-
-def meeting(lists: DataFrame) -> DataFrame:
-    """(key, node) for the keys that several nodes have, of rows (node, keys); no key may be frequent here."""
-    packed = lists.where(F.size("keys") > 0).mapInArrow(_parts, "part long, low binary, nodes binary")
-    return packed.groupBy("part").applyInPandas(_met, "key long, node long")
-
-
-def _split(known, bits: int, key_bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = Kinds(*known.value, bits)
-        for batch in batches:
-            flat, ends = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
-            hot = kinds.of(flat.view(np.uint64) << np.uint64(64 - key_bits)) > 0
-            lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(some))[ends].astype(np.int32)), pa.array(flat[some])) for some in (~hot, hot)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["node", "keys", "hot"])
-
-    return run
+    return pa.table({"key": low[keep].astype(np.int64) + (rows["part"][0].as_py() << 32), "node": node[keep]})
 
 
-def _of_lists(key_bits: int, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    flat, ends = batch.column(0).values.to_numpy(), batch.column(0).offsets.to_numpy()
-    yield flat[ends[0] : ends[-1]].view(np.uint64) << np.uint64(64 - key_bits)
+def meeting(rows: DataFrame, lists: Lists, known=None, bits: int = 0) -> DataFrame:
+    """(key, node) for the keys that several nodes have, of rows (node, keys) without their frequent keys."""
+    packed = rows.where(F.size("keys") > 0).mapInArrow(_parts(lists, known, bits), "part long, low binary, nodes binary")
+    return packed.groupBy("part").applyInArrow(lambda part: _met(part), "key long, node long")
 
 
-def meeting_lists(lists: DataFrame, key_bits: int, limits: Limits = LIMITS) -> DataFrame:
+def meeting_lists(rows: DataFrame, lists: Lists, limits: Limits = LIMITS) -> DataFrame:
     """(key, node) for the keys that several nodes have, of rows (node, keys); any key may be frequent.
 
     Frequent keys are told by an exact count and go as rows of their own, so that no part grows with one of them; where
-    there are too many of them to broadcast, all go so.
+    there are too many of them to broadcast, all keys go as rows that an aggregate counts.
     """
-    lists = lists.where(F.size("keys") > 0)
-    many = lists.agg(F.sum(F.size("keys"))).first()[0] or 0
-    found, bits = frequent(lists.select("keys"), partial(_of_lists, key_bits), many, limits.frequent)
+    rows = rows.where(F.size("keys") > 0)
+    many = rows.agg(F.sum(F.size("keys"))).first()[0] or 0
+    found, bits = frequent(rows.select("keys"), lists.hashes, many, limits.frequent)
     known = broadcast_kinds(found, bits, limits.frequent_rows)
-    if not known:
-        return lists.select(F.explode("keys").alias("key"), "node").distinct()
-    split = lists.mapInArrow(_split(known, bits, key_bits), "node long, keys array<long>, hot array<long>")
-    return meeting(split.select("node", "keys")).unionByName(split.select(F.explode("hot").alias("key"), "node").distinct())
+    if known:
+        hot = rows.mapInArrow(_hot_rows(lists, known, bits), "key long, node long")
+        return meeting(rows, lists, known, bits).unionByName(hot.distinct())
+    each = rows.mapInArrow(_hot_rows(lists, None, bits), "key long, node long").distinct()
+    several = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    return each.join(several, "key", "left_semi").select("key", "node")
 
 
 # --- 3. and 4. pairs ------------------------------------------------------------------------------------------------
@@ -421,35 +451,35 @@ def _neighbours(reach: int):
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A stream sorted by `group` in pieces that never cut a group, which holds two tiles at most."""
-    held: list[pd.DataFrame] = []
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        pdf = batch.to_pandas()
-        if not len(pdf):
+        if not batch.num_rows:
             continue
-        last = pdf["group"].iloc[-1]
-        cut = int((pdf["group"].to_numpy() == last).argmax())
-        if cut or (held and held[-1]["group"].iloc[-1] != last):
-            yield pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
+        group = batch.column("group").to_numpy()
+        cut = int((group == group[-1]).argmax())
+        if cut or (held and held[-1].column("group")[-1].as_py() != group[-1]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
             held = []
-        held.append(pdf.iloc[cut:])
+        held.append(batch.slice(cut))
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 class _Maps:
     """Bitmaps of rows, brought to a common width where two rows meet."""
 
-    def __init__(self, bits: pd.Series) -> None:
-        self.bits, self.width, self.made = bits.to_numpy(), bits.map(len).to_numpy(), {}
+    def __init__(self, *bits: pa.Array) -> None:
+        self.bits = [np.frombuffer(x.as_buffer(), np.uint8) for column in bits for x in column]
+        self.width, self.made = np.array([len(x) for x in self.bits], np.int64), {}
 
     def _of(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         if width not in self.made:
             rows = np.flatnonzero(self.width >= width)
             at = np.full(len(self.width), -1)
             at[rows] = np.arange(len(rows))
-            maps = np.concatenate([folded(np.frombuffer(self.bits[k], np.uint8)[None, :], width) for k in rows])
+            maps = np.concatenate([folded(self.bits[k][None, :], width) for k in rows])
             self.made[width] = at, maps.view(np.uint64)
         return self.made[width]
 
@@ -468,12 +498,12 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A pair is named under the smallest key that both nodes have, so once.
     """
     found = _Pairs()
-    for pdf in _runs(batches):
-        group, key, side, node, n, root = (pdf[c].to_numpy() for c in ("group", "key", "side", "node", "n", "root"))
+    for piece in _runs(batches):
+        group, key, side, node, n, root = (piece.column(c).to_numpy() for c in ("group", "key", "side", "node", "n", "root"))
         cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         ends = np.repeat(np.append(cuts[1:], len(group)), np.diff(np.append(cuts, len(group))))
         alone = np.repeat(np.add.reduceat(side, cuts) == 0, np.diff(np.append(cuts, len(group))))
-        maps, own = _Maps(pdf["bits"]), pdf["own"].to_numpy()
+        maps, own = _Maps(piece.column("bits")), piece.column("own")
         i, step = np.arange(len(group)), 1
         while len(i := i[i + step < ends[i]]):
             j = i + step
@@ -482,7 +512,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(p):
                 likely = (n[p] + n[q] - maps.differ(p, q)) // 2 >= needed(n[p], n[q])
                 p, q = p[likely], q[likely]
-                first = np.array([not set(own[x][own[x] < key[x]].tolist()) & set(own[y].tolist()) for x, y in zip(p, q, strict=True)], bool)
+                first = np.array([key[x] == min(set(own[x].as_py()) & set(own[y].as_py())) for x, y in zip(p.tolist(), q.tolist(), strict=True)], bool)
                 found.add(node[p[first]], node[q[first]])
                 if found.full():
                     yield found.batch()
@@ -547,9 +577,8 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that the bitmaps do not exclude, with the most that they can share of what they need."""
     for batch in batches:
         n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-        bits = pd.concat([batch.column(c).to_pandas() for c in ("bits_a", "bits_b")], ignore_index=True)
         at = np.arange(len(n))
-        most = (n + m - _Maps(bits).differ(at, at + len(n))) // 2 if len(n) else n
+        most = (n + m - _Maps(batch.column("bits_a"), batch.column("bits_b")).differ(at, at + len(n))) // 2 if len(n) else n
         keep = most >= needed(n, m)
         rows = batch.select(["a", "b"]).filter(pa.array(keep))
         yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(most[keep] / (n + m)[keep])], names=["a", "b", "share"])
@@ -684,9 +713,10 @@ def _node_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = LIMITS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    sets = stored(_sets(texts, text_bytes(texts), limits), "shingle-sets")
+    size = text_bytes(texts)
+    sets = stored(_sets(texts, size, limits), "shingle-sets")
     hot = sets.select(F.explode("hot").alias("key"), "node").distinct()
-    rows = stored(meeting(sets.select("node", "keys")).unionByName(hot), "shingle-rows")
+    rows = stored(meeting(sets.select("node", "keys"), Lists(key_bits_for(size))).unionByName(hot), "shingle-rows")
     nodes = sets.where("bits is not null").join(rows.select("node").distinct(), "node", "left_semi")
     nodes = stored(nodes.select("node", "n", "bits", "mark").dropDuplicates(["node"]), "shingle-nodes")
     store = SetStore(nodes, texts.select("mark", "text"), _node_sets)

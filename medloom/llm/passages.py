@@ -38,52 +38,108 @@ LONG, BANDS, ROWS, SPAN, WINDOW = 50, 10, 3, 43, 9
 LEAST_WORDS = 5
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: An odd multiplier, the base of rolling hashes, and its inverse modulo 2**64.
+_BASE = 0x100000001B3
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _TURNS = np.random.default_rng(4).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_NONE = np.empty(0, np.uint64)
 
 
-def _rolled(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k-word sequences."""
-    n = len(words) - k + 1
-    if n <= 0:
-        return _NONE
-    h = np.zeros(n, np.uint64)
-    for i in range(k):
-        h *= np.uint64(0x100000001B3)
-        h += words[i : i + n]
-    return mixed(h)
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
+
+
+def _sums(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of words times powers of the base, and the powers of its inverse: hashes of any sequence."""
+    n = len(words)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(_BASE, n)[:n], dtype=np.uint64)]), _powers(_INVERSE, n)
+
+
+def _rolled(sums: tuple[np.ndarray, np.ndarray], at: np.ndarray, k: int | np.ndarray) -> np.ndarray:
+    """Hashes of the sequences of k words that begin at these places."""
+    total, back = sums
+    return mixed((total[at + k] - total[at]) * back[at])
 
 
 def fingerprints(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) that winnowing selects from a text's word hashes; fewer than WINDOW sequences give their least."""
-    h = _rolled(words, SPAN)
+    h = _rolled(_sums(words), np.arange(max(0, len(words) - SPAN + 1)), SPAN)
+    at = winnowed(h)
+    return at, h[at]
+
+
+def winnowed(h: np.ndarray) -> np.ndarray:
+    """The places of hashes that are least in some window."""
     if len(h) <= WINDOW:
-        at = np.array([int(h.argmin())]) if len(h) else np.empty(0, np.int64)
-        return at, h[at]
+        return np.array([int(h.argmin())]) if len(h) else np.empty(0, np.int64)
     least = np.lib.stride_tricks.sliding_window_view(h, WINDOW).min(1)
     wide = np.concatenate([np.zeros(WINDOW - 1, np.uint64), least, np.zeros(WINDOW - 1, np.uint64)])
     most = np.lib.stride_tricks.sliding_window_view(wide, WINDOW).max(1)
-    at = np.flatnonzero(h <= most[: len(h)])
-    return at, h[at]
+    return np.flatnonzero(h <= most[: len(h)])
 
 
-def _bands(s: np.ndarray) -> np.ndarray:
-    """The band keys of a shingle set."""
-    least = ((s[:, None] * _TURNS[None, :]) >> np.uint64(3)).min(0).reshape(BANDS, ROWS)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for r in range(ROWS):
-        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, r])
+def _bands(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The band keys (set, band) of shingle sets that lie one after the other."""
+    keys = np.empty((len(starts), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(starts), band + 1, np.uint64)
+        for turn in _TURNS[band * ROWS : (band + 1) * ROWS]:
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((s * turn) >> np.uint64(3), starts))
+        keys[:, band] = key
     return keys
 
 
-def _paragraphs(raw: bytes, words: np.ndarray, least: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first word, end, shingle set) of each paragraph."""
-    at = 0
-    for line in raw.split(b"\n"):
-        end = at + len(line.split())
-        if end - at >= least:
-            yield at, end, np.unique(_rolled(words[at:end], min(5, end - at)))
-        at = end
+def _bitmaps(s: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """The bitmaps of shingle sets that lie one after the other."""
+    return [jaccard.bitmap(x) for x in np.split(s, starts[1:])]
+
+
+class _Texts:
+    """The words, places and paragraphs of some texts, one after the other."""
+
+    def __init__(self, texts: list[bytes], least: int) -> None:
+        words, firsts, lasts, lines = [], [], [], []
+        for raw in texts:
+            data = np.frombuffer(raw, np.uint8)
+            edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]])))
+            points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]).astype(np.int32)
+            words.append(word_hashes(raw))
+            firsts.append(points[edge[::2]])
+            lasts.append(points[edge[1::2]])
+            lines.append(np.searchsorted(np.flatnonzero(data == 10), edge[::2]))
+        self.count = np.array([len(w) for w in words], np.int64)
+        self.begin = np.cumsum(self.count) - self.count
+        self.words, self.first, self.last = (np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((words, np.uint64), (firsts, np.int32), (lasts, np.int32)))
+        self.sums = _sums(self.words)
+        text, line = np.repeat(np.arange(len(texts)), self.count), np.concatenate(lines) if lines else np.empty(0, np.int64)
+        cuts = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (line[1:] != line[:-1]))) if len(text) else np.empty(0, np.int64)
+        sizes = np.diff(np.append(cuts, len(text)))
+        #: Of each paragraph its text, first word and words.
+        self.text, self.at, self.size = text[cuts][sizes >= least], cuts[sizes >= least], sizes[sizes >= least]
+
+    def sets(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(members, starts, nodes) of the paragraphs' shingle sets: sorted distinct hashes, one set after the other."""
+        if not len(self.at):
+            return self.words[:0], self.at, self.at
+        k = np.minimum(self.size, 5)
+        many = self.size - k + 1
+        line = np.repeat(np.arange(len(self.at)), many)
+        at = np.arange(len(line)) - np.repeat(np.cumsum(many) - many, many) + self.at[line]
+        h = _rolled(self.sums, at, k[line])
+        order = np.lexsort((h, line))
+        h, line = h[order], line[order]
+        fresh = np.append(True, (h[1:] != h[:-1]) | (line[1:] != line[:-1]))
+        h, line = h[fresh], line[fresh]
+        starts = np.searchsorted(line, np.arange(len(self.at)))
+        sums = np.add.reduceat(mixed(h ^ np.uint64(_BASE)), starts)
+        return h, starts, mixed(sums + np.diff(np.append(starts, len(h))).astype(np.uint64)).view(np.int64)
+
+    def prints(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, places, how many) of the texts' fingerprints."""
+        h = _rolled(self.sums, np.arange(max(0, len(self.words) - SPAN + 1)), SPAN)
+        found = [winnowed(h[b : max(b, b + n - SPAN + 1)]) for b, n in zip(self.begin, self.count, strict=True)]
+        many = np.array([len(x) for x in found], np.int64)
+        at = np.concatenate([b + x for b, x in zip(self.begin, found, strict=True)]) if found else self.at[:0]
+        return h[at], at, many
 
 
 _LINE = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("words", pa.int32()), ("node", pa.int64())])
@@ -95,31 +151,46 @@ _UNITS = (
 )
 
 
+def _lists(many: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), values)
+
+
+def _new(nodes: np.ndarray, large: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which sets have more than two members and were not met before."""
+    return np.fromiter((big and jaccard.unseen(node, seen) for node, big in zip(nodes.tolist(), large.tolist(), strict=True)), bool, len(nodes))
+
+
+def _chosen(h: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(members, starts) of some of the sets."""
+    sizes = np.diff(np.append(starts, len(h)))
+    return h[np.repeat(which, sizes)], np.cumsum(sizes[which]) - sizes[which]
+
+
 def _units(least: int, key_bits: int):
     """Rows (uid, doc_id, mark, text) with their fingerprints, paragraphs and, for paragraphs that the task had not met
     before, bitmaps and band keys; first and last are code points."""
-    kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(_LINE), pa.list_(_FRESH)]
-
-    def one(raw: bytes, seen: set[int]) -> tuple:
-        words = word_hashes(raw)
-        at, h = fingerprints(words)
-        data = np.frombuffer(raw, np.uint8)
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]])))
-        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]).astype(np.int32)
-        starts, ends = points[edge[::2]], points[edge[1::2]]
-        lines, fresh = [], []
-        for a, b, s in _paragraphs(raw, words, least):
-            node = jaccard.node_of(s)
-            lines.append({"first": int(starts[a]), "last": int(ends[b - 1]), "words": b - a, "node": node})
-            if len(s) > 2 and jaccard.unseen(node, seen):
-                fresh.append({"node": node, "n": len(s), "bits": jaccard.bitmap(s), "keys": np.unique(jaccard.cut_keys(_bands(s), key_bits))})
-        return h.view(np.int64), starts[at], ends[at + SPAN - 1] if len(at) else starts[:0], lines, fresh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in jaccard.sliced(batches):
-            rows = [one(raw, seen) if (raw := text.as_py()) else (None,) * 5 for text in batch.column(3).cast(pa.binary())]
-            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            texts = _Texts([text.as_py() or b"" for text in batch.column(3).cast(pa.binary())], least)
+            rows = batch.num_rows
+            prints, at, many = texts.prints()
+            h, starts, nodes = texts.sets()
+            sizes = np.diff(np.append(starts, len(h)))
+            lines = pa.StructArray.from_arrays(
+                [pa.array(texts.first[texts.at]), pa.array(texts.last[texts.at + texts.size - 1]), pa.array(texts.size.astype(np.int32)), pa.array(nodes)], fields=list(_LINE)
+            )
+            new = _new(nodes, sizes > 2, seen)
+            s, begins = _chosen(h, starts, new)
+            keys = np.sort(jaccard.cut_keys(_bands(s, begins), key_bits), 1) if len(begins) else np.empty((0, BANDS), np.int64)
+            fresh = pa.StructArray.from_arrays(
+                [pa.array(nodes[new]), pa.array(sizes[new]), pa.array(_bitmaps(s, begins) if len(begins) else [], pa.binary()),
+                 _lists(np.full(len(keys), BANDS), pa.array(keys.ravel()))], fields=list(_FRESH)
+            )
+            last = texts.last[at + SPAN - 1] if len(at) else texts.last[:0]
+            columns = [_lists(many, pa.array(prints.view(np.int64))), _lists(many, pa.array(texts.first[at])), _lists(many, pa.array(last))]
+            columns += [_lists(np.bincount(texts.text, minlength=rows), lines), _lists(np.bincount(texts.text[new], minlength=rows), fresh)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], *columns], names=["uid", "doc_id", "mark", "prints", "first", "last", "lines", "fresh"]
             )
@@ -133,14 +204,12 @@ def _line_sets(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in jaccard.sliced(batches):
-            rows = []
-            for text in batch.column(0).cast(pa.binary()):
-                raw = text.as_py()
-                for *_, s in _paragraphs(raw, word_hashes(raw), least):
-                    if len(s) > 2 and jaccard.unseen(node := jaccard.node_of(s), seen):
-                        rows.append((node, s.astype("<u8").tobytes()))
-            columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles"])
+            texts = _Texts([text.as_py() for text in batch.column(0).cast(pa.binary())], least)
+            h, starts, nodes = texts.sets()
+            new = _new(nodes, np.diff(np.append(starts, len(h))) > 2, seen)
+            s, begins = _chosen(h, starts, new)
+            sets = [x.astype("<u8").tobytes() for x in np.split(s, begins[1:])] if len(begins) else []
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[new]), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     return run
 
@@ -164,16 +233,6 @@ def _met_prints(key_bits: int):
     return run
 
 
-def _print_keys(key_bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            keys = jaccard.cut_keys(lists.values.to_numpy().view(np.uint64), key_bits)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(lists.offsets, pa.array(keys))], names=["node", "keys"])
-
-    return run
-
-
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document the removed code point ranges, merged."""
     for batch in batches:
@@ -210,7 +269,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, limits: j
     units = stored(numbered.mapInArrow(_units(least_words, key_bits), _UNITS.format(k=kind)), "passage-units")
 
     fresh = units.select("mark", F.inline("fresh"))
-    rows = stored(jaccard.meeting_lists(fresh.select("node", "keys"), key_bits, limits), "passage-rows")
+    rows = stored(jaccard.meeting_lists(fresh.select("node", "keys"), jaccard.Lists(key_bits), limits), "passage-rows")
     nodes = fresh.select("node", "n", "bits", "mark").join(rows.select("node").distinct(), "node", "left_semi")
     nodes = stored(nodes.dropDuplicates(["node"]), "passage-nodes")
     store = jaccard.SetStore(nodes, docs.select("mark", "text"), _line_sets(least_words))
@@ -219,8 +278,8 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, limits: j
     lines = lines.select("uid", "doc_id", "first", "last", (F.col("words") >= LONG).alias("long"), F.coalesce("root", "node").alias("root"))
 
     lists = units.where(F.size("prints") > 0)
-    cut = lists.select(F.col("uid").alias("node"), "prints").mapInArrow(_print_keys(key_bits), "node long, keys array<long>")
-    met = jaccard.meeting_lists(cut, key_bits, limits).groupBy(F.col("node").alias("uid")).agg(F.collect_set("key").alias("keys"))
+    met = jaccard.meeting_lists(lists.select(F.col("uid").alias("node"), F.col("prints").alias("keys")), jaccard.Lists(key_bits, whole=True), limits)
+    met = met.groupBy(F.col("node").alias("uid")).agg(F.collect_set("key").alias("keys"))
     prints = lists.select("uid", "doc_id", "prints", "first", "last").join(met, "uid")
     prints = stored(prints.mapInArrow(_met_prints(key_bits), f"uid long, doc_id {kind}, print long, first int, last int"), "passage-prints")
 
