@@ -11,8 +11,9 @@ believed in the end is found wherever it occurs, whatever white space parts its
 Only SQL expressions are used.
 
 Cases: a null text is an empty one; null and repeated ids and repeated rows are kept; overlaps between kinds are all
-listed; an empty table gives no rows; the input's columns are kept and may not clash with `spans` (array of kind, start,
-end in code points, end exclusive, base flag).
+listed; runs of millions of digits or labels pass in linear time; an empty table gives no rows; the input's columns are
+kept, whatever their names but `spans` (array of kind, start, end in code points, end exclusive, base flag), which raises
+an error.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from pyspark.sql import functions as F
 
 from medloom.llm.common import SPACE, stored
 
-# The kinds in order, their patterns, and a private-use mark that stands for a seed in a masked text.
+# The kinds in order, their patterns, and a private-use mark that stands for a seed in a masked text. The
+# patterns never give back what they took, and begin where a run of their characters does (or the last match ended), so
+# Java's engine neither recurses nor starts over inside long runs; what they match is the same.
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     # the shortest that can have 13 digits; a shorter run of digits has no match that passes anyway
-    "card": r"[0-9](?:[\x20-]?[0-9]){12,}",
+    "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 MARK = "\ue000"
@@ -45,6 +48,7 @@ SHAPES = {
 #: The longest run at the start of joined words, and the most words that it can have.
 RUN, RUN_WORDS = rf"^[^A-Za-z0-9(+]*({CARD_RUN}|{PHONE_RUN})(?=[^A-Za-z0-9@{MARK}]*(?:\x20|$))", 19
 SUPPORT, CONFIDENCE, MOVED = 3, 0.5, 0.01
+CHUNK = 256
 SPAN = "struct<kind: int, start: int, end: int, value: string>"
 
 
@@ -65,7 +69,8 @@ def _luhn(value: Column) -> Column:
 def _valid(kind: str, value: Column) -> Column:
     n = F.length(_digits(value))
     if kind == "ip":
-        return F.forall(F.split(value, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (p.cast("decimal(38,0)") <= 255))
+        small = lambda p: (F.length(p) == 0) | (F.length(p) <= 3) & F.coalesce(p.try_cast("int") <= 255, F.lit(False))
+        return F.forall(F.split(value, r"\."), lambda p: small(F.ltrim(p, F.lit("0"))))
     if kind == "card":
         return n.between(13, 19) & _luhn(value)
     if kind == "phone":
@@ -73,19 +78,35 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(kind: str, text: Column, matches: Column) -> Column:
-    """Valid matches with their places: the text between matches and the matches themselves add up."""
-    between = F.slice(F.split(text, PATTERNS[kind], -1), F.lit(1), F.size(matches))
-    both = F.zip_with(between, matches, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("value")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+def _starts(parts: Column) -> Column:
+    """Where the `size` of each part (gap, size) begins when gaps and sizes follow one another.
+
+    Running sums by chunks of CHUNK parts, so that long arrays are not copied once for each of their members.
+    """
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / CHUNK).cast("int")), lambda c: F.slice(parts, c * CHUNK + 1, CHUNK))
+    whole = F.transform(chunks, lambda chunk: F.aggregate(chunk, F.lit(0), lambda at, x: at + x["gap"] + x["size"]))
+
+    def running(sizes: Column, begin: Column, before, after) -> Column:
+        zero = F.struct(begin.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + after(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + before(x))).alias("out"))
+        return F.aggregate(sizes, zero, step, lambda acc: acc["out"])
+
+    begins = running(whole, F.lit(0), lambda x: F.lit(0), lambda x: x)
+    return F.flatten(F.zip_with(chunks, begins, lambda chunk, at: running(chunk, at, lambda x: x["gap"], lambda x: x["gap"] + x["size"])))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["value"])
-        one = F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.filter(F.aggregate(both, zero, step, lambda acc: acc["out"]), lambda s: _valid(kind, s["value"]))
+def _places(text: Column, pattern: Column, matches: Column) -> Column:
+    """(start, value) of the matches of a pattern: the text between matches and the matches themselves add up."""
+    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
+    parts = F.zip_with(between, matches, lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("size")))
+    return F.zip_with(_starts(parts), matches, lambda at, m: F.struct(at.alias("start"), m.alias("value")))
+
+
+def _spans(kind: str, text: Column, matches: Column) -> Column:
+    """Valid matches with their places."""
+    places = F.filter(_places(text, F.lit(PATTERNS[kind]), matches), lambda x: _valid(kind, x["value"]))
+    one = lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end"), x["value"].alias("value"))
+    return F.transform(places, one)
 
 
 def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -95,6 +116,8 @@ def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     every = {k: F.regexp_extract_all(text, F.lit(p), F.lit(0)) for k, p in PATTERNS.items()}
     every["email"] = F.when(text.contains("@"), every["email"]).otherwise(none)
     every["phone"] = F.when(text.contains("+"), every["phone"]).otherwise(none)
+    if clash := {"base", *[f"_{k}" for k in KINDS]} & set(docs.columns):
+        raise ValueError(f"columns clash with the operator's: {sorted(clash)}")
     df = docs.withColumns({f"_{k}": v for k, v in every.items()})
     empty = F.array().cast(f"array<{SPAN}>")
     each = [F.when(F.size(f"_{k}") > 0, _spans(k, text, F.col(f"_{k}"))).otherwise(empty) for k in KINDS]
@@ -105,12 +128,20 @@ def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _masked(based: DataFrame, text_col: str) -> DataFrame:
-    """The words of each text, seeds masked by their kind first."""
-    masked = F.aggregate(
-        "base", F.col(text_col),
-        lambda t, s: F.replace(t, s["value"], F.concat(F.lit(MARK), s["kind"].cast("string"), F.lit(MARK), F.translate(s["value"], " ", ""), F.lit(MARK))),
-    )
-    return based.select(F.split(masked, SPACE).alias("words"))
+    """The words of each text, its seeds masked by their kind first; of overlapping seeds those that follow another."""
+    text = F.col(text_col)
+    order = F.array_sort(F.transform("base", lambda s: F.struct(s["start"], s["end"], s["kind"], s["value"])))
+    df = based.withColumn("base", order)
+    df = df.withColumn("base", F.filter("base", lambda s, i: s["start"] >= F.coalesce(F.get("base", i - 1)["end"], F.lit(0))))
+
+    def piece(s: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("base", i - 1)["end"], F.lit(0))
+        seed = F.concat(F.lit(MARK), s["kind"].cast("string"), F.lit(MARK), F.translate(s["value"], " ", ""), F.lit(MARK))
+        return F.concat(F.substring(text, end + 1, s["start"] - end), seed)
+
+    rest = F.substring(text, F.element_at("base", -1)["end"] + 1, F.length(text))
+    masked = F.when(F.size("base") == 0, text).otherwise(F.concat(F.array_join(F.transform("base", piece), ""), rest))
+    return df.select(F.split(masked, SPACE).alias("words"))
 
 
 def _before(i: Column) -> Column:
@@ -118,7 +149,7 @@ def _before(i: Column) -> Column:
 
 
 def _bare(word: Column) -> Column:
-    return F.regexp_replace(word, f"^[^A-Za-z0-9(+{MARK}]+|[^A-Za-z0-9){MARK}]+$", "")
+    return F.regexp_replace(word, f"^[^A-Za-z0-9(+{MARK}]++|(?<![^A-Za-z0-9){MARK}])[^A-Za-z0-9){MARK}]++$", "")
 
 
 def _in_run(word: Column, after: Column) -> Column:
@@ -186,42 +217,51 @@ def discovered(based: DataFrame, text_col: str = "text") -> DataFrame:
             return believed.where("not seed").select("value", "kind")
 
 
-def find_personal(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The documents with `spans`: base spans and discovered ones, by kind, then start."""
-    if clash := {"spans", "base"} & set(docs.columns):
-        raise ValueError(f"columns clash with the operator's: {sorted(clash)}")
-    based = base_spans(docs, text_col)
-    known = stored(discovered(based, text_col), "pii-discovered")
-    flag = lambda column, base: F.transform(
-        column, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"))
-    )
-    if known.isEmpty():
-        return based.withColumn("spans", flag("base", True)).drop("base")
-    text = F.col(text_col)
-    key = F.xxhash64(id_col, text_col)
+def _found(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, more) for rows (key, text) that hold known values: where these are, as an array of kind, start, end, base.
+
+    Only words and values meet the known ones; places are then looked for in each row that holds some.
+    """
     most = known.agg(F.max(F.size(F.split("value", " ")))).first()[0]
-    df = docs.where(text.rlike("[0-9@]")).select(key.alias("_key"), text.alias("_text"), F.split(text, SPACE).alias("words"))
+    df = docs.where(F.col("text").rlike("[0-9@]")).select("key", F.split("text", SPACE).alias("words"))
     upto = lambda i: F.transform(F.sequence(F.lit(2), F.lit(most)), lambda n: F.array_join(F.slice("words", i + 1, n), " "))
     runs = F.transform("words", lambda w, i: F.when(_in_run(w, F.get("words", i + 1)), upto(i)).otherwise(F.array().cast("array<string>")))
     every = F.concat("words", F.flatten(runs)) if most > 1 else F.col("words")
-    holds = df.select("_key", "_text", F.explode(F.array_distinct(F.transform(every, _bare))).alias("value"))
-    holds = holds.join(known, "value").select("_key", "_text", "value", "kind").distinct()
-    spaced = F.replace("value", F.lit(" "), F.lit(rf"\E{SPACE}\Q"))
-    pattern = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), spaced, F.lit(r"\E(?![A-Za-z0-9])"))
-    holds = holds.withColumns({"gaps": F.transform(F.split("_text", pattern, -1), F.length), "sizes": F.transform(F.regexp_extract_all("_text", pattern, F.lit(0)), F.length)})
-    total = lambda sizes, n: F.aggregate(F.slice(sizes, F.lit(1), n), F.lit(0), lambda a, x: a + x)
-    places = F.transform("sizes", lambda n, i: F.struct((total("gaps", i + 1) + total("sizes", i)).alias("start"), n.alias("size")))
-    more = holds.where(F.size("sizes") > 0).select("_key", "kind", F.inline(places))
-    one = F.struct("kind", "start", (F.col("start") + F.col("size")).alias("end"), F.lit(False).alias("base"))
-    more = more.groupBy("_key").agg(F.collect_set(one).alias("more"))
-    df = based.withColumn("_key", key).join(more, "_key", "left")
+    holds = df.select("key", F.explode(F.array_distinct(F.transform(every, _bare))).alias("value"))
+    holds = holds.join(known, "value").groupBy("key").agg(F.collect_set(F.struct("value", "kind")).alias("values"))
+    text = F.col("text")
+
+    def spans(known: Column) -> Column:
+        quoted = F.replace(known["value"], F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+        pattern = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(quoted, F.lit(" "), F.lit(rf"\E{SPACE}\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
+        places = _places(text, pattern, F.regexp_extract_all(text, pattern, F.lit(0)))
+        one = lambda x: F.struct(known["kind"].alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end"), F.lit(False).alias("base"))
+        return F.transform(places, one)
+
+    rows = docs.join(holds, "key").dropDuplicates(["key"])
+    return rows.select("key", F.array_distinct(F.flatten(F.transform("values", spans))).alias("more"))
+
+
+def find_personal(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The documents with `spans`: base spans and discovered ones, by kind, then start."""
+    if "spans" in docs.columns:
+        raise ValueError("columns clash with the operator's: ['spans']")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    based = base_spans(rows)
+    known = stored(discovered(based, "text"), "pii-discovered")
+    flag = lambda column: F.transform(
+        column, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(True).alias("base"))
+    )
+    if known.isEmpty():
+        return based.select("row.*", flag("base").alias("spans"))
+    df = based.join(stored(_found(rows.select("key", "text"), known), "pii-found"), "key", "left")
     seen = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     extra = F.filter(F.coalesce("more", F.array().cast("array<struct<kind: int, start: int, end: int, base: boolean>>")), lambda s: ~seen(s))
     # of what was found both alone and as a part of a longer number of its kind, the longer one
     longer = lambda s, o: (o["kind"] == s["kind"]) & (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
     df = df.withColumn("more", extra)
     extra = F.filter("more", lambda s: ~F.exists("more", lambda o: longer(s, o)))
-    return df.withColumn("spans", F.array_sort(F.concat(flag("base", True), extra))).drop("base", "more", "_key")
+    return df.select("row.*", F.array_sort(F.concat(flag("base"), extra)).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:

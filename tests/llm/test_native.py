@@ -193,6 +193,29 @@ def test_rounds_go_on_until_nothing_new_comes(spark):
     assert discoveries(spark, rows) == {number(level, i) for level in range(6) for i in range(3)}
 
 
+def test_long_runs_and_clashing_columns(spark):
+    numbers = " ".join(f"1.2.3.{i % 256}" for i in range(3000))
+    texts = ["1" * 1_000_000, "a@b" + ".c" * 100_000, "1.1" * 4000, "-" * 1_000_000 + "x", "a" * 1_000_000 + " q@r.st", numbers, "a@b.c._x@d.e", "1 " * 20_000]
+    rows = [(i, t, i, i, i, i) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more int, base int, _key int, key int")
+    found = {r.doc_id: r for r in pii.find_personal(df).collect()}
+    assert all((r.more, r.base, r["_key"], r.key) == (i, i, i, i) for i, r in found.items())
+    got = {i: [(pii.KINDS[s.kind], s.start, s.end) for s in r.spans] for i, r in found.items()}
+    assert got[1] == [("email", 0, len(texts[1]))]
+    assert (got[0], got[3], got[7]) == ([], [], [])
+    assert got[2] == base_spans(texts[2])
+    assert got[4] == [("email", 1_000_001, 1_000_007)]
+    assert got[5] == base_spans(numbers) and len(got[5]) == 3000
+    assert got[6] == base_spans(texts[6])
+
+
+def test_found_values_are_quoted(spark):
+    odd = r"(555\E(010"
+    known = spark.createDataFrame([(odd, 3)], "value string, kind int")
+    rows = spark.createDataFrame([(1, f"x {odd} y {odd}."), (2, "none 5")], "key long, text string")
+    assert {r.key: [(s.start, s.end) for s in r.more] for r in pii._found(rows, known).collect()} == {1: [(2, 12), (15, 25)]}
+
+
 def test_redaction_and_odd_rows(spark, odd, empty, odd_rows):
     df = spark.createDataFrame([(1, "to a@b.cd from 1.2.3.4!"), (2, None), (3, "plain")], "doc_id long, text string")
     rows = pii.find_personal(df).select("doc_id", pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()
