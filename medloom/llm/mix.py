@@ -12,8 +12,9 @@ one source), so a hot source spreads over as many tasks as it has buckets. The t
 sources, each chunk in its own task.
 
 Cases: a null source is a source of its own, the last by rank; a null text has no words; a source without words takes
-nothing; rows that are equal in id, source and text tie and are interchangeable; ids may be null or repeated; an empty
-table gives no rows; the input's columns are kept and may not clash with those added.
+nothing; rows that are equal in id, source and text tie, are numbered by their place in the line and interchangeable; ids
+may be null or repeated; an empty table gives no rows; the input's columns are kept, whatever their names but those added,
+which raise an error.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from pyspark.sql import Window as W
 
 from medloom.llm.common import stored, word_count
 
-BUCKET_ROWS, CHUNK = 1024, 512
+#: Rows of a bucket; sources of a chunk; bytes of text that a part of an output shard takes.
+BUCKET_ROWS, CHUNK, SHARD_BYTES = 1024, 512, 128 << 20
 #: Fixed value: a prime multiplier beyond any number of blocks of a source, for permuting their order.
 PRIME = 2**31 - 1
 ADDED = ("size", "source_size", "target", "copies")
@@ -108,7 +110,7 @@ def _inside() -> Column:
 
 
 def _edges(df: DataFrame, where: list[str], starts: DataFrame) -> DataFrame:
-    """Per source the `filler`: the key of the document beyond the cut that fits the gap before it best, if it helps.
+    """Per source the `filler`: the place in the line, so one of equal rows, of the document beyond the cut that fits the gap before it best, if it helps.
 
     The document that the cut falls into would leave a gap, or overshoot, by up to its own size.
     """
@@ -118,8 +120,8 @@ def _edges(df: DataFrame, where: list[str], starts: DataFrame) -> DataFrame:
     gaps = stored(ends.select("none", "src", (F.col("part") - F.coalesce("end", F.lit(0))).alias("gap")), "mix-gaps")
     beyond = _line(df, where, starts.join(gaps, ["none", "src"])).where(~_inside() & (F.col("size") > 0))
     off = F.abs(F.col("size") - F.col("gap"))
-    best = beyond.groupBy("none", "src").agg(F.min(F.struct(off.alias("off"), "key", "gap")).alias("best"))
-    return best.where("best.off < best.gap").select("none", "src", F.col("best.key").alias("filler"))
+    best = beyond.groupBy("none", "src").agg(F.min(F.struct(off.alias("off"), "start", "gap")).alias("best"))
+    return best.where("best.off < best.gap").select("none", "src", F.col("best.start").alias("filler"))
 
 
 def mix_plan(
@@ -129,11 +131,11 @@ def mix_plan(
     if clash := set(ADDED) & set(docs.columns):
         raise ValueError(f"columns clash with the operator's: {sorted(clash)}")
     bits = max(0, math.ceil(math.log2(max(1, docs.count()) / BUCKET_ROWS)))
-    df = docs.withColumns({
-        "size": word_count(F.col("text")),
-        "none": F.col("source").isNull(), "src": F.coalesce("source", F.lit("")),
-        "key": F.xxhash64(F.lit(seed), "doc_id", "source", "text"),
-    })
+    df = docs.select(
+        F.struct(*docs.columns).alias("row"), "doc_id", word_count(F.col("text")).alias("size"),
+        F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("src"),
+        F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("key"),
+    )
     df = df.withColumn("bucket", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long"))
     where = ["none", "src", "bucket"]
     light = stored(df.select(*where, "key", "doc_id", "size"), "mix-lines")  # so that texts are read twice in all
@@ -149,20 +151,25 @@ def mix_plan(
     edges = _edges(light, where, starts)
     df = _line(df, where, starts.join(edges, ["none", "src"], "left"))
     passes = F.sequence(F.lit(0).cast("long"), F.col("full"))
-    taken = lambda e: (e < F.col("full")) | _inside() | F.coalesce(F.col("key") == F.col("filler"), F.lit(False))
+    taken = lambda e: (e < F.col("full")) | _inside() | F.coalesce((F.col("start") == F.col("filler")) & (F.col("size") > 0), F.lit(False))
 
     def dealt(e):
         block = e * F.col("a_pass") + F.floor(F.col("start") / block_words)
         place = F.pmod(block * PRIME + F.pmod(F.xxhash64(F.lit(seed), "rank"), F.lit(PRIME)), F.greatest("quota", F.lit(1)))
         return F.struct(e.cast("int").alias("epoch"), F.size(F.filter("ends", lambda end: end <= place)).alias("shard"))
 
-    return df.select(*docs.columns, "size", "source_size", "target", F.transform(F.filter(passes, taken), dealt).alias("copies"))
+    df = df.withColumn("copies", F.transform(F.filter(passes, taken), dealt))
+    return df.select("row.*", "size", "source_size", "target", "copies")
 
 
 def mixed(docs: DataFrame, shards: int = 32, seed: int = 3, **options) -> DataFrame:
     """The mix itself: a row for each copy with its `shard`, shards apart and each in a random order."""
     plan = mix_plan(docs, shards=shards, seed=seed, **options)
-    rows = plan.select(*docs.columns, F.explode("copies").alias("copy")).select("*", "copy.shard", "copy.epoch")
-    spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "epoch"), F.lit(max(1, -(-256 // shards))))
-    rows = rows.repartition("shard", spread).sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 1), "doc_id", "epoch"))
-    return rows.select(*docs.columns, "shard")
+    if "shard" in docs.columns:
+        raise ValueError("columns clash with the operator's: ['shard']")
+    rows = plan.select(F.struct(*docs.columns).alias("row"), F.explode("copies").alias("copy"))
+    rows = rows.withColumn("place", F.xxhash64(F.lit(seed), "row.doc_id", "row.source", "row.text", "copy.epoch"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    spread = F.pmod("place", F.lit(max(-(-256 // shards), -(-size // (shards * SHARD_BYTES)))))
+    rows = rows.repartition("copy.shard", spread).sortWithinPartitions("copy.shard", F.xxhash64(F.lit(seed + 1), "place"))
+    return rows.select("row.*", "copy.shard")

@@ -253,7 +253,7 @@ def find_personal(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
         column, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(True).alias("base"))
     )
     if known.isEmpty():
-        return based.select("row.*", flag("base").alias("spans"))
+        return based.withColumn("spans", flag("base")).select("row.*", "spans")
     df = based.join(stored(_found(rows.select("key", "text"), known), "pii-found"), "key", "left")
     seen = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     extra = F.filter(F.coalesce("more", F.array().cast("array<struct<kind: int, start: int, end: int, base: boolean>>")), lambda s: ~seen(s))
@@ -261,7 +261,7 @@ def find_personal(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     longer = lambda s, o: (o["kind"] == s["kind"]) & (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
     df = df.withColumn("more", extra)
     extra = F.filter("more", lambda s: ~F.exists("more", lambda o: longer(s, o)))
-    return df.select("row.*", F.array_sort(F.concat(flag("base"), extra)).alias("spans"))
+    return df.withColumn("spans", F.array_sort(F.concat(flag("base"), extra))).select("row.*", "spans")
 
 
 def span_text(spans: Column) -> Column:

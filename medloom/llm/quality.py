@@ -6,7 +6,7 @@ one row for each distinct mask and task, however many documents there are.
 
 Cases: a null text counts as a text without words (all measurements 0, so it fails `few_words`); a null id stays null;
 an empty table gives an empty ledger; repeated rows are measured independently; columns of the input are kept only
-where asked for with `keep`, under their own names, and must not clash with the ledger's.
+where asked for with `keep`, under their own names; a clash with the ledger's, or a leading underscore, raises an error.
 """
 
 from __future__ import annotations
@@ -92,6 +92,9 @@ def _repeat_words(df: DataFrame) -> DataFrame:
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """The measurements of each document, over its whole text."""
+    names = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words")
+    if clash := {"doc_id", "fail_mask", *names} & set(keep) or {c for c in keep if c.startswith("_")}:
+        raise ValueError(f"columns clash with the operator's: {sorted(clash)}")
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(F.col(id_col).alias("doc_id"), *keep, text.alias("_text"))
     df = df.withColumn("_words", F.array_remove(F.split("_text", SPACE), ""))
@@ -105,7 +108,6 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         "n_lines": F.size("_lines").cast(LONG),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast(LONG),
     })
-    names = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words")
     # The generator keeps a later filter on a measure from being pushed down, which would copy the nested arrays into it.
     return _repeat_words(df).select("doc_id", *keep, F.inline(F.array(F.struct(*names))))
 

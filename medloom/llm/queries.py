@@ -27,10 +27,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents mixed with source weights 5, 2, 1, repeating, no source beyond 3 times its words."""
+    """All documents mixed with source weights 5, 2, 1, repeating, no source beyond 3 times its words: what the mix takes,
+    and the shards that the tree dealt each copy to."""
     plan = mix.mix_plan(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
-    taken = (F.col("size") * F.size("copies")).cast("long").alias("taken")
-    return plan.select("doc_id", "size", "source_size", "target", taken)
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda n, _: n + F.col("size")).alias("taken")
+    shards = F.array_join(F.transform("copies", lambda c: c["shard"].cast("string")), ",").alias("shards")
+    return plan.select("doc_id", "size", "source_size", "target", taken, shards)
 
 
 def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

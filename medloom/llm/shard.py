@@ -12,8 +12,8 @@ expressions. Rows move once. A partition of rows and its place in it come from t
 must give the same rows in the same partitions when it is read twice: files do; any other input is stored first.
 
 Cases: null ids and texts are rows like others (a null text has 0 bytes); equal texts and repeated rows are separate
-rows and get separate slots; an empty table gives no rows; the input's columns are kept, and a clash with `shard` or
-`slot` raises an error.
+rows and get separate slots; an empty table gives no rows; the input's columns are kept, whatever their names but `shard`
+and `slot`, which raise an error.
 """
 
 from __future__ import annotations
@@ -137,8 +137,9 @@ def shard_uniform(rows: DataFrame, shards: int, seed: int = 17, files: bool = Fa
 
     files: rows is a bare read of files, so its partitions are the same when read again; else it is stored first.
     """
-    if clash := {"shard", "slot", "_pid", "_pos"} & set(rows.columns):
+    if clash := {"shard", "slot"} & set(rows.columns):
         raise ValueError(f"columns clash with the operator's: {sorted(clash)}")
+    rows = rows.select(F.struct(*rows.columns).alias("row"))
     if not files:
         rows = stored(rows, "shard-input")
     counts = stored(rows.groupBy(F.spark_partition_id().cast("long").alias("pid")).agg(F.count("*").alias("n")), "shard-counts")
@@ -154,8 +155,8 @@ def shard_uniform(rows: DataFrame, shards: int, seed: int = 17, files: bool = Fa
     starts = sizes.select("shard", "_block", F.coalesce(before, F.lit(0)).alias("_start"))
     inside = W.partitionBy("shard", "_block").orderBy("_key", "_pid", "_pos")
     df = dealt.withColumn("_rank", F.row_number().over(inside) - 1).join(starts, ["shard", "_block"])
-    slot = (F.col("_start") + F.col("_rank")).cast("long")
-    return df.select(*rows.columns, "shard", slot.alias("slot"))
+    df = df.withColumn("slot", (F.col("_start") + F.col("_rank")).cast("long"))
+    return df.select("row.*", "shard", "slot")
 
 
 def text_size(text: Column) -> Column:

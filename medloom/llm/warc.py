@@ -3,7 +3,7 @@
 An ARC file opens with a version block whose second line names the version and whose third lists the fields of each
 record's header line; version 1 has five, version 2 adds result code, checksum, location, offset and file name. The
 declared length at the end of the line alone says where a record ends. A WARC record needs what ARC lacks: an identifier
-(here a name-based UUID of what identifies the capture), an ISO date, a type, and digests.
+(here a name-based UUID of what identifies the capture and of its place in its ARC file, so equal captures have their own), an ISO date, a type, and digests.
 
 Equal payloads of at least `least` bytes become one response and revisits of it. The response is the one with the
 largest page id; rows that share that id are all responses, and so are all rows of a group without ids. The groups
@@ -29,6 +29,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ PAGE_HEADER, CRLF = b"X-Page-Id", b"\r\n"
 SEPARATOR = "\r\n\r\n"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _UNSAFE = re.compile(rb"[\x00-\x20\x7f]")
-LEAST, PER_FILE, CAPTURED = 1000, 4096, "20000101000000"
+LEAST, PER_FILE, FILE_BYTES, ARC_BYTES, CAPTURED = 1000, 4096, 64 << 20, 8 << 20, "20000101000000"
 
 
 # --- ARC ------------------------------------------------------------------------------------------------------------
@@ -93,19 +94,20 @@ def arc_records(data: bytes) -> Iterator[dict[str, bytes]]:
 
 
 def _to_arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (page_id, url, html) as ARC files, versions in turn, 256 pages each."""
-    made = 0
+    """Rows (page_id, url, html) as ARC files, versions in turn, of 256 pages or, where pages are long, ARC_BYTES on average."""
+    part, made = TaskContext.get().partitionId(), 0
     for batch in batches:
         ids, urls, pages = (batch.column(0), *(batch.column(i).cast(pa.binary()) for i in (1, 2)))
-        for at in range(0, batch.num_rows, 256):
+        step = max(1, min(256, batch.num_rows * ARC_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
             records = []
-            for i in range(at, min(at + 256, batch.num_rows)):
+            for i in range(at, min(at + step, batch.num_rows)):
                 html, key = pages[i].as_py() or b"", ids[i].as_py()
                 uri = _UNSAFE.sub(lambda m: b"%%%02X" % m[0][0], urls[i].as_py() or b"urn:no-url")
                 page = b"" if key is None else PAGE_HEADER + f": {key}".encode() + CRLF
                 head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + page
                 records.append((uri, CAPTURED, "text/html", head + f"Content-Length: {len(html)}\r\n\r\n".encode() + html))
-            name = f"pages-{made:06d}.arc"
+            name = f"pages-{part:06d}-{made:06d}.arc"
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name]), pa.array([arc_file(name, 1 + made % 2, records)], pa.binary())], names=["name", "content"]
             )
@@ -131,14 +133,14 @@ def _converted(light: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
+            for file, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
                 rows: list[tuple] = []
-                for r in arc_records(content.as_py()):
+                for place, r in enumerate(arc_records(content.as_py())):
                     head, _, payload = r["content"].partition(CRLF + CRLF)
                     page, digest = _header(head, PAGE_HEADER), hashlib.sha1(payload).hexdigest()
                     d, uri = r["Archive-date"].decode(), r["URL"].decode("utf-8", "replace")
                     date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-                    name = f"{uri}\n{date}\n{digest}\n{page}"
+                    name = f"{uri}\n{date}\n{digest}\n{page}\n{file}\n{place}"
                     row = (None if page is None else int(page), f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}", digest, len(payload))
                     rows.append(row if light else (*row, uri, date, r["content"]))
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.string(), pa.string(), pa.binary()] * (not light)
@@ -244,9 +246,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_read_back, schema)
 
 
-def archive_pages(pages: DataFrame, least: int = LEAST, per_file: int = PER_FILE) -> DataFrame:
-    """Pages (page_id, url, html) through ARC files into WARC files in the shared folder, and what reading them gives."""
+def archive_pages(pages: DataFrame, least: int = LEAST, per_file: int | None = None) -> DataFrame:
+    """Pages (page_id, url, html) through ARC files into WARC files in the shared folder, and what reading them gives.
+
+    Without per_file, files get as many records as make FILE_BYTES on average, PER_FILE at most.
+    """
     spark = pages.sparkSession
+    if per_file is None:
+        many, size = pages.agg(F.count("*"), F.sum(F.octet_length("html"))).first()
+        per_file = max(1, min(PER_FILE, many * FILE_BYTES // max(1, size or 0)))
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     arcs = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_to_arcs, "name string, content binary")
     write_warc(convert(arcs, least), path, per_file)

@@ -333,7 +333,7 @@ def test_split_tree_margins():
     assert (dealt.sum(1) == quotas).all() and (dealt.sum(0) == caps).all() and (dealt >= 0).all()
 
 
-def test_mix_of_odd_rows(odd, empty, odd_rows):
+def test_mix_of_odd_rows(spark, odd, empty, odd_rows):
     plan = mix.mix_plan(odd, shards=4).collect()
     assert len(plan) == len(odd_rows)
     sizes = Counter()
@@ -345,6 +345,14 @@ def test_mix_of_odd_rows(odd, empty, odd_rows):
     assert out.columns == [*odd.columns, "shard"]
     assert out.count() == sum(len(r.copies) for r in plan)
     assert mix.mix_plan(empty).count() == 0
+    names = ["key", "start", "none", "src", "bucket", "rank", "part", "base", "ends", "full", "quota", "filler", "row"]
+    more = mix.mix_plan(odd.withColumns({c: F.lit(c) for c in names}), shards=4)
+    assert all(r[c] == c for r in more.collect() for c in names)
+    six = spark.createDataFrame([(1, "a b c d e f g h i j", "en", "a", 1)] * 6 + [(2, " ".join("abcdefghij" * 5), "en", "b", 1)], odd.schema)
+    taken = Counter()
+    for r in mix.mix_plan(six, shards=4).collect():
+        taken[r.source, r.target] += r["size"] * len(r.copies)
+    assert all(abs(n - target) <= 50 if s == "b" else abs(n - target) <= 10 for (s, target), n in taken.items())
     with pytest.raises(ValueError, match="target"):
         mix.mix_plan(odd.withColumnRenamed("lang", "target"))
 
@@ -435,6 +443,10 @@ def test_archives(spark):
     assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {
         1: ("revisit", 5), 3: ("revisit", 5), None: ("revisit", 5), 5: ("response", None), 2: ("response", None), 4: ("response", None), 6: ("response", None), 7: ("response", None)}
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    same = spark.createDataFrame([(1, "", big, "x")] * 3 + [(2, " ", big, "y")], "page_id long, url string, html string, record_type string")
+    again = warc.archive_pages(same).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in again) == [(1, "revisit", 2)] * 3 + [(2, "response", None)]
+    assert len({r.record_id for r in again}) == 4
 
 
 @pytest.mark.parametrize("version", [1, 2])

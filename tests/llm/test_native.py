@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -37,6 +38,8 @@ def test_shards_are_gapless_and_even(spark, small):
     rows = queries.op1_shard(spark, small)
     assert sum(slots(rows, 24).values()) == spark.read.parquet(f"{small}/documents.parquet").count()
     assert rows.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
+    assert all((r["size"], r.text_crc32) == (len(texts[r.doc_id]) + 8, zlib.crc32(texts[r.doc_id])) for r in rows.collect())
 
 
 def test_shards_of_odd_rows(odd, empty, odd_rows):
@@ -44,6 +47,9 @@ def test_shards_of_odd_rows(odd, empty, odd_rows):
     assert sum(slots(out, 4).values()) == len(odd_rows)
     key = lambda rows: Counter(tuple(r)[:5] for r in rows)
     assert key(out.collect()) == key(odd.collect())
+    names = ["_key", "_first", "_at", "_block", "_rank", "_n", "_start", "_pid", "_pos", "row"]
+    more = shard.shard_uniform(odd.withColumns({c: F.lit(c) for c in names}), 4)
+    assert all(r[c] == c for r in more.collect() for c in names)
     assert shard.shard_uniform(empty, 4).count() == 0
     with pytest.raises(ValueError, match="slot"):
         shard.shard_uniform(odd.withColumn("slot", F.lit(1)), 4)
@@ -98,6 +104,8 @@ def test_policies_and_ablations(odd, empty):
         assert table[rule.name].failed_alone == sum(m & mask == bit for m in masks)
         assert table[rule.name].kept_without == sum(m & mask & ~bit == 0 for m in masks)
     assert quality.ledger(empty).count() == 0
+    with pytest.raises(ValueError, match="n_words"):
+        quality.ledger(odd.withColumnRenamed("lang", "n_words"), keep=("n_words",))
 
 
 def test_clean_documents_stay(spark, small):
