@@ -64,6 +64,7 @@ class Limits:
     frequent_rows: int = 2_000_000  # frequent shingles that may be broadcast
     salt_rows: int = 4096  # rows of a key that are dealt to one part
     tile: int = 1024  # nodes in a tile
+    light: float = 20  # pairs a row up to which pairs are gathered before their bitmaps are
 
 
 LIMITS = Limits()
@@ -493,29 +494,26 @@ class _Maps:
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the two tiles of a group (of a tile that is alone: of its rows) that the bitmaps do not exclude.
-
-    A pair is named under the smallest key that both nodes have, so once.
-    """
+    """Pairs of the two tiles of a group (of a tile that is alone: of its rows) that the bitmaps, where rows carry them, do
+    not exclude."""
     found = _Pairs()
     for piece in _runs(batches):
-        group, key, side, node, n, root = (piece.column(c).to_numpy() for c in ("group", "key", "side", "node", "n", "root"))
+        group, side, node, n, root = (piece.column(c).to_numpy() for c in ("group", "side", "node", "n", "root"))
         cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         ends = np.repeat(np.append(cuts[1:], len(group)), np.diff(np.append(cuts, len(group))))
         alone = np.repeat(np.add.reduceat(side, cuts) == 0, np.diff(np.append(cuts, len(group))))
-        maps, own = _Maps(piece.column("bits")), piece.column("own")
+        maps = None if piece.column("bits").null_count else _Maps(piece.column("bits"))
         i, step = np.arange(len(group)), 1
         while len(i := i[i + step < ends[i]]):
             j = i + step
             may = (root[i] != root[j]) & (alone[i] | (side[i] != side[j])) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
             p, q = i[may], j[may]
-            if len(p):
+            if maps and len(p):
                 likely = (n[p] + n[q] - maps.differ(p, q)) // 2 >= needed(n[p], n[q])
                 p, q = p[likely], q[likely]
-                first = np.array([key[x] == min(set(own[x].as_py()) & set(own[y].as_py())) for x, y in zip(p.tolist(), q.tolist(), strict=True)], bool)
-                found.add(node[p[first]], node[q[first]])
-                if found.full():
-                    yield found.batch()
+            found.add(node[p], node[q])
+            if found.full():
+                yield found.batch()
             step += 1
     yield found.batch()
 
@@ -542,12 +540,10 @@ def _crowd(rows: DataFrame, nodes: DataFrame, store: SetStore, tile: int) -> Dat
     return own.where("7 * own > n").select("node", F.lit(1).alias("crowd"))
 
 
-def _tile_pairs(rows: DataFrame, nodes: DataFrame, store: SetStore, per_tile: int) -> DataFrame:
-    """Pairs (a, b) of the open rows (key, node, n, root) that may link."""
+def _tile_pairs(rows: DataFrame, nodes: DataFrame, store: SetStore, per_tile: int, with_bits: bool) -> DataFrame:
+    """Pairs (a, b) of the open rows (key, node, n, root) that may link; with_bits: tested as they meet, not afterwards."""
     crowd = stored(_crowd(rows, nodes, store, per_tile), "shingle-crowd")
-    known = rows.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("own")).join(nodes.select("node", "bits"), "node")
-    known = stored(known.join(crowd, "node", "left").fillna(0, ["crowd"]), "shingle-open-nodes")
-    rows = rows.join(known.select("node", "crowd"), "node")
+    rows = rows.join(crowd, "node", "left").fillna(0, ["crowd"])
     rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / BAND).cast("int"))
     sizes = rows.groupBy("key", "band", "crowd").agg(F.ceil(F.count("*") / per_tile).cast("int").alias("tiles"))
     end = lambda c: sizes.select("key", *[F.col(k).alias(f"{k}_{c}") for k in ("band", "crowd", "tiles")])
@@ -567,9 +563,10 @@ def _tile_pairs(rows: DataFrame, nodes: DataFrame, store: SetStore, per_tile: in
         mine = mine.withColumn(f"tile_{o}", F.explode(others))
         return mine.select("key", "band_x", "band_y", "crowd_x", "crowd_y", "tile_x", "tile_y", F.lit(0 if c == "x" else 1).alias("side"), "node", "n", "root")
 
-    both = side("x", "y").unionByName(side("y", "x")).join(known.select("node", "own", "bits"), "node")
+    both = side("x", "y").unionByName(side("y", "x"))
+    both = both.join(nodes.select("node", "bits"), "node") if with_bits else both.withColumn("bits", F.lit(None).cast("binary"))
     both = both.withColumn("group", F.xxhash64("key", "band_x", "band_y", "crowd_x", "crowd_y", "tile_x", "tile_y"))
-    spread = both.select("group", "key", "side", "node", "n", "root", "own", "bits").repartition("group").sortWithinPartitions("group", "side")
+    spread = both.select("group", "side", "node", "n", "root", "bits").repartition("group").sortWithinPartitions("group", "side")
     return spread.mapInArrow(_tiles, "a long, b long")
 
 
@@ -694,7 +691,8 @@ def components_of(rows: DataFrame, nodes: DataFrame, store: SetStore, limits: Li
             break
     if not pairs:
         return roots
-    return _merged(roots, verified(_tile_pairs(rows.drop("parts"), nodes, store, limits.tile), nodes, store, False))
+    tiled = _tile_pairs(rows.drop("parts"), nodes, store, limits.tile, pairs > limits.light * total)
+    return _merged(roots, verified(tiled, nodes, store, False))
 
 
 def _node_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -81,7 +81,7 @@ def test_hot_keys_are_cut_up_without_losing_links(spark, rows):
     texts = {i: " ".join([*template, *words(rng, rng.randint(10, 48)).split()]) for i in range(70)}
     texts |= {100 + i: words(rng, 3) + " " + " ".join(template) for i in range(5)} | {200: texts[3], 201: texts[3].upper()}
     df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
-    limits = jaccard.Limits(frequent=4, frequent_rows=rows, salt_rows=8, tile=8)
+    limits = jaccard.Limits(frequent=4, frequent_rows=rows, salt_rows=8, tile=8, light=0 if rows else 20)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(df, limits=limits).collect()} == groups(texts)
 
 
