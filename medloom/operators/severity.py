@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from medloom.functions.scoring import first_rule
 
 # Words in adverse events that make a shared event major or moderate.
-MAJOR_WORDS = ("arrest", "bleeding", "death", "failure", "haemorrhage", "hemorrhage", "infarction", "seizure", "stroke", "torsade")
-MODERATE_WORDS = ("arrhythmia", "dizziness", "fall", "hypoglycaemia", "hypoglycemia", "hypotension", "syncope", "vomiting")
+MAJOR_WORDS = (
+    "death", "cardiac arrest", "respiratory failure", "anaphylactic", "anaphylaxis", "hepatic failure", "liver failure", "renal failure",
+    "kidney failure", "seizure", "hemorrhage", "haemorrhage", "stroke",
+)
+MODERATE_WORDS = (
+    "hospitalization", "hospitalisation", "arrhythmia", "hypotension", "hyperkalemia", "hyperkalaemia", "hypoglycemia", "hypoglycaemia", "bleeding",
+)
 
 
 @dataclass(frozen=True)

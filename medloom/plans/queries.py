@@ -215,7 +215,7 @@ def derived_edges(spark, d):
 _REACH = """, near AS (SELECT DISTINCT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation
   UNION SELECT DISTINCT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
 both_ways AS (SELECT src, dst FROM near UNION SELECT dst, src FROM near),
-h0 AS (SELECT 's' || s_suppkey AS start, 's' || s_suppkey AS node, 0 AS hops FROM supplier WHERE s_suppkey < 10),
+h0 AS (SELECT 's' || s_suppkey AS start, 's' || s_suppkey AS node, 0 AS hops FROM supplier),
 h1 AS (SELECT DISTINCT start, dst AS node, 1 AS hops FROM h0 JOIN both_ways ON src = node),
 h2 AS (SELECT DISTINCT start, dst AS node, 2 AS hops FROM h1 JOIN both_ways ON src = node),
 h3 AS (SELECT DISTINCT start, dst AS node, 3 AS hops FROM h2 JOIN both_ways ON src = node)
@@ -228,7 +228,7 @@ def k_hop_reachability(spark, d):
     supplier = table(spark, d, "supplier")
     near = table(spark, d, "nation").select(code("n", "n_nationkey").alias("src"), code("r", "n_regionkey").alias("dst"))
     near = near.union(supplier.select(code("s", "s_suppkey"), code("n", "s_nationkey")))
-    return G.reachable(near, supplier.where("s_suppkey < 10").select(code("s", "s_suppkey").alias("start")), 3)
+    return G.reachable(near, supplier.select(code("s", "s_suppkey").alias("start")), 3)
 
 
 @query(GRAPH + """, paths AS (SELECT DISTINCT least(x.drug, y.drug) AS lo, greatest(x.drug, y.drug) AS hi FROM baskets x JOIN inhibits i ON i.src = x.drug
@@ -410,15 +410,15 @@ def confusion_metrics(spark, d):
 
 
 @query("""WITH c AS (SELECT l_linenumber - 1 AS i, CASE WHEN l_quantity > 40 THEN 3 WHEN l_quantity > 25 THEN 2 WHEN l_quantity > 10 THEN 1 ELSE 0 END AS j
-  FROM lineitem WHERE l_linenumber <= 4), n AS (SELECT i, j, count(*)::DOUBLE AS n FROM c GROUP BY ALL),
+  FROM lineitem), n AS (SELECT i, j, count(*)::DOUBLE AS n FROM c GROUP BY ALL),
 a AS (SELECT i, sum(n) AS ni FROM n GROUP BY i), b AS (SELECT j, sum(n) AS nj FROM n GROUP BY j)
-SELECT (SELECT sum(n) FROM n)::BIGINT AS n, round(1 - (SELECT sum((i - j) * (i - j) / 9.0::DOUBLE * n) FROM n) * (SELECT sum(n) FROM n)
-  / (SELECT sum((i - j) * (i - j) / 9.0::DOUBLE * ni * nj) FROM a, b), 4) AS kappa""")
+SELECT (SELECT sum(n) FROM n)::BIGINT AS n, round(1 - (SELECT sum((i - j) * (i - j) / 36.0::DOUBLE * n) FROM n) * (SELECT sum(n) FROM n)
+  / (SELECT sum((i - j) * (i - j) / 36.0::DOUBLE * ni * nj) FROM a, b), 4) AS kappa""")
 def weighted_kappa(spark, d):
     q = F.col("l_quantity")
     seen = F.when(q > 40, 4).when(q > 25, 3).when(q > 10, 2).otherwise(1)
-    rows = table(spark, d, "lineitem").where("l_linenumber <= 4").select(F.col("l_linenumber").alias("expected"), seen.alias("observed"))
-    return E.weighted_kappa(rows, "expected", "observed", [1, 2, 3, 4])
+    rows = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("expected"), seen.alias("observed"))
+    return E.weighted_kappa(rows, "expected", "observed", [1, 2, 3, 4, 5, 6, 7])
 
 
 @query("""SELECT event_type, count(value) AS n, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS p50,
@@ -701,7 +701,7 @@ SELECT lo, hi, seq, CASE WHEN original_severity = 'unknown' THEN coalesce(t1, t2
   original_severity = 'unknown' AND t1 IS NULL AND t2 IS NULL AS review_needed FROM t""")
 def severity_tiers(spark, d):
     drugs = N.drugs(spark, d).select("drug", "nti", "class")
-    word = F.when(F.col("event_type") == "error", "heart failure").when(F.col("event_type") == "purchase", "Dizziness").otherwise("rash")
+    word = F.when(F.col("event_type") == "error", "acute renal failure").when(F.col("event_type") == "purchase", "Bleeding").otherwise("rash")
     events = table(spark, d, "events").where("value > 60").groupBy("user_id").agg(F.collect_set(word).alias("events"))
     side = lambda c: drugs.select(F.col("drug").alias(c), F.col("nti").alias(f"nti_{c}"), F.col("class").alias(f"class_{c}"))
     edges = N.direct_edges(spark, d).select("lo", "hi", "seq", "severity").join(side("lo"), "lo").join(side("hi"), "hi")
@@ -716,17 +716,18 @@ def unknown_severity_counts(spark, d):
     return V.unknown_counts(N.direct_edges(spark, d))
 
 
-@query(GRAPH + """, c AS (SELECT src AS a, dst AS mid, (src + 7) % 200 AS b, confidence FROM inhibits WHERE src % 5 = 0 UNION ALL
-  SELECT src + 1, dst, (src + 3) % 200, confidence FROM inhibits WHERE src % 5 = 0),
+@query(GRAPH + """, c AS (SELECT src AS a, dst AS mid, (src + 7) % (SELECT count(*) FROM part) AS b, confidence FROM inhibits UNION ALL
+  SELECT src + 1, dst, (src + 3) % (SELECT count(*) FROM part), confidence FROM inhibits),
 h AS (SELECT c.*, (EXISTS (SELECT 1 FROM inhibits i WHERE i.src = c.a AND i.dst = c.mid))::INT + (EXISTS (SELECT 1 FROM substrates s WHERE s.src = c.b AND s.dst = c.mid))::INT AS hops FROM c)
 SELECT a, mid, b, CASE hops WHEN 2 THEN 'confirmed' WHEN 1 THEN 'partial' ELSE 'removed' END AS verdict,
 round(CASE hops WHEN 2 THEN least(least(confidence, 0.75::DOUBLE) * 1.1::DOUBLE, 1.0::DOUBLE) WHEN 1 THEN least(confidence, 0.75::DOUBLE) * 0.8::DOUBLE ELSE least(confidence, 0.75::DOUBLE) END, 4) AS confidence,
 hops <> 2 AS is_ai_assessed FROM h""")
 def claim_verification(spark, d):
     inhibits = N.inhibits(spark, d)
-    some = inhibits.where("src % 5 = 0")
-    claims = some.select(F.col("src").alias("a"), F.col("dst").alias("mid"), ((F.col("src") + 7) % 200).alias("b"), "confidence").unionByName(
-        some.select((F.col("src") + 1).alias("a"), F.col("dst").alias("mid"), ((F.col("src") + 3) % 200).alias("b"), "confidence"))
+    many = table(spark, d, "part").count()
+    other = lambda step: ((F.col("src") + step) % many).alias("b")
+    claims = inhibits.select(F.col("src").alias("a"), F.col("dst").alias("mid"), other(7), "confidence").unionByName(
+        inhibits.select((F.col("src") + 1).alias("a"), F.col("dst").alias("mid"), other(3), "confidence"))
     return safety.verified(claims, inhibits, N.substrates(spark, d)).select("a", "mid", "b", "verdict", "confidence", "is_ai_assessed")
 
 

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", **options: str) -> DataFrame:
-    """Delimited text with a header, all columns as text; a folder is read with all its files that end in .csv."""
-    reader = spark.read.options(header=True, sep=sep, encoding=encoding, quote='"', escape='"', multiLine=True, **options)
+def read_delimited(
+    spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", multi_line: bool = False, **options: str
+) -> DataFrame:
+    """Delimited text with a header, all columns as text; a folder is read with all its files.
+
+    multi_line: quoted fields may hold line breaks; Spark then cannot split a file, so each is one task.
+    """
+    reader = spark.read.options(header=True, sep=sep, encoding=encoding, quote='"', escape='"', multiLine=multi_line, **options)
     return reader.option("pathGlobFilter", options.get("pathGlobFilter", "*")).csv(path)
 
 
