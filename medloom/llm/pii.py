@@ -160,19 +160,23 @@ def _in_run(word: Column, after: Column) -> Column:
 def _instances(based: DataFrame, text_col: str) -> DataFrame:
     """(context, value, kind) for each identifier-like word and run of number words; kind is null for what is no seed."""
 
-    def word(w: Column, i: Column) -> Column:
-        bare = _bare(w)
-        seed = F.regexp_extract(bare, f"{MARK}([0-9]){MARK}([^{MARK}]+){MARK}", 1)
-        value = F.when(seed != "", F.regexp_extract(bare, f"{MARK}([0-9]){MARK}([^{MARK}]+){MARK}", 2))
-        value = value.when((F.length(bare) >= 6) & bare.rlike("[0-9@]"), bare)
-        run = F.when(_in_run(w, F.get("words", i + 1)), F.regexp_extract(F.array_join(F.slice("words", i + 1, RUN_WORDS), " "), RUN, 1))
-        one = lambda value, kind: F.struct(_before(i).alias("context"), value.alias("value"), kind.alias("kind"))
-        single = one(value, F.when(seed != "", seed.cast("int")))
-        return F.array(single, one(F.when(run.contains(" "), run), F.lit(None).cast("int")))
+    # all else is left out at once: each of the expressions below is computed anew for every word that is let in
+    some = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].rlike(f"[0-9@{MARK}]"))
+
+    def word(x: Column) -> Column:
+        bare, i = x["bare"], x["i"]
+        seed = f"{MARK}([0-9]){MARK}([^{MARK}]+){MARK}"
+        single = F.when(bare.rlike(seed), F.struct(F.regexp_extract(bare, seed, 2).alias("value"), F.regexp_extract(bare, seed, 1).cast("int").alias("kind")))
+        single = single.when((F.length(bare) >= 6) & bare.rlike("[0-9@]"), F.struct(bare.alias("value"), F.lit(None).cast("int").alias("kind")))
+        run = F.when(_in_run(x["w"], F.get("words", i + 1)), F.regexp_extract(F.array_join(F.slice("words", i + 1, RUN_WORDS), " "), RUN, 1))
+        return F.struct(_before(i).alias("context"), single.alias("single"), run.alias("run"))
 
     df = _masked(based.where(F.col(text_col).rlike("[0-9@]")), text_col)
-    found = F.filter(F.flatten(F.transform("words", word)), lambda x: x["value"].isNotNull() & ~x["context"].contains(MARK))
-    return df.select(F.inline(found))
+    bare = F.transform(some, lambda x: F.struct(x["w"].alias("w"), x["i"].alias("i"), _bare(x["w"]).alias("bare")))
+    found = df.select(F.inline(F.transform(bare, word))).where(~F.col("context").contains(MARK))
+    run = F.struct(F.col("run").alias("value"), F.lit(None).cast("int").alias("kind"))
+    each = F.array("single", F.when(F.col("run").contains(" "), run))
+    return found.select("context", F.explode(each).alias("x")).where("x is not null").select("context", "x.*")
 
 
 def _totals(based: DataFrame, text_col: str, contexts: DataFrame) -> DataFrame:
