@@ -31,13 +31,11 @@ from pyspark.sql import functions as F
 
 from medloom.llm import jaccard
 from medloom.llm.common import stored
-from medloom.llm.shingles import mixed, word_hashes
+from medloom.llm.shingles import mixed, word_hashes, word_places
 
 #: Words of a paragraph that counts as long; bands and minima of a signature; words of a fingerprint; neighbours.
 LONG, BANDS, ROWS, SPAN, WINDOW = 50, 10, 3, 43, 9
 LEAST_WORDS = 5
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: An odd multiplier, the base of rolling hashes, and its inverse modulo 2**64.
 _BASE = 0x100000001B3
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -100,12 +98,12 @@ class _Texts:
         words, firsts, lasts, lines = [], [], [], []
         for raw in texts:
             data = np.frombuffer(raw, np.uint8)
-            edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]])))
+            start, end = word_places(data)
             points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]).astype(np.int32)
             words.append(word_hashes(raw))
-            firsts.append(points[edge[::2]])
-            lasts.append(points[edge[1::2]])
-            lines.append(np.searchsorted(np.flatnonzero(data == 10), edge[::2]))
+            firsts.append(points[start])
+            lasts.append(points[end])
+            lines.append(np.searchsorted(np.flatnonzero(data == 10), start))
         self.count = np.array([len(w) for w in words], np.int64)
         self.begin = np.cumsum(self.count) - self.count
         self.words, self.first, self.last = (np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((words, np.uint64), (firsts, np.int32), (lasts, np.int32)))

@@ -1,25 +1,27 @@
-"""Hashed word shingles of whole texts, in numpy inside Spark tasks."""
+"""Hashed words and word shingles of whole texts, in numpy inside Spark tasks."""
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-#: Words kept in a worker's table of word hashes before it is emptied, which bounds its memory.
-TABLE_WORDS = 200_000
+#: Words hashed at a time, which bounds the memory that a very long text takes.
+STEP = 1 << 16
+# The base of rolling hashes, an odd number, and its inverse modulo 2**64.
+BASE = 0x2545F4914F6CDD1D
+INVERSE = pow(BASE, -1, 1 << 64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: A random number for each byte; A-Z have those of a-z.
+_LETTERS = np.random.default_rng(6).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LETTERS[65:91] = _LETTERS[97:123]
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, filled as they come up."""
+def powers(base: int, n: int) -> np.ndarray:
+    """The powers of a number modulo 2**64, from 0 to n."""
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= TABLE_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
 
-
-_WORDS = WordHashes()
+_UP, _DOWN = powers(BASE, 1 << 16), powers(INVERSE, 1 << 16)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -29,10 +31,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text's bytes begin and end."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]])))
+    return edge[::2], edge[1::2]
+
+
 def word_hashes(text: bytes) -> np.ndarray:
-    """Hashes of the words of a UTF-8 text with A-Z lower-cased; bytes.split() cuts at the same six characters."""
-    words = text.lower().split()
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    """Hashes of the words of a UTF-8 text with A-Z lower-cased: running sums of byte numbers times powers of the base."""
+    data = np.frombuffer(text, np.uint8)
+    start, end = word_places(data)
+    out = np.empty(len(start), np.uint64)
+    for at in range(0, len(start), STEP):
+        a, b = start[at : at + STEP], end[at : at + STEP]
+        n = int(b[-1] - a[0])
+        up, down = (_UP, _DOWN) if n < len(_UP) else (powers(BASE, n), powers(INVERSE, n))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_LETTERS[data[a[0] : b[-1]]] * up[:n], out=total[1:])
+        a, b = a - a[0], b - a[0]
+        out[at : at + STEP] = mixed((total[b] - total[a]) * down[a])
+    return out
 
 
 def shingles(text: bytes | None, k: int = 5) -> np.ndarray:
@@ -44,5 +62,6 @@ def shingles(text: bytes | None, k: int = 5) -> np.ndarray:
     n = len(w) - k + 1
     h = np.full(n, salt, np.uint64)
     for i in range(k):
-        h = h * np.uint64(0x100000001B3) + mixed(w[i : i + n] + np.uint64(i))
-    return np.unique(mixed(h))
+        h = h * np.uint64(BASE) + w[i : i + n]
+    h = np.sort(mixed(h))
+    return h[np.append(True, h[1:] != h[:-1])]
