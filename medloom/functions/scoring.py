@@ -113,3 +113,11 @@ def first_rule(*rules: tuple[Column, str], default: str | None = None) -> Column
     """The value of the first rule that holds."""
     start = F.when(*rules[0])
     return reduce(lambda acc, rule: acc.when(*rule), rules[1:], start).otherwise(F.lit(default))
+
+
+def vital_alerts(systolic: Column, sugar: Column, creatinine: Column) -> Column:
+    """The vitals that are too high, in a fixed order; missing ones are not."""
+    high = F.array(
+        F.when(systolic > 140, "blood_pressure"), F.when(sugar > 126, "blood_sugar"), F.when(creatinine > 1.3, "creatinine")
+    )
+    return F.array_compact(high)

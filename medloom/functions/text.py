@@ -18,6 +18,10 @@ SALTS = (
     "mesylate", "nitrate", "phosphate", "potassium", "sodium", "succinate", "sulfate", "tartrate",
 )
 FORMS = ("tablet", "tablets", "capsule", "capsules", "syrup", "suspension", "drops", "drop", "injection", "cream", "ointment", "gel")
+DOSAGE_WORDS = (
+    "tablet", "capsule", "syrup", "solution", "suspension", "cream", "gel", "ointment", "patch", "injection", "pack", "kit",
+    "oral", "topical", "nasal", "rectal", "mg", "mcg", "ml", "iu", "meq", "%",
+)
 CLASS_SUFFIXES = {
     "statin": "statin", "ppi": "prazole", "ace inhibitor": "pril", "arb": "sartan", "beta blocker": "olol", "ccb": "dipine",
     "dpp-4 inhibitor": "gliptin", "sglt2 inhibitor": "gliflozin",
@@ -172,3 +176,22 @@ def fuzzy_match(a: Column, b: Column, ratio: float = 0.9, overlap: float = 0.6)
     tokens = (token_overlap(a, b) >= overlap) & (F.substring(x, 1, 4) == F.substring(y, 1, 4))
     inside = (F.least(F.length(x), F.length(y)) >= 5) & (x.contains(y) | y.contains(x))
     return (x == y) | close | tokens | inside
+
+
+def json_object(raw: Column, schema: str) -> Column:
+    """The outermost JSON object of a text as a struct; null where there is none or it cannot be read."""
+    return F.from_json(F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit("")), schema)
+
+
+def safe_alias(raw: Column, canonical: Column, kind: Column) -> Column:
+    """A cleaned alias if it names a substance alone: no slash, digit or dosage word; ingredients (IN, PIN) always count,
+    brands (BN) only if they hold the canonical name; else null."""
+    name, main = clean(raw), lookup_key(canonical)
+    plain = ~name.contains("/") & ~name.rlike("[0-9]") & ~name.rlike(rf"(?i)\b({'|'.join(DOSAGE_WORDS)})\b")
+    fits = kind.isin("IN", "PIN") | ((kind == "BN") & lookup_key(name).contains(main))
+    return F.when(plain & (lookup_key(name) != "") & (main != "") & fits, name)
+
+
+def flat_names(nested: Column) -> Column:
+    """The distinct non-blank names of nested lists, cleaned and sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.flatten(nested), lambda x: clean(x)), lambda x: x.isNotNull())))

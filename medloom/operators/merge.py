@@ -93,6 +93,29 @@ def authoritative(old: DataFrame, new: DataFrame, keys: list[str], derived: Colu
     return best.withColumn("outcome", outcome.otherwise("skipped_existing")).drop("weight", "is_new", "had", "came")
 
 
+def flag_or_insert(old: DataFrame, new: DataFrame, keys: list[str], flag: str) -> DataFrame:
+    """Old rows, flagged where new rows have their keys, all of a key's rows alike; keys that are not there become one row
+    each, flagged, its other columns null unless new ones give them (of several, the least row)."""
+    wanted = new.select(*keys).distinct().withColumn("_hit", F.lit(True))
+    marked = old.join(wanted, keys, "left").withColumn(flag, F.coalesce("_hit", F.col(flag), F.lit(False))).drop("_hit")
+    rest = [c for c in new.columns if c not in keys and c in old.columns and c != flag]
+    missing = new.join(old, keys, "left_anti").groupBy(*keys).agg(F.min(F.struct(F.lit(0).alias("_"), *rest)).alias("least"))
+    missing = missing.select(*keys, *[F.col(f"least.{c}").alias(c) for c in rest], F.lit(True).alias(flag))
+    return marked.unionByName(missing, allowMissingColumns=True)
+
+
+def both_ways(edges: DataFrame, src: str, dst: str, value: str) -> DataFrame:
+    """(lo, hi, values): the distinct values of both orientations of each pair, sorted; values are of a few kinds."""
+    pair = edges.select(F.least(src, dst).alias("lo"), F.greatest(src, dst).alias("hi"), value).distinct()
+    return pair.groupBy("lo", "hi").agg(F.array_sort(F.collect_set(value)).alias("values"))
+
+
+def shared_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose key others have too, with `size`: rows instead of a list a key, so a hot key is never collected."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("size")).where("size > 1")
+    return rows.join(sizes, key)
+
+
 def match_only(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
     """Edges (src, dst) both of whose ends are known."""
     known = nodes.select(F.col(node).alias("known")).distinct()

@@ -73,3 +73,41 @@ def plausible(raw: Column, resolved: Column) -> Column:
     """Whether a resolved name shares a token of three letters or more with what was read."""
     words = lambda c: F.filter(F.split(text.lookup_key(c), " "), lambda w: F.length(w) >= 3)
     return F.arrays_overlap(words(raw), words(resolved))
+
+
+# What a match of each herb tier is worth.
+HERB_CONFIDENCE = {"exact": 1.0, "regional": 0.97, "scientific": 0.9, "fuzzy": 0.72, "none": 0.0}
+
+
+def herb_cascade(names: DataFrame, name: str, herbs: DataFrame, regional: list[str]) -> DataFrame:
+    """Names with `entity`, `match_type`, `confidence`: the herb's own name, a regional name, a part of a scientific name
+    that begins a word, or a name with the same first four letters; of several herbs the smallest.
+
+    `herbs`: entity, scientific and the regional columns. All tiers are joins on keys; the scientific one meets on a
+    query's first word. Names that no tier knows are returned with `none`.
+    """
+    key = text.lookup_key
+    own = herbs.select(key(F.col("entity")).alias("key"), "entity")
+    local = herbs.select(F.explode(F.array(*regional)).alias("raw"), "entity").select(key(F.col("raw")).alias("key"), "entity")
+    done = cascade(names, name, [("exact", own), ("regional", local)]).drop("confidence")
+    todo = done.where("entity is null").drop("entity", "match_type")
+    keys = todo.select("key").distinct().where("key <> ''")
+    words = herbs.select(key(F.col("scientific")).alias("science"), "entity").withColumn("first", F.explode(F.array_distinct(F.split("science", " "))))
+    begun = keys.withColumn("first", F.split("key", " ")[0]).join(words, "first")
+    science = begun.where(F.concat(F.lit(" "), "science").contains(F.concat(F.lit(" "), "key"))).groupBy("key").agg(F.min("entity").alias("by_science"))
+    heads = own.where(F.length("key") >= 4).groupBy(F.substring("key", 1, 4).alias("head")).agg(F.min("entity").alias("by_head"))
+    late = todo.join(science, "key", "left").withColumn("head", F.when(F.length("key") >= 4, F.substring("key", 1, 4))).join(heads, "head", "left")
+    kind = F.when(F.col("by_science").isNotNull(), "scientific").when(F.col("by_head").isNotNull(), "fuzzy").otherwise("none")
+    late = late.withColumns({"match_type": kind, "entity": F.coalesce("by_science", "by_head")}).drop("by_science", "by_head", "head")
+    worth = F.create_map(*[F.lit(x) for item in HERB_CONFIDENCE.items() for x in item])
+    every = done.where("entity is not null").unionByName(late)
+    return every.withColumn("confidence", F.element_at(worth, F.col("match_type"))).drop("key")
+
+
+def combo_members(rows: DataFrame, raw: str, known: DataFrame) -> DataFrame:
+    """Rows with `members`: the sorted distinct entities of a combination's parts (split at + / and comma); a part that the
+    table (key, entity) does not know stands for itself, in its cleaned form."""
+    parts = rows.select(raw).distinct().select(raw, F.explode(F.split(raw, "[+/,]")).alias("part")).select(raw, text.lookup_key(F.col("part")).alias("key"))
+    one = known.groupBy("key").agg(F.min("entity").alias("entity"))
+    found = parts.where("key <> ''").join(one, "key", "left").groupBy(raw).agg(F.array_sort(F.collect_set(F.coalesce("entity", "key"))).alias("members"))
+    return rows.join(found, raw, "left").withColumn("members", F.coalesce("members", F.array().cast("array<string>")))
