@@ -50,8 +50,9 @@ def lookup_key(text: Column) -> Column:
 
 
 def without_words(text: Column, words: tuple[str, ...] = SALTS) -> Column:
-    """A lookup key without some words (salts by default)."""
-    return F.array_join(F.filter(F.split(lookup_key(text), " "), lambda w: ~w.isin(list(words))), " ")
+    """A lookup key without some words (salts by default); a name made of such words only stays whole."""
+    bare = F.array_join(F.filter(F.split(lookup_key(text), " "), lambda w: ~w.isin(list(words))), " ")
+    return F.when(bare == "", lookup_key(text)).otherwise(bare)
 
 
 def smart_title(text: Column) -> Column:

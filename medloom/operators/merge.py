@@ -116,27 +116,34 @@ def shared_keys(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(sizes, key)
 
 
-def match_only(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
-    """Edges (src, dst) both of whose ends are known."""
-    known = nodes.select(F.col(node).alias("known")).distinct()
-    return edges.join(known, F.col("src") == F.col("known"), "left_semi").join(known, F.col("dst") == F.col("known"), "left_semi")
+def match_only(edges: DataFrame, sources: DataFrame, source: str, targets: DataFrame | None = None, target: str | None = None) -> DataFrame:
+    """Edges (src, dst) both of whose ends are known; targets: the table of the second ends, if it is another one."""
+    known = lambda nodes, node, end: nodes.select(F.col(node).alias(end)).distinct()
+    df = edges.join(known(sources, source, "src"), "src", "left_semi")
+    return df.join(known(sources if targets is None else targets, target or source, "dst"), "dst", "left_semi").select(edges.columns)
 
 
 # --- entities -------------------------------------------------------------------------------------------------------
 
 
 def primaries(nodes: DataFrame, node: str, same: str, degree: str) -> DataFrame:
-    """(node, primary): for groups of equal `same`, the member of the highest degree, the smallest on ties."""
-    order = W.partitionBy(same).orderBy(F.col(degree).desc(), F.col(node)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return nodes.select(F.col(node).alias("node"), F.first(node).over(order).alias("primary"))
+    """(node, primary): for groups of equal `same`, the member of the highest degree, the smallest on ties; a node without
+    a group stands for itself."""
+    best = nodes.groupBy(same).agg(F.min_by(node, F.struct(-F.col(degree), F.col(node))).alias("primary"))
+    return nodes.join(best, same, "left").select(F.col(node).alias("node"), F.coalesce("primary", node).alias("primary"))
 
 
 def rewired(edges: DataFrame, mapping: DataFrame, keys: list[str]) -> DataFrame:
-    """Edges with both ends replaced by their primaries, without self edges, one row each (src, dst, *keys)."""
+    """Edges with both ends replaced by their primaries, without self edges, one row each (src, dst, *keys): of several
+    the one whose other columns are least."""
     to = lambda c: mapping.select(F.col("node").alias(c), F.col("primary").alias(f"p_{c}"))
     df = edges.join(to("src"), "src", "left").join(to("dst"), "dst", "left")
     df = df.withColumns({c: F.coalesce(f"p_{c}", c) for c in ("src", "dst")}).drop("p_src", "p_dst")
-    return df.where("src <> dst").dropDuplicates(["src", "dst", *keys])
+    df, own = df.where("src <> dst"), ["src", "dst", *keys]
+    rest = [c for c in df.columns if c not in own]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(*own).agg(F.min(F.struct(*rest)).alias("least")).select(*own, "least.*")
 
 
 def copied_from_peer(edges: DataFrame, receiver: str, donor: str, column: str, unknown: str = "unknown") -> DataFrame:

@@ -563,10 +563,12 @@ def dose_extract(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(T.doses(text), ",").alias("doses"))
 
 
-@query("""SELECT conv_id, turn, 'en' AS lang, CASE WHEN length(text) > 100 THEN rtrim(substr(text, 1, 97)) || '...' ELSE text END AS short FROM conversations""")
+@query("""SELECT conv_id, turn, CASE turn % 5 WHEN 1 THEN 'ta' WHEN 2 THEN 'te' WHEN 3 THEN 'kn' WHEN 4 THEN 'hi' ELSE 'en' END AS lang, CASE WHEN length(text) > 100 THEN rtrim(substr(text, 1, 97)) || '...' ELSE text END AS short FROM conversations""")
 def script_detect(spark, d):
     text = F.col("text")
-    return table(spark, d, "conversations").select("conv_id", "turn", T.script_language(text).alias("lang"), T.truncated(text, 100).alias("short"))
+    letter = F.element_at(F.create_map(*[F.lit(x) for x in (1, "\u0b85", 2, "\u0c05", 3, "\u0c85", 4, "\u0905")]), (F.col("turn") % 5).cast("int"))
+    lang = T.script_language(F.concat_ws(" ", text, letter))
+    return table(spark, d, "conversations").select("conv_id", "turn", lang.alias("lang"), T.truncated(text, 100).alias("short"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'statin' WHEN p_partkey % 3 = 1 THEN 'beta blocker' END AS class FROM part""")
@@ -675,10 +677,8 @@ def authoritative_upsert(spark, d):
 
 @query(GRAPH + " SELECT src, dst, strength FROM inhibits WHERE src IN (SELECT drug FROM drugs WHERE nti) AND dst IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
 def match_only_edges(spark, d):
-    strong = N.drugs(spark, d).where("nti").select("drug")
-    alive = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("known"))
-    edges = N.inhibits(spark, d).join(strong, F.col("src") == F.col("drug"), "left_semi")
-    return edges.join(alive, F.col("dst") == F.col("known"), "left_semi").select("src", "dst", "strength")
+    alive = table(spark, d, "supplier").where("s_acctbal > 0")
+    return M.match_only(N.inhibits(spark, d), N.drugs(spark, d).where("nti"), "drug", alive, "s_suppkey").select("src", "dst", "strength")
 
 
 @query(GRAPH + """, k AS (SELECT lo, hi, min(severity) AS given FROM edges WHERE source = '1-URGENT' AND severity <> 'unknown' GROUP BY ALL)

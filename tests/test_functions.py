@@ -20,6 +20,7 @@ def test_clean(spark):
 def test_keys_and_titles(spark):
     assert values(spark, T.lookup_key(F.col("x0")), ("Dolo-650 (IP)",)) == ["dolo 650 ip"]
     assert values(spark, T.without_words(F.col("x0")), ("Metformin Hydrochloride",)) == ["metformin"]
+    assert values(spark, T.without_words(F.col("x0")), ("Sodium Chloride",)) == ["sodium chloride"]
     assert values(spark, T.smart_title(F.col("x0")), ("aspirin EC x",)) == ["Aspirin EC X"]
 
 
