@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medloom.llm import ann, jaccard, langid, mix, pack, passages, pii, quality, shard, warc
+from medloom.llm import ann, jaccard, langid, lexical, mix, negatives, pack, passages, pii, quality, shard, urls, warc
 from medloom.llm.common import table
 
 
@@ -83,6 +83,32 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rules on urls, and the names under which hosts are registered: their last two labels are no domain of one owner.
+URL_RULES = tuple(map(urls.parse_rule, ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")))
+SUFFIXES = ("example.com", "example.net", "example.org")
+
+
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages. A page's outcome is the label of the document that the last number of its path names: bad if
+    toxic or of low quality."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    number = F.regexp_extract(urls.path_of(F.col("url")), r"([0-9]+)[^0-9/]*/?$", 1)
+    bad = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    outcomes = pages.select("url", F.try_to_number(number, F.lit("9" * 18)).cast("long").alias("doc_id")).join(bad, "doc_id")
+    return urls.judged(pages, outcomes, URL_RULES, SUFFIXES)
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best of all documents for every benchmark item."""
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 50, among all vectors."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 QUERIES = {
     "op1_shard": op1_shard,
     "op2_warc": op2_warc,
@@ -94,6 +120,9 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_pack": op9_pack,
     "op10_quality": op10_quality,
+    "op11_urls": op11_urls,
+    "op12_search": op12_search,
+    "op13_negatives": op13_negatives,
 }
 
 _FAIL_BITS = " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in quality.RULES)
@@ -144,4 +173,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_mask & {quality.policy_mask("base@1") | quality.policy_mask("prose@1")}) = 0 AS kept, fail_mask
 FROM masked
 """,
+    "op11_urls": urls.judged_sql(
+        """SELECT url, bad FROM (SELECT url, try_cast(regexp_extract(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), ''), '([0-9]+)[^0-9/]*/?$', 1) AS BIGINT) AS doc_id FROM pages)
+        JOIN (SELECT doc_id, max(toxic = 1 OR quality = 0) AS bad FROM labels GROUP BY doc_id) USING (doc_id)""", URL_RULES, SUFFIXES,
+    ),
+    "op12_search": lexical.SEARCH_SQL,
+    "op13_negatives": negatives.MINED_SQL,
 }
