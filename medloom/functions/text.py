@@ -161,22 +161,34 @@ def compound_id(code: Column) -> Column:
     return F.substring(code, 5, 20).try_cast("int")
 
 
+def key_words(key: Column) -> Column:
+    """The distinct words of a lookup key."""
+    return F.array_distinct(F.filter(F.split(key, " "), lambda w: w != ""))
+
+
+def key_overlap(x: Column, y: Column) -> Column:
+    """Jaccard similarity of the word sets of two lookup keys; 0 where both are empty."""
+    union = F.size(F.array_union(key_words(x), key_words(y)))
+    return F.when(union > 0, F.size(F.array_intersect(key_words(x), key_words(y))) / union).otherwise(0.0)
+
+
 def token_overlap(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the token sets of two keys; 0 where both are empty."""
-    words = lambda t: F.array_distinct(F.filter(F.split(lookup_key(t), " "), lambda w: w != ""))
-    union = F.size(F.array_union(words(a), words(b)))
-    return F.when(union > 0, F.size(F.array_intersect(words(a), words(b))) / union).otherwise(0.0)
+    """Jaccard similarity of the token sets of two texts; 0 where both are empty."""
+    return key_overlap(lookup_key(a), lookup_key(b))
+
+
+def close_keys(x: Column, y: Column, ratio: float) -> Column:
+    """Whether two keys differ by few edits for the length of the longer one."""
+    return 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1)) >= ratio
 
 
 def fuzzy_match(a: Column, b: Column, ratio: float = 0.9, overlap: float = 0.6) -> Column:
     """Whether two names may be one: equal keys, close by edit distance, overlapping tokens with the same start, or one
     contained in the other."""
     x, y = lookup_key(a), lookup_key(b)
-    longest = F.greatest(F.length(x), F.length(y), F.lit(1))
-    close = 1 - F.levenshtein(x, y) / longest >= ratio
-    tokens = (token_overlap(a, b) >= overlap) & (F.substring(x, 1, 4) == F.substring(y, 1, 4))
+    tokens = (key_overlap(x, y) >= overlap) & (F.substring(x, 1, 4) == F.substring(y, 1, 4))
     inside = (F.least(F.length(x), F.length(y)) >= 5) & (x.contains(y) | y.contains(x))
-    return (x == y) | close | tokens | inside
+    return (x == y) | close_keys(x, y, ratio) | tokens | inside
 
 
 def json_object(raw: Column, schema: str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from medloom.functions import text
+from medloom.operators.fuzzy import prefix_pairs
 
 # What a match of each tier is worth.
 CONFIDENCE = {"exact": 1.0, "synonym": 0.98, "brand": 0.93, "stripped": 0.9, "fuzzy": 0.82, "none": 0.0}
@@ -57,14 +58,10 @@ def search(queries: DataFrame, query: str, names: DataFrame, name: str, most: in
 
 
 def family_generic(brands: DataFrame, brand: str, known: DataFrame) -> DataFrame:
-    """Brands with the generic of known brands (brand_key, generic) that begin like them, where it is the only one.
-
-    Keys meet on their first four characters before the prefix is compared.
-    """
-    key = text.lookup_key(F.col(brand))
-    df = brands.withColumns({"key": key, "head": F.substring(key, 1, 4)})
-    table = known.select("brand_key", "generic", F.substring("brand_key", 1, 4).alias("head"))
-    hits = df.join(table, "head").where(F.col("brand_key").startswith(F.col("key")) | F.col("key").startswith(F.col("brand_key")))
+    """Brands with the generic of known brands (brand_key, generic) of which one begins with the other, where it is the only one."""
+    keyed = brands.select(brand, text.lookup_key(F.col(brand)).alias("_key")).distinct()
+    pairs = prefix_pairs(keyed.select("_key"), known.select("brand_key")).toDF("_key", "_known")
+    hits = keyed.join(pairs, "_key").join(known.select(F.col("brand_key").alias("_known"), "generic").distinct(), "_known")
     one = hits.groupBy(brand).agg(F.min("generic").alias("generic"), F.countDistinct("generic").alias("n")).where("n = 1")
     return brands.join(one.select(brand, "generic"), brand, "left")
 

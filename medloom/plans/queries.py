@@ -599,34 +599,6 @@ def slugs(spark, d):
     )
 
 
-def fuzzy_ratio(spark, d):
-    """Names that may be one, met on their first four letters (no SQL: edit distance ratio and token rules combined)."""
-    names = table(spark, d, "part").select(F.col("p_name").alias("a")).distinct().withColumn("head", F.substring("a", 1, 4))
-    pairs = names.join(names.withColumnRenamed("a", "b"), "head").where("a < b")
-    return pairs.where(T.fuzzy_match(F.col("a"), F.col("b"), 0.7, 0.5)).select("a", "b")
-
-
-QUERIES["fuzzy_ratio"] = fuzzy_ratio
-
-
-def chunk_packing(spark, d):
-    """Turns of each conversation packed greedily, in order, into chunks of at most 1500 characters (order-dependent, no SQL)."""
-    turns = F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n"))))
-    zero = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.array().cast("array<struct<turn: bigint, chunk: int>>").alias("out"))
-
-    def step(acc, x):
-        new = (acc["used"] > 0) & (acc["used"] + x["n"] > 1500)
-        chunk = acc["chunk"] + F.when(new, 1).otherwise(0)
-        row = F.struct(x["turn"].alias("turn"), chunk.alias("chunk"))
-        return F.struct(chunk.alias("chunk"), (F.when(new, 0).otherwise(acc["used"]) + x["n"]).alias("used"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
-    return rows.select("conv_id", F.inline(F.aggregate("turns", zero, step, lambda acc: acc["out"])))
-
-
-QUERIES["chunk_packing"] = chunk_packing
-
-
 # --- sinks ----------------------------------------------------------------------------------------------------------
 
 
