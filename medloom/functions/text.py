@@ -13,9 +13,14 @@ from medloom.functions.scoring import first_rule
 # Tokens that mean "no value", salts and forms that a lookup ignores, dosage forms and units of strength,
 # suffixes and names that give a drug's class, and blocks of scripts.
 NO_VALUE = ("na", "n/a", "none", "null", "nan", "-")
-SALTS = (
-    "acetate", "besylate", "bromide", "calcium", "chloride", "citrate", "fumarate", "hcl", "hydrochloride", "maleate",
-    "mesylate", "nitrate", "phosphate", "potassium", "sodium", "succinate", "sulfate", "tartrate",
+#: Of pair tables, of side-effect tables and of criteria; a lookup takes the first unless told otherwise.
+SALTS = ("hydrochloride", "hcl", "sodium", "potassium", "succinate", "tartrate", "phosphate", "acetate", "maleate", "sulfate", "calcium", "magnesium")
+SALTS_OF_EFFECTS = (
+    "hydrochloride", "hcl", "sodium", "potassium", "calcium", "magnesium", "succinate", "tartrate", "phosphate", "acetate", "maleate", "sulfate",
+    "citrate", "acid",
+)
+SALTS_OF_CRITERIA = (
+    "hydrochloride", "hcl", "sodium", "potassium", "succinate", "tartrate", "phosphate", "medoxomil", "dipropionate", "acetate", "maleate", "sulfate",
 )
 FORMS = ("tablet", "tablets", "capsule", "capsules", "syrup", "suspension", "drops", "drop", "injection", "cream", "ointment", "gel")
 DOSAGE_WORDS = (
@@ -26,6 +31,17 @@ CLASS_SUFFIXES = {
     "statin": "statin", "ppi": "prazole", "ace inhibitor": "pril", "arb": "sartan", "beta blocker": "olol", "ccb": "dipine",
     "dpp-4 inhibitor": "gliptin", "sglt2 inhibitor": "gliflozin",
 }
+CLASS_MEMBERS = (
+    ("biguanide", ("metformin",)), ("sulfonylurea", ("glimepiride", "gliclazide", "glipizide", "glyburide", "glibenclamide")),
+    ("antiplatelet", ("aspirin", "clopidogrel", "prasugrel", "ticagrelor", "cilostazol", "dipyridamole")),
+    ("anticoagulant", ("warfarin", "dabigatran", "rivaroxaban", "apixaban", "edoxaban", "betrixaban")),
+    ("loop diuretic", ("furosemide", "torsemide", "bumetanide")),
+    ("diuretic", ("hydrochlorothiazide", "chlorthalidone", "indapamide", "amiloride", "triamterene", "spironolactone")),
+    ("ccb", ("diltiazem", "verapamil")), ("h2 blocker", ("cimetidine", "famotidine", "nizatidine", "ranitidine")),
+    ("thyroid", ("levothyroxine", "liothyronine")), ("bronchodilator", ("theophylline", "tiotropium", "ipratropium", "albuterol", "levalbuterol")),
+    ("cox-2 inhibitor", ("celecoxib", "etoricoxib")), ("bph", ("tamsulosin", "silodosin", "alfuzosin")),
+    ("5-alpha reductase inhibitor", ("finasteride", "dutasteride")), ("laxative", ("lactulose", "bisacodyl", "psyllium", "polyethylene glycol", "senna")),
+)
 SCRIPTS = {"ta": r"[\x{0B80}-\x{0BFF}]", "te": r"[\x{0C00}-\x{0C7F}]", "kn": r"[\x{0C80}-\x{0CFF}]", "hi": r"[\x{0900}-\x{097F}]"}
 
 
@@ -110,8 +126,10 @@ def dosage_form(*texts: Column) -> Column:
 
 
 def class_by_suffix(name: Column) -> Column:
-    """A drug class from the ending of its name."""
-    return first_rule(*[(F.lower(F.trim(name)).endswith(end), F.lit(kind)) for kind, end in CLASS_SUFFIXES.items()])
+    """A drug class from the whole name where its family is listed, else from the ending of the name."""
+    key = lookup_key(name)
+    exact = [(key.isin(*names), F.lit(kind)) for kind, names in CLASS_MEMBERS]
+    return first_rule(*exact, *[(key.endswith(end), F.lit(kind)) for kind, end in CLASS_SUFFIXES.items()])
 
 
 def script_language(text: Column) -> Column:

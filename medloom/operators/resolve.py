@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from medloom.functions import text
-from medloom.operators.fuzzy import prefix_pairs
+from medloom.operators import fulltext
+from medloom.operators.fuzzy import fuzzy_keys, prefix_pairs
+from medloom.sources.shared import stored
 
 # What a match of each tier is worth.
 CONFIDENCE = {"exact": 1.0, "synonym": 0.98, "brand": 0.93, "stripped": 0.9, "fuzzy": 0.82, "none": 0.0}
@@ -32,6 +34,55 @@ def cascade(names: DataFrame, name: str, tiers: list[tuple[str, DataFrame]]) ->
     return every.withColumn("confidence", F.coalesce(F.element_at(worth, F.col("match_type")), F.lit(0.5)))
 
 
+# A brand counts from this score, and what scores make of a confidence: base, divisor, most.
+BRAND_GATE, BRAND_SCORE, FUZZY_SCORE, SUGGESTED = 1.0, (0.55, 20.0, 0.93), (0.35, 10.0, 0.82), 0.80
+#: Equal keys have this score in the fuzzy tier; it falls in proportion to the edits.
+FUZZY_FULL = 5.0
+
+
+def _by_score(score: Column, rule: tuple[float, float, float]) -> Column:
+    base, divisor, most = rule
+    return F.round(F.least(F.lit(most), base + score / divisor), 4)
+
+
+def drug_cascade(names: DataFrame, name: str, drugs: DataFrame, synonyms: DataFrame, brands: DataFrame, suggested: DataFrame | None = None) -> DataFrame:
+    """Names with entity, match_type, confidence: a drug's own name, a synonym, the best brand by relevance search, the closest
+    name of a drug, a suggestion from outside; what a tier decides does not reach the next one.
+
+    drugs, synonyms, suggested: key, entity; brands: brand, entity (each brand's ingredients, of which the smallest known one counts).
+    Brands need a score above BRAND_GATE; confidences of brands and close names grow with their scores. Blank and unknown
+    names are returned with `none`.
+    """
+    done = cascade(names, name, [("exact", drugs), ("synonym", synonyms)])
+    todo = stored(done.where("entity is null and key <> ''").select("key", F.col(name).alias("_raw")).distinct(), "cascade-open")
+
+    known = drugs.select("entity").distinct()
+    inside = brands.join(known, "entity", "left_semi").groupBy("brand").agg(F.min("entity").alias("entity"))
+    index = fulltext.build(brands.select("brand"), "brand")
+    top = fulltext.search(index, todo.select("_raw"), "_raw", most=1, gate=BRAND_GATE).join(inside.withColumnRenamed("brand", "name"), "name")
+    by_brand = todo.join(top, "_raw").groupBy("key").agg(F.max(F.struct("score", "entity")).alias("b")).select("key", F.col("b.entity").alias("e1"), _by_score(F.col("b.score"), BRAND_SCORE).alias("c1"))
+    by_brand = stored(by_brand, "cascade-brands")
+
+    rest = todo.join(by_brand, "key", "left_anti").select("key").distinct()
+    pairs = fuzzy_keys(rest, drugs.select("key"))
+    close = FUZZY_FULL * (1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")))
+    best = pairs.groupBy("a").agg(F.min(F.struct((-close).alias("away"), "b")).alias("first"))
+    best = best.select(F.col("a").alias("key"), F.col("first.b").alias("to"), (-F.col("first.away")).alias("score"))
+    one = drugs.groupBy(F.col("key").alias("to")).agg(F.min("entity").alias("e2"))
+    by_name = best.join(one, "to").select("key", "e2", _by_score(F.col("score"), FUZZY_SCORE).alias("c2"))
+
+    rows = done.join(by_brand, "key", "left").join(by_name, "key", "left")
+    if suggested is not None:
+        rows = rows.join(suggested.groupBy("key").agg(F.min("entity").alias("e3")), "key", "left")
+    else:
+        rows = rows.withColumn("e3", F.lit(None).cast("string"))
+    late = F.when(F.col("e1").isNotNull(), "brand").when(F.col("e2").isNotNull(), "fuzzy").when(F.col("e3").isNotNull(), "suggested").otherwise("none")
+    sure = F.coalesce("c1", "c2", F.when(F.col("e3").isNotNull(), SUGGESTED).otherwise(0.0))
+    known_already = F.col("entity").isNotNull()
+    out = {"match_type": F.when(known_already, F.col("match_type")).otherwise(late), "confidence": F.when(known_already, F.col("confidence")).otherwise(sure), "entity": F.coalesce("entity", "e1", "e2", "e3")}
+    return rows.withColumns(out).drop("key", "e1", "c1", "e2", "c2", "e3")
+
+
 def two_tier(rows: DataFrame, name: str, table: DataFrame) -> DataFrame:
     """Rows with `entity`: by the exact key, else by the key without salts, else the name in title case."""
     one = table.groupBy("key").agg(F.min("entity").alias("entity"))
