@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from medloom.llm.common import SPACE, stored
 
@@ -78,21 +79,54 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _chunks(values: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")), lambda c: F.slice(values, c * CHUNK + 1, CHUNK))
+
+
+def _running(values: Column, begin: Column, out, after) -> Column:
+    """For each value what `out` makes of the state and of it; `after` is the next state. Short arrays only: it copies."""
+    zero = F.struct(begin.alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, x: F.struct(after(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(out(acc["at"], x))).alias("out"))
+    return F.aggregate(values, zero, step, lambda acc: acc["out"])
+
+
 def _starts(parts: Column) -> Column:
     """Where the `size` of each part (gap, size) begins when gaps and sizes follow one another.
 
     Running sums by chunks of CHUNK parts, so that long arrays are not copied once for each of their members.
     """
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / CHUNK).cast("int")), lambda c: F.slice(parts, c * CHUNK + 1, CHUNK))
+    chunks = _chunks(parts)
     whole = F.transform(chunks, lambda chunk: F.aggregate(chunk, F.lit(0), lambda at, x: at + x["gap"] + x["size"]))
+    begins = _running(whole, F.lit(0), lambda at, x: at, lambda at, x: at + x)
+    return F.flatten(F.zip_with(chunks, begins, lambda chunk, at: _running(chunk, at, lambda n, x: n + x["gap"], lambda n, x: n + x["gap"] + x["size"])))
+
+
+def _reached(ends: Column) -> Column:
+    """For each number the largest before it, 0 for the first; by chunks, as the starts."""
+    chunks = _chunks(ends)
+    begins = _running(F.transform(chunks, F.array_max), F.lit(0), lambda at, x: at, F.greatest)
+    return F.flatten(F.zip_with(chunks, begins, lambda chunk, at: _running(chunk, at, lambda n, x: n, F.greatest)))
+
+
+def _between(text: Column, spans: Column) -> Column:
+    """What stands before each of some sorted spans (start, end) that do not overlap, since the one before it.
+
+    A text is cut at every CHUNK spans first, and these parts at each span: finding a place in a text takes time in
+    proportion to it, so long texts with many spans would take the square otherwise.
+    """
+    end_before = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+
+    def chunk(part: Column, c: Column) -> Column:
+        begin = end_before(c * CHUNK)
+        piece = F.struct(F.substring(text, begin + 1, F.element_at(part, -1)["end"] - begin).alias("text"), begin.alias("begin"))
 
-    def running(sizes: Column, begin: Column, before, after) -> Column:
-        zero = F.struct(begin.alias("at"), F.array().cast("array<int>").alias("out"))
-        step = lambda acc, x: F.struct((acc["at"] + after(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + before(x))).alias("out"))
-        return F.aggregate(sizes, zero, step, lambda acc: acc["out"])
+        def cut(p: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(part, i - 1)["end"], p["begin"])
+            return F.transform(part, lambda x, i: F.substring(p["text"], before(i) - p["begin"] + 1, x["start"] - before(i)))
 
-    begins = running(whole, F.lit(0), lambda x: F.lit(0), lambda x: x)
-    return F.flatten(F.zip_with(chunks, begins, lambda chunk, at: running(chunk, at, lambda x: x["gap"], lambda x: x["gap"] + x["size"])))
+        return F.element_at(F.transform(F.array(piece), cut), 1)
+
+    return F.when(F.size(spans) > 0, F.flatten(F.transform(_chunks(spans), chunk))).otherwise(F.array().cast("array<string>"))
 
 
 def _places(text: Column, pattern: Column, matches: Column) -> Column:
@@ -134,13 +168,10 @@ def _masked(based: DataFrame, text_col: str) -> DataFrame:
     df = based.withColumn("base", order)
     df = df.withColumn("base", F.filter("base", lambda s, i: s["start"] >= F.coalesce(F.get("base", i - 1)["end"], F.lit(0))))
 
-    def piece(s: Column, i: Column) -> Column:
-        end = F.coalesce(F.get("base", i - 1)["end"], F.lit(0))
-        seed = F.concat(F.lit(MARK), s["kind"].cast("string"), F.lit(MARK), F.translate(s["value"], " ", ""), F.lit(MARK))
-        return F.concat(F.substring(text, end + 1, s["start"] - end), seed)
-
+    mark = lambda s: F.concat(F.lit(MARK), s["kind"].cast("string"), F.lit(MARK), F.translate(s["value"], " ", ""), F.lit(MARK))
+    pieces = F.zip_with(_between(text, F.col("base")), "base", lambda t, s: F.concat(t, mark(s)))
     rest = F.substring(text, F.element_at("base", -1)["end"] + 1, F.length(text))
-    masked = F.when(F.size("base") == 0, text).otherwise(F.concat(F.array_join(F.transform("base", piece), ""), rest))
+    masked = F.when(F.size("base") == 0, text).otherwise(F.concat(F.array_join(pieces, ""), rest))
     return df.select(F.split(masked, SPACE).alias("words"))
 
 
@@ -191,7 +222,10 @@ def _looks(kind: Column, value: Column) -> Column:
 
 def discovered(based: DataFrame, text_col: str = "text") -> DataFrame:
     """(value, kind): what the patterns believe in after all rounds, without the seeds."""
-    graph = stored(_instances(based, text_col).groupBy("context", "value", "kind").agg(F.count("*").alias("n")), "pii-graph")
+    graph = _instances(based, text_col).groupBy("context", "value", "kind").agg(F.count("*").alias("n"))
+    # what looks like no kind is never believed, so neither is a context that precedes nothing else
+    likely = F.exists(F.array(*[F.col("value").rlike(p) for p in SHAPES.values()]), lambda fits: fits)
+    graph = stored(graph.where(F.col("kind").isNotNull() | likely), "pii-graph")
     seeds = graph.where("kind is not null").select("value", "kind").distinct()
     # a context of fewer different values never becomes a pattern
     contexts = graph.select("context", "value").distinct().groupBy("context").agg(F.count("*").alias("many")).where(F.col("many") >= SUPPORT)
@@ -222,28 +256,46 @@ def discovered(based: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _found(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(key, more) for rows (key, text) that hold known values: where these are, as an array of kind, start, end, base.
+    """(key, kind, start, end): where known values stand, as words or runs of words, in rows (key, text), each row's once.
 
-    Only words and values meet the known ones; places are then looked for in each row that holds some.
+    A text is cut into words with their places in one pass; words (and runs that begin at a number word) that hold a digit
+    or an at sign meet the known values, so the work does not depend on how many values a text holds.
     """
     most = known.agg(F.max(F.size(F.split("value", " ")))).first()[0]
-    df = docs.where(F.col("text").rlike("[0-9@]")).select("key", F.split("text", SPACE).alias("words"))
-    upto = lambda i: F.transform(F.sequence(F.lit(2), F.lit(most)), lambda n: F.array_join(F.slice("words", i + 1, n), " "))
-    runs = F.transform("words", lambda w, i: F.when(_in_run(w, F.get("words", i + 1)), upto(i)).otherwise(F.array().cast("array<string>")))
-    every = F.concat("words", F.flatten(runs)) if most > 1 else F.col("words")
-    holds = df.select("key", F.explode(F.array_distinct(F.transform(every, _bare))).alias("value"))
-    holds = holds.join(known, "value").groupBy("key").agg(F.collect_set(F.struct("value", "kind")).alias("values"))
     text = F.col("text")
+    df = docs.where(text.rlike("[0-9@]")).dropDuplicates(["key"])
+    df = df.select("key", F.split(text, SPACE).alias("words"), F.regexp_extract_all(text, F.lit(SPACE), F.lit(0)).alias("gaps"))
+    parts = F.transform("words", lambda w, i: F.struct(F.coalesce(F.length(F.get("gaps", i - 1)), F.lit(0)).alias("gap"), F.length(w).alias("size")))
+    df = df.select("key", "words", _starts(parts).alias("starts"))
+    some = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].rlike("[0-9@]"))
+
+    def place(x: Column, n: Column) -> Column:
+        """The n words from x on: their value, and where it stands, whatever white space parts them."""
+        joined = F.array_join(F.slice("words", x["i"] + 1, n), " ")
+        value = _bare(joined)
+        lead, last = F.instr(joined, value) - 1, x["i"] + n - 1
+        end = F.get("starts", last) + F.length(F.get("words", last)) - (F.length(joined) - lead - F.length(value))
+        return F.struct(value.alias("value"), (F.get("starts", x["i"]) + lead).alias("start"), end.alias("end"))
 
-    def spans(known: Column) -> Column:
-        quoted = F.replace(known["value"], F.lit(r"\E"), F.lit(r"\E\\E\Q"))
-        pattern = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(quoted, F.lit(" "), F.lit(rf"\E{SPACE}\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
-        places = _places(text, pattern, F.regexp_extract_all(text, pattern, F.lit(0)))
-        one = lambda x: F.struct(known["kind"].alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end"), F.lit(False).alias("base"))
-        return F.transform(places, one)
+    upto = lambda x: F.when(_in_run(x["w"], F.get("words", x["i"] + 1)), F.sequence(F.lit(1), F.lit(most))).otherwise(F.array(F.lit(1)))
+    each = F.flatten(F.transform(some, lambda x: F.transform(upto(x) if most > 1 else F.array(F.lit(1)), lambda n: place(x, n))))
+    return df.select("key", F.inline(each)).join(known, "value").select("key", "kind", "start", "end").distinct()
 
-    rows = docs.join(holds, "key").dropDuplicates(["key"])
-    return rows.select("key", F.array_distinct(F.flatten(F.transform("values", spans))).alias("more"))
+
+def _apart(found: DataFrame, base: DataFrame) -> DataFrame:
+    """The found spans (key, kind, start, end) that meet no base span (key, start, end) and are no part of a longer one of their kind.
+
+    Sweeps over a row's sorted spans: the furthest end before a place, and the nearest start behind it.
+    """
+    flag = lambda df, b: df.select("key", "start", "end", F.lit(b).alias("base"), F.col("kind") if not b else F.lit(None).cast("int").alias("kind"))
+    rows = flag(found, False).unionByName(flag(base, True))
+    up, down = W.partitionBy("key").orderBy("start"), W.partitionBy("key").orderBy(F.col("start").desc())
+    reached = F.max(F.when(F.col("base"), F.col("end"))).over(up.rangeBetween(W.unboundedPreceding, 0))
+    behind = F.min(F.when(F.col("base"), F.col("start"))).over(down.rangeBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumns({"reached": reached, "behind": behind}).where("not base and coalesce(reached <= start, true) and coalesce(behind >= end, true)")
+    order = W.partitionBy("key", "kind").orderBy("start", F.col("end").desc()).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("covered", F.max("end").over(order)).where("coalesce(covered < end, true)")
+    return rows.select("key", "kind", "start", "end")
 
 
 def find_personal(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -258,14 +310,14 @@ def find_personal(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     )
     if known.isEmpty():
         return based.withColumn("spans", flag("base")).select("row.*", "spans")
-    df = based.join(stored(_found(rows.select("key", "text"), known), "pii-found"), "key", "left")
-    seen = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    extra = F.filter(F.coalesce("more", F.array().cast("array<struct<kind: int, start: int, end: int, base: boolean>>")), lambda s: ~seen(s))
-    # of what was found both alone and as a part of a longer number of its kind, the longer one
-    longer = lambda s, o: (o["kind"] == s["kind"]) & (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
-    df = df.withColumn("more", extra)
-    extra = F.filter("more", lambda s: ~F.exists("more", lambda o: longer(s, o)))
-    return df.withColumn("spans", F.array_sort(F.concat(flag("base"), extra))).select("row.*", "spans")
+    found = stored(_found(rows.select("key", "text"), known), "pii-found")
+    held = rows.join(found.select("key").distinct(), "key", "left_semi").select("key", "text").dropDuplicates(["key"])
+    base = base_spans(held).select("key", F.inline("base")).select("key", "start", "end")
+    one = F.struct("kind", "start", "end", F.lit(False).alias("base"))
+    extra = stored(_apart(found, base).groupBy("key").agg(F.collect_list(one).alias("more")), "pii-more")
+    df = based.join(extra, "key", "left")
+    none = F.array().cast("array<struct<kind: int, start: int, end: int, base: boolean>>")
+    return df.withColumn("spans", F.array_sort(F.concat(flag("base"), F.coalesce("more", none)))).select("row.*", "spans")
 
 
 def span_text(spans: Column) -> Column:
@@ -274,17 +326,21 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the one that begins first counts."""
-    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"])))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        more = F.concat(acc["out"], before, F.element_at(names, s["kind"] + 1))
-        use = s["start"] >= acc["at"]
-        return F.struct(F.when(use, s["end"]).otherwise(F.greatest(acc["at"], s["end"])).alias("at"), F.when(use, more).otherwise(acc["out"]).alias("out"))
+def redact(rows: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
+    """The rows with each span of the text replaced by its kind in brackets.
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(order, zero, step, rest))
+    Spans that overlap are one stretch, named by the one that begins first, which ends where the furthest of them does.
+    """
+    if clash := {"_order", "_far", "_heads", "_stretches", "_before"} & set(rows.columns):
+        raise ValueError(f"columns clash with the operator's: {sorted(clash)}")
+    text, last = F.col(text_col), F.array_max(F.transform("_order", lambda s: s["end"]))
+    order = F.array_sort(F.transform(spans_col, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    df = rows.withColumn("_order", order).withColumn("_far", _reached(F.transform("_order", lambda s: s["end"])))
+    far = F.zip_with("_order", "_far", lambda s, r: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), r.alias("reached")))
+    df = df.withColumn("_heads", F.filter(far, lambda s: s["start"] >= s["reached"]))
+    stretch = F.transform("_heads", lambda s, i: F.struct(s["start"].alias("start"), F.coalesce(F.get("_heads", i + 1)["reached"], last).alias("end"), s["kind"].alias("kind")))
+    df = df.withColumn("_stretches", stretch).withColumn("_before", _between(text, F.col("_stretches")))
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    out = F.zip_with("_before", "_stretches", lambda t, s: F.concat(t, F.element_at(names, s["kind"] + 1)))
+    whole = F.concat(F.array_join(out, ""), F.substring(text, last + 1, F.length(text)))
+    return df.withColumn(text_col, F.when(F.size(spans_col) > 0, whole).otherwise(text)).select(rows.columns)

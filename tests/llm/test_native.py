@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -221,13 +222,48 @@ def test_found_values_are_quoted(spark):
     odd = r"(555\E(010"
     known = spark.createDataFrame([(odd, 3)], "value string, kind int")
     rows = spark.createDataFrame([(1, f"x {odd} y {odd}."), (2, "none 5")], "key long, text string")
-    assert {r.key: [(s.start, s.end) for s in r.more] for r in pii._found(rows, known).collect()} == {1: [(2, 12), (15, 25)]}
+    assert sorted((r.key, r.kind, r.start, r.end) for r in pii._found(rows, known).collect()) == [(1, 3, 2, 12), (1, 3, 15, 25)]
+
+
+def test_spans_are_kept_apart_by_sweeps(spark):
+    rng = random.Random(12)
+    span = lambda: (rng.randrange(60), rng.randint(1, 12))
+    base = sorted({(k, s, s + n) for k in (1, 2) for s, n in (span() for _ in range(4))})
+    found = sorted({(k, rng.randrange(3), s, s + n) for k in (1, 2, 3) for s, n in (span() for _ in range(40))})
+    free = [f for f in found if not any(b[0] == f[0] and b[1] < f[3] and f[2] < b[2] for b in base)]
+    want = [f for f in free if not any(o[:2] == f[:2] and o[2] <= f[2] and f[3] <= o[3] and o != f for o in free)]
+    rows = pii._apart(spark.createDataFrame(found, "key long, kind int, start int, end int"), spark.createDataFrame(base, "key long, start int, end int")).collect()
+    assert sorted((r.key, r.kind, r.start, r.end) for r in rows) == want and 10 < len(want) < len(found)
+
+
+def test_redaction_of_overlaps(spark):
+    rng = random.Random(13)
+    texts = {i: "".join(rng.choice("abcé ") for _ in range(rng.randint(0, 3000))) for i in range(12)}
+    spans = {i: [(rng.randrange(4), s, min(len(t), s + rng.randint(1, 9)), True) for s in (rng.randrange(len(t)) for _ in range(rng.choice([0, 3, 700])))] if t else [] for i, t in texts.items()}
+    df = spark.createDataFrame([(i, t, spans[i]) for i, t in texts.items()], "doc_id int, text string, spans array<struct<kind:int,start:int,end:int,base:boolean>>")
+    for r in pii.redact(df).collect():
+        out, at, t = "", 0, texts[r.doc_id]
+        order = sorted((s, e, k) for k, s, e, _ in spans[r.doc_id])
+        while order:
+            s, e, k = order.pop(0)
+            while order and order[0][0] < e:
+                e = max(e, order.pop(0)[1])
+            out, at = out + t[at:s] + f"[{pii.KINDS[k].upper()}]", e
+        assert r.text == out + t[at:]
+
+
+def test_thousands_of_identifiers_in_one_text(spark):
+    n = 3000
+    text = " ".join(f"mail to a{i}[at]b.com, mail to a{i}@b.com" for i in range(n))
+    row = pii.redact(pii.find_personal(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert len(row.spans) == 2 * n and row.text == " ".join(["mail to [EMAIL], mail to [EMAIL]"] * n)
+    assert [(s.start, s.end) for s in row.spans if not s.base] == [(m.start(), m.end()) for m in re.finditer(r"a[0-9]+\[at\]b\.com", text)]
 
 
 def test_redaction_and_odd_rows(spark, odd, empty, odd_rows):
     df = spark.createDataFrame([(1, "to a@b.cd from 1.2.3.4!"), (2, None), (3, "plain")], "doc_id long, text string")
-    rows = pii.find_personal(df).select("doc_id", pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()
-    assert {r.doc_id: r.t for r in rows} == {1: "to [EMAIL] from [IP]!", 2: None, 3: "plain"}
+    rows = pii.redact(pii.find_personal(df)).collect()
+    assert {r.doc_id: r.text for r in rows} == {1: "to [EMAIL] from [IP]!", 2: None, 3: "plain"}
     assert pii.find_personal(odd).count() == len(odd_rows)
     assert pii.find_personal(empty).count() == 0
     with pytest.raises(ValueError, match="spans"):
