@@ -35,7 +35,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by the name of its kind."""
-    rows = pii.find_personal(docs).withColumn("text", pii.redacted(F.col("text"), F.col("spans")))
+    rows = pii.redact(pii.find_personal(docs))
     return rows.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
 
 
