@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by inner product: cross-polytope hashing with multiprobe tables and exact reranking.
 
-Vectors are laid on the unit sphere (divided by the largest norm, with one coordinate that fills up the length, so that
-the nearest by angle are the nearest by inner product), turned by three rounds of random signs and a fast Hadamard
+Vectors are laid on the unit sphere (divided by the largest norm of their band, with one coordinate that fills up the
+length, so that the nearest by angle are the nearest by inner product), turned by three rounds of random signs and a fast Hadamard
 transform, and hashed to the nearest signed axis: the largest coordinate by size and its sign. TABLES independent
 turns make as many tables; a query visits in each the `probes` buckets whose axes it is nearest to. Every row is
-indexed. What a bucket gives is scored exactly, in double precision on the original vectors.
+indexed. A band holds rows whose norms differ by a quarter at most and has buckets of its own, which a query visits with
+the same axes, so few long vectors do not push the others together; where all norms are alike there is one band. What a bucket gives is scored exactly, in double precision on the original vectors.
 
 A first pass visits each query's nearest bucket per table and gives a lower bound of its k-th score; the second visits
 all probes and hands on what reaches that bound, at most k a query and tile, from the first table that meets it. Buckets
@@ -19,6 +20,7 @@ candidates than k all are returned; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,9 @@ from medloom.llm.common import stored
 
 TABLES, PROBES, TILE, QUERIES = 12, 18, 2048, 256
 SLACK = 1e-6
-ROW = "t int, bucket int, probe int, id long, vec binary, codes binary"
+#: The factor between the norms of a band.
+BAND = 1.25
+ROW = "t int, bucket int, probe int, band int, id long, vec binary, codes binary"
 
 
 # --- hashing --------------------------------------------------------------------------------------------------------
@@ -57,9 +61,9 @@ def turned(x: np.ndarray, turn: int, seed: int) -> np.ndarray:
     return x
 
 
-def _on_sphere(x: np.ndarray, most: float) -> np.ndarray:
-    """Rows divided by the largest norm and filled up to length one, padded to a power of two."""
-    x = x / most
+def _on_sphere(x: np.ndarray, most: float | np.ndarray) -> np.ndarray:
+    """Rows divided by the largest norm (of each row's band) and filled up to length one, padded to a power of two."""
+    x = x / np.reshape(most, (-1, 1))
     rest = np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(1)))
     width = 1 << int(x.shape[1]).bit_length()
     return np.concatenate([x, rest[:, None], np.zeros((len(x), width - x.shape[1] - 1))], axis=1)
@@ -90,8 +94,11 @@ def code_kind(dim: int, functions: int) -> str:
     return "<u1" if buckets <= 256 else "<u2" if buckets <= 65_536 else "<u4"
 
 
-def _indexed(dim: int, most: float, kind: str, functions: int, probes: int, seed: int, as_query: bool):
-    """Rows (id, vec) as a row for each table and visited bucket; codes: all visited buckets of all tables."""
+def _indexed(dim: int, most: dict[int, float], kind: str, functions: int, probes: int, seed: int, as_query: bool):
+    """Rows (id, vec, band) as a row for each table and visited bucket; codes: all visited buckets of all tables.
+
+    most: the largest norm of each band. A query is a direction, the same for all bands.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,10 +106,10 @@ def _indexed(dim: int, most: float, kind: str, functions: int, probes: int, seed
                 part = batch.slice(at, 1024)
                 ids = part.column(0).to_numpy()
                 x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(kind)
+                band = part.column(2).to_numpy()
                 wide = x.astype(np.float64)
-                if as_query:
-                    wide = wide / np.linalg.norm(wide, axis=1, keepdims=True) * most
-                sphere = _on_sphere(wide, most)
+                largest = np.linalg.norm(wide, axis=1) if as_query else np.array([most[b] for b in band.tolist()])
+                sphere = _on_sphere(wide, largest)
                 codes = np.stack([axes(sphere, t, functions, probes, seed) for t in range(TABLES)], axis=1)
                 raw = [v.tobytes() for v in x]
                 own = [c.tobytes() for c in codes.astype(code_kind(dim, functions))]
@@ -110,8 +117,8 @@ def _indexed(dim: int, most: float, kind: str, functions: int, probes: int, seed
                     for p in range(codes.shape[2]):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.full(len(ids), t, np.int32)), pa.array(np.ascontiguousarray(codes[:, t, p])),
-                             pa.array(np.full(len(ids), p, np.int32)), pa.array(ids), pa.array(raw, pa.binary()), pa.array(own, pa.binary())],
-                            names=["t", "bucket", "probe", "id", "vec", "codes"],
+                             pa.array(np.full(len(ids), p, np.int32)), pa.array(band, pa.int32()), pa.array(ids), pa.array(raw, pa.binary()), pa.array(own, pa.binary())],
+                            names=["t", "bucket", "probe", "band", "id", "vec", "codes"],
                         )
 
     return run
@@ -153,11 +160,11 @@ def _scored(k: int, kind: str, code: str):
         tile, points = None, []
         for batch in batches:
             pdf = batch.to_pandas()
-            key = pd.factorize(pd.MultiIndex.from_frame(pdf[["t", "bucket", "tile", "role"]]))[0]
+            key = pd.factorize(pd.MultiIndex.from_frame(pdf[["t", "bucket", "band", "tile", "role"]]))[0]
             cuts = np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(pdf))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 part = pdf.iloc[a:b]
-                now = tuple(part[["t", "bucket", "tile"]].iloc[0])
+                now = tuple(part[["t", "bucket", "band", "tile"]].iloc[0])
                 if now != tile:
                     tile, points = now, []
                 if part["role"].iloc[0] == 0:
@@ -181,9 +188,9 @@ def _searched(points: DataFrame, queries: DataFrame, k: int, kind: str, code: st
     """Scores of the points (t, bucket, tile, ...) for the queries that visit their tile."""
     points = points.withColumns({"role": F.lit(0), "bound": F.lit(0.0)})
     queries = queries.withColumn("role", F.lit(1))
-    columns = ["t", "bucket", "tile", "role", "id", "vec", "codes", "bound"]
+    columns = ["t", "bucket", "band", "tile", "role", "id", "vec", "codes", "bound"]
     rows = points.select(columns).unionByName(queries.select(columns))
-    rows = rows.repartition("t", "bucket", "tile").sortWithinPartitions("t", "bucket", "tile", "role")
+    rows = rows.repartition("t", "bucket", "band", "tile").sortWithinPartitions("t", "bucket", "band", "tile", "role")
     return rows.mapInArrow(_scored(k, kind, code), "query_id long, vec_id long, score double")
 
 
@@ -207,23 +214,28 @@ def nearest(
     """query_id, rank from 1, vec_id and score: for each query its k nearest of the other vectors found."""
     points = usable(vectors, id_col, vec_col)
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    sizes = points.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("most"))
-    common = sizes.orderBy(F.col("n").desc(), "dim").first()
+    # the middle of a band is a power, so that norms which should be one are in one band; norms beyond doubles are alike
+    band = F.floor(F.log(F.greatest(F.least(norm, F.lit(1e300)), F.lit(1e-300))) / math.log(BAND) + 0.5).cast("int").alias("band")
+    sizes = points.groupBy(F.size("vec").alias("dim"), band).agg(F.count("*").alias("n"), F.max(norm).alias("most"))
+    total_of = sizes.groupBy("dim").agg(F.sum("n").alias("n"))
+    common = total_of.orderBy(F.col("n").desc(), "dim").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if common is None:
         return vectors.sparkSession.createDataFrame([], schema)
-    dim, total, most = common
+    dim, total = common
+    # at most a few thousand bands between the smallest and the largest double
+    most = {r["band"]: r["most"] for r in sizes.where(F.col("dim") == dim).collect()}
     kind = "<f4" if dict(vectors.dtypes)[vec_col] == "array<float>" else "<f8"
     some, code = F.size("vec") == dim, code_kind(dim, functions)
-    index = points.where(some).mapInArrow(_indexed(dim, most, kind, functions, 1, seed, False), ROW)
+    index = points.where(some).select("id", "vec", band).mapInArrow(_indexed(dim, most, kind, functions, 1, seed, False), ROW)
     asked = usable(queries, id_col, vec_col).where(some).dropDuplicates(["id"])
-    asked = asked.mapInArrow(_indexed(dim, most, kind, functions, probes, seed, True), ROW)
+    asked = asked.select("id", "vec", F.lit(0).alias("band")).mapInArrow(_indexed(dim, most, kind, functions, probes, seed, True), ROW).drop("band")
     index, asked = stored(index, "ann-index"), stored(asked, "ann-queries")
 
-    tiles = index.groupBy("t", "bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    tiles = index.groupBy("t", "bucket", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     if functions == 1:
-        tiles = F.broadcast(tiles)  # at most TABLES rows for each of the 2 * dim + 2 (rounded up) axes
-    index = index.join(tiles, ["t", "bucket"]).withColumn("tile", F.pmod(F.hash("id"), "tiles"))
+        tiles = F.broadcast(tiles)  # at most TABLES rows for each of the 2 * dim + 2 (rounded up) axes and each band
+    index = index.join(tiles, ["t", "bucket", "band"]).withColumn("tile", F.pmod(F.hash("id"), "tiles"))
     asked = asked.join(tiles, ["t", "bucket"]).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
 
     lowest = F.lit(float("-inf"))
@@ -238,8 +250,8 @@ def nearest(
     )
     if total > 1 and short.limit(1).count():
         blocks = max(1, -(-total // TILE))
-        every = index.where("t = 0").withColumns({"bucket": F.lit(0), "tile": F.pmod(F.hash("id"), F.lit(blocks)), "codes": F.lit(b"")})
-        again = short.withColumns({"t": F.lit(0), "bucket": F.lit(0), "codes": F.lit(b""), "bound": lowest})
+        every = index.where("t = 0").withColumns({"bucket": F.lit(0), "band": F.lit(0), "tile": F.pmod(F.hash("id"), F.lit(blocks)), "codes": F.lit(b"")})
+        again = short.withColumns({"t": F.lit(0), "bucket": F.lit(0), "band": F.lit(0), "codes": F.lit(b""), "bound": lowest})
         again = again.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         rest = _top(_searched(every, again, k, kind, code), k)
         found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)

@@ -45,6 +45,31 @@ def test_odd_vectors(spark):
     assert {r.query_id for r in rows} == {0, 20, 100, 120}
 
 
+@pytest.mark.parametrize("norms", ["one long", "some long", "lognormal", "huge"])
+def test_recall_under_unequal_norms(spark, norms):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(40, 64))[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 64)) * 0.5
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "one long":
+        x[7] *= 10
+    elif norms == "some long":
+        x[rng.random(4000) < 0.02] *= 5
+    elif norms == "lognormal":
+        x *= rng.lognormal(sigma=0.5, size=(4000, 1))
+    else:
+        x[11] *= 1e160
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    found: dict[int, set] = {}
+    for r in ann.nearest(df, df.where("vec_id % 40 = 0"), k=20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 4000, 40):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(found[q] & set(np.lexsort((np.arange(4000), -score))[:20].tolist()))
+    assert hits >= 0.9 * 20 * 100
+
+
 def test_fewer_candidates_than_asked_for(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "vec_id long, embedding array<float>")
     rows = ann.nearest(df, df, k=20).collect()
