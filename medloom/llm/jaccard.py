@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medloom.llm.cc import components
-from medloom.llm.common import stored
+from medloom.llm.common import released, stored
 from medloom.llm.shingles import mixed, shingles
 
 #: Shingles gathered before a task hands them on; shingles that a reducing group should hold; documents handled at a
@@ -64,7 +64,7 @@ class Limits:
     frequent_rows: int = 2_000_000  # frequent shingles that may be broadcast
     salt_rows: int = 4096  # rows of a key that are dealt to one part
     tile: int = 1024  # nodes in a tile
-    light: float = 20  # pairs a row up to which pairs are gathered before their bitmaps are
+    light: float = 0  # pairs a row up to which pairs are gathered before their bitmaps are
 
 
 LIMITS = Limits()
@@ -686,6 +686,7 @@ def components_of(rows: DataFrame, nodes: DataFrame, store: SetStore, limits: Li
         links = stored(verified(near, nodes, store, True), "shingle-links")
         roots = _merged(roots, links)
         rows, order = _open_rows(keyed, roots), F.xxhash64(F.lit(turn), "node")
+        released(rows.sparkSession)
         pairs, total = _open_pairs(rows)
         if pairs <= FEW * total or (turn > 1 and links.count() < total / 100):
             break
@@ -718,6 +719,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = sets.where("bits is not null").join(rows.select("node").distinct(), "node", "left_semi")
     nodes = stored(nodes.select("node", "n", "bits", "mark").dropDuplicates(["node"]), "shingle-nodes")
     store = SetStore(nodes, texts.select("mark", "text"), _node_sets)
+    released(docs.sparkSession)
     roots = components_of(rows.join(nodes.select("node", "n"), "node"), nodes, store, limits)
 
     first = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
