@@ -49,6 +49,8 @@ SHAPES = {
 #: The longest run at the start of joined words, and the most words that it can have.
 RUN, RUN_WORDS = rf"^[^A-Za-z0-9(+]*({CARD_RUN}|{PHONE_RUN})(?=[^A-Za-z0-9@{MARK}]*(?:\x20|$))", 19
 SUPPORT, CONFIDENCE, MOVED = 3, 0.5, 0.01
+#: One of so many documents is counted first.
+PART = 16
 CHUNK = 256
 SPAN = "struct<kind: int, start: int, end: int, value: string>"
 
@@ -213,7 +215,7 @@ def _instances(based: DataFrame, text_col: str) -> DataFrame:
 def _totals(based: DataFrame, text_col: str, contexts: DataFrame) -> DataFrame:
     """(context, total): the occurrences of these contexts before any word of all documents."""
     every = _masked(based, text_col).select(F.explode(F.transform("words", lambda w, i: _before(i))).alias("context"))
-    return every.groupBy("context").agg(F.count("*").alias("total")).join(contexts, "context", "left_semi")
+    return every.groupBy("context").agg(F.count("*").alias("total")).join(contexts.select("context"), "context", "left_semi")
 
 
 def _looks(kind: Column, value: Column) -> Column:
@@ -227,9 +229,13 @@ def discovered(based: DataFrame, text_col: str = "text") -> DataFrame:
     likely = F.exists(F.array(*[F.col("value").rlike(p) for p in SHAPES.values()]), lambda fits: fits)
     graph = stored(graph.where(F.col("kind").isNotNull() | likely), "pii-graph")
     seeds = graph.where("kind is not null").select("value", "kind").distinct()
-    # a context of fewer different values never becomes a pattern
-    contexts = graph.select("context", "value").distinct().groupBy("context").agg(F.count("*").alias("many")).where(F.col("many") >= SUPPORT)
-    totals = _totals(based, text_col, stored(contexts.select("context"), "pii-contexts"))
+    # a context of fewer different values never becomes a pattern, nor does one that occurs too often for its confidence;
+    # for most of the common ones, the occurrences in a part of the documents prove that already
+    contexts = graph.groupBy("context").agg(F.count_distinct("value").alias("many"), F.sum("n").alias("hits"))
+    contexts = stored(contexts.where(F.col("many") >= SUPPORT).select("context", "hits"), "pii-contexts")
+    part = _totals(based.where(F.pmod(F.xxhash64(text_col), F.lit(PART)) == 0), text_col, contexts)
+    often = stored(part.join(contexts, "context").where(CONFIDENCE * F.col("total") > F.col("hits")).select("context"), "pii-often")
+    totals = _totals(based, text_col, stored(contexts.join(often, "context", "left_anti").select("context"), "pii-contexts"))
     edges = graph.groupBy("context", "value").agg(F.sum("n").alias("n")).join(stored(totals, "pii-totals"), "context")
     edges = stored(edges, "pii-edges")
     sure = seeds.withColumns({"score": F.lit(1.0), "seed": F.lit(True), "moved": F.lit(0.0)})
