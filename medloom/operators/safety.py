@@ -111,6 +111,15 @@ def duplicates(named: DataFrame) -> DataFrame:
     return same.unionByName(classes)
 
 
+def duplicate_classes(named: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(patient, class, n): classes of two or more ingredients of a list, unless all of their ingredients are flagged already
+    (patient, ingredient): what a warning has been given for is not warned of again."""
+    rows = named.where("class is not null and class <> ''").select("patient", "class", "ingredient").distinct()
+    known = flagged.select("patient", "ingredient").distinct().withColumn("known", F.lit(1))
+    groups = rows.join(known, ["patient", "ingredient"], "left").groupBy("patient", "class")
+    return groups.agg(F.count("*").alias("n"), F.count("known").alias("k")).where("n > 1 and k < n").select("patient", "class", "n")
+
+
 def side_effects(drugs: DataFrame, effects: DataFrame, most: int = 5) -> DataFrame:
     """The most frequent effects of each drug (drug, effect, frequency); frequencies are numbers, unknown ones last."""
     mine = effects.join(drugs.select("drug").distinct(), "drug", "left_semi")

@@ -14,6 +14,7 @@ from medloom.functions import scoring as S
 from medloom.functions import text as T
 from medloom.operators import merge as M
 from medloom.operators import resolve as R
+from medloom.operators.rules import naming
 from medloom.sources.files import bucketed
 
 # Fixed value: MedDRA's word for a preferred term.
@@ -51,12 +52,13 @@ def food_and_herb(rows: DataFrame) -> DataFrame:
     )
     rank = F.col("evidence_rank")
     rows = rows.withColumns({"rank": S.ranked(severity, S.SEVERITY_RANK, 1), "evidence_rank": S.ranked(F.col("evidence"), S.EVIDENCE_RANK, 0)})
-    mechanisms = F.array_sort(F.collect_set(F.struct("seq", "effect")))
-    distinct = F.array_distinct(F.filter(F.transform(mechanisms, lambda m: m["effect"]), lambda e: e.isNotNull()))
-    return rows.groupBy("herb", "drug").agg(
-        F.max("rank").alias("severity_rank"), F.max(rank).alias("evidence_rank"), F.max_by("effect", F.struct(rank, -F.col("seq"))).alias("effect"),
-        F.array_join(F.slice(distinct, 1, 4), " | ").alias("mechanism"), F.count("*").alias("n_studies"),
+    first = rows.where("effect is not null").groupBy("herb", "drug", "effect").agg(F.min("seq").alias("seq"))
+    four = M.top_per_key(first, ["herb", "drug"], [F.col("seq"), F.col("effect")], 4).groupBy("herb", "drug")
+    four = four.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "effect"))), lambda m: m["effect"]), " | ").alias("mechanism"))
+    best = rows.groupBy("herb", "drug").agg(
+        F.max("rank").alias("severity_rank"), F.max(rank).alias("evidence_rank"), F.max_by("effect", F.struct(rank, -F.col("seq"))).alias("effect"), F.count("*").alias("n_studies"),
     )
+    return best.join(four, ["herb", "drug"], "left").select("herb", "drug", "severity_rank", "evidence_rank", "effect", F.coalesce("mechanism", F.lit("")).alias("mechanism"), "n_studies")
 
 
 def herb_nodes(rows: DataFrame) -> DataFrame:
@@ -178,13 +180,11 @@ def gene_bridge(targets: DataFrame, genes: DataFrame) -> DataFrame:
 
 def herb_rules(herbs: DataFrame, drugs: DataFrame) -> DataFrame:
     """herb, term, severity against drugs (drug, class): by the whole name inside the term, else by the class inside it."""
-    padded = lambda c: F.concat(F.lit(" "), T.lookup_key(F.col(c)), F.lit(" "))
-    words = herbs.withColumn("word", F.explode(F.array_distinct(F.split(T.lookup_key(F.col("term")), " "))))
-    heads = drugs.withColumn("word", F.split(T.lookup_key(F.col("drug")), " ")[0]).where(F.length("drug") >= 5)
-    by_name = words.join(heads, "word").where(padded("term").contains(padded("drug")))
-    classes = drugs.where("class <> ''").withColumn("word", F.split(T.lookup_key(F.col("class")), " ")[0])
-    by_class = words.join(classes, "word").where(padded("term").contains(padded("class")))
-    return by_name.select("herb", "drug", "severity").union(by_class.select("herb", "drug", "severity")).distinct()
+    keyed = herbs.withColumn("t", T.lookup_key(F.col("term")))
+    known = drugs.select("drug", T.lookup_key(F.col("drug")).alias("n"), T.lookup_key(F.col("class")).alias("c"))
+    by_name = naming(keyed, "t", known.select("n"), "n").join(known, "n").select("t", "drug")
+    by_class = naming(keyed, "t", known.select("c"), "c", least=1).join(known, "c").select("t", "drug")
+    return keyed.join(by_name.union(by_class).distinct(), "t").select("herb", "drug", "severity").distinct()
 
 
 def criteria_pairs(document: DataFrame) -> DataFrame:
