@@ -22,9 +22,10 @@ def best_support(pairs: DataFrame, edges: DataFrame, first: DataFrame, second: D
     """The distinct pairs (a, b) with `support`: direct (an edge in either direction), else indirect (a pathway in either
     direction), else none; `paths` counts the pathways of both directions."""
     wanted = pairs.select("a", "b").distinct()
+    once = wanted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     direct = edges.select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct().withColumn("direct", F.lit(True))
-    turned = wanted.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    found = pathways(wanted.union(turned), first, second)
+    turned = once.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    found = pathways(once.union(turned), first, second)
     paths = found.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.count("*").alias("paths"))
     df = wanted.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
     df = df.join(direct, ["lo", "hi"], "left").join(paths, ["lo", "hi"], "left").withColumn("paths", F.coalesce("paths", F.lit(0).cast("long")))

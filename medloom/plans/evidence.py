@@ -48,9 +48,13 @@ def gap_pathways(spark, d):
     return U.pathways(pairs, N.inhibits(spark, d), N.substrates(spark, d))
 
 
-_SUPPORT = GRAPH + _PAIRS + f""", ways AS ({_PATHWAYS}), many AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, count(*) AS paths FROM ways GROUP BY ALL),
-sup AS (SELECT a, b, CASE WHEN k.lo IS NOT NULL THEN 'direct' WHEN paths > 0 THEN 'indirect' ELSE 'none' END AS support, coalesce(paths, 0) AS paths
-FROM pairs LEFT JOIN known k ON k.lo = least(a, b) AND k.hi = greatest(a, b) LEFT JOIN many m ON m.lo = least(a, b) AND m.hi = greatest(a, b))"""
+_SUPPORT = GRAPH + """, two AS (SELECT DISTINCT a.drug AS lo, b.drug AS hi FROM baskets a JOIN baskets b ON a.patient = b.patient AND a.drug < b.drug),
+known AS (SELECT DISTINCT lo, hi FROM edges WHERE guideline),
+ways AS (SELECT i.src, s.src AS dst, count(*) AS paths FROM inhibits i JOIN substrates s USING (dst) WHERE i.src <> s.src GROUP BY ALL),
+many AS (SELECT lo, hi, sum(paths)::BIGINT AS paths FROM (SELECT lo, hi, paths FROM two JOIN ways ON src = lo AND dst = hi UNION ALL SELECT lo, hi, paths FROM two JOIN ways ON src = hi AND dst = lo) GROUP BY ALL),
+one AS (SELECT two.lo, two.hi, CASE WHEN k.lo IS NOT NULL THEN 'direct' WHEN paths > 0 THEN 'indirect' ELSE 'none' END AS support, coalesce(paths, 0) AS paths
+  FROM two LEFT JOIN known k USING (lo, hi) LEFT JOIN many USING (lo, hi)),
+sup AS (SELECT lo AS a, hi AS b, support, paths FROM one UNION ALL SELECT hi, lo, support, paths FROM one)"""
 
 
 def _support(spark, d):

@@ -145,3 +145,12 @@ def test_streamed_edges(spark, tmp_path):
     start()
     found = {(r.src, r.dst): r.severity for r in spark.read.parquet(f"{tmp_path}/out/version=1").collect()}
     assert found == {("a", "b"): "major", ("c", "d"): "major"}
+
+
+def test_streamed_rows_are_not_mixed(spark, tmp_path):
+    schema = "src string, at int, severity string, note string"
+    rows = [("a", 1, "major", "old"), ("a", 2, "minor", None), ("b", None, "x", "y")]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in/one")
+    follow_edges(spark, f"{tmp_path}/in/*", f"{tmp_path}/out", schema, ["src"], f"{tmp_path}/check", "at").awaitTermination()
+    found = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/version=0").select("src", "at", "severity", "note").collect()}
+    assert found == {("a", 2, "minor", None), ("b", None, "x", "y")}
