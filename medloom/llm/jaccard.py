@@ -64,7 +64,7 @@ class Limits:
     frequent_rows: int = 2_000_000  # frequent shingles that may be broadcast
     salt_rows: int = 4096  # rows of a key that are dealt to one part
     tile: int = 1024  # nodes in a tile
-    light: float = 0  # pairs a row up to which pairs are gathered before their bitmaps are
+    light: float = 20  # pairs a row up to which pairs are gathered before their bitmaps are
 
 
 LIMITS = Limits()
@@ -631,6 +631,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, store: SetStore, best: bool) ->
     if best:
         likely = likely.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
     likely = stored(likely.select("a", "b"), "shingle-likely")
+    released(likely.sparkSession)
     ends = likely.select(F.explode(F.array("a", "b")).alias("node"), "a", "b")
     met = ends.join(store.of(ends.select("node").distinct()), "node").select("a", "b", "node", "shingles")
     return met.repartition("a", "b").sortWithinPartitions("a", "b", "node").mapInArrow(_linked, "a long, b long")
