@@ -66,3 +66,14 @@ def audited(tables: Mapping[str, DataFrame], checks: Sequence[Check], breakdowns
     kept = F.coalesce(F.col("value") >= bound(low), bound(low).isNull()) & F.coalesce(F.col("value") <= bound(high), bound(high).isNull())
     free = F.col("item").isNotNull() | (bound(low).isNull() & bound(high).isNull())
     return rows.withColumn("verdict", F.when(free, "info").when(kept & F.col("value").isNotNull(), "pass").otherwise("fail"))
+
+
+def held(expected: DataFrame, found: DataFrame, case: str, value: str) -> DataFrame:
+    """Each distinct expectation (case, value) with what was found for the case (of several values the expected one, else the
+    least) and a verdict: pass, fail (another value), or missing (the case was not found or has no value)."""
+    wanted = expected.select(case, F.col(value).alias("_want")).distinct()
+    rows = wanted.join(found.select(case, F.col(value).alias("_got")), case, "left")
+    got = F.min(F.struct(~F.coalesce(F.col("_got") == F.col("_want"), F.lit(False)), F.col("_got").isNull(), "_got")).alias("x")
+    best = rows.groupBy(case, "_want").agg(got).select(case, F.col("_want").alias("expected"), F.col("x._got").alias("found"))
+    verdict = F.when(F.col("found").isNull(), "missing").when(F.col("found") == F.col("expected"), "pass").otherwise("fail")
+    return best.withColumn("verdict", verdict)

@@ -47,3 +47,12 @@ def transporter_paths(baskets: DataFrame, inhibits: DataFrame, substrates: DataF
     """(key, a, b, mid): a inhibits a transporter that carries b, both in one basket."""
     two = lambda df: df.select("src", "dst").distinct()
     return graph.two_hop(baskets, two(inhibits), two(substrates), key, item).select(key, "a", "b", "mid")
+
+
+def grounded(findings: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Findings (kind, a, b, ...) with `grounded`: whether an evidence row (kind, a, b) bears one out; for the kind `pair` in
+    either direction. Kinds and ends are compared as they are; a null end is borne out by nothing."""
+    pair = lambda c, f: F.when(F.col("kind") == "pair", f("a", "b")).otherwise(F.col(c))
+    known = evidence.select("kind", pair("a", F.least).alias("_a"), pair("b", F.greatest).alias("_b")).distinct().withColumn("grounded", F.lit(True))
+    keyed = findings.withColumns({"_a": pair("a", F.least), "_b": pair("b", F.greatest)})
+    return keyed.join(known, ["kind", "_a", "_b"], "left").drop("_a", "_b").withColumn("grounded", F.coalesce("grounded", F.lit(False)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medloom.operators import report
+from medloom.operators import audit, report, support
 
 
 def test_read_names_stand_for_drugs(spark):
@@ -35,3 +35,17 @@ def test_texts_by_id_and_links(spark):
     df = spark.createDataFrame(links, "id int, links array<struct<label:string,url:string>>")
     found = report.record_links(df, "id", "links", [(F.lit("p"), F.lit("u1")), (F.lit("q"), F.lit(None).cast("string")), (F.lit("r"), F.lit("u3"))]).collect()
     assert {r.id: [tuple(x) for x in r.links] for r in found} == {1: [("a", "u1"), ("r", "u3")], 2: [("p", "u1"), ("r", "u3")]}
+
+
+def test_findings_are_grounded_by_kind(spark):
+    rows = [("pair", 2, 1), ("pair", 1, 3), ("herb", 2, 1), ("herb", 1, 2), ("herb", None, 2), (None, 1, 2)]
+    shown = [("pair", 1, 2), ("pair", 2, 1), ("herb", 1, 2), (None, 1, 2)]
+    found = support.grounded(*[spark.createDataFrame(x, "kind string, a int, b int") for x in (rows, shown)]).collect()
+    assert sorted(((r.kind, r.a, r.b) for r in found if r.grounded), key=repr) == [("herb", 1, 2), ("pair", 2, 1)] and len(found) == len(rows)
+
+
+def test_expectations(spark):
+    want = [("a", "x"), ("a", "x"), ("b", "x"), ("c", "x"), ("d", "x")]
+    got = [("a", "y"), ("a", "x"), ("b", "z"), ("b", "y"), ("c", None), ("e", "x")]
+    rows = audit.held(*[spark.createDataFrame(x, "k string, v string") for x in (want, got)], "k", "v").collect()
+    assert {r.k: (r.expected, r.found, r.verdict) for r in rows} == {"a": ("x", "x", "pass"), "b": ("x", "y", "fail"), "c": ("x", None, "missing"), "d": ("x", None, "missing")}
