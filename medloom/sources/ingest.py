@@ -118,7 +118,9 @@ def co_prescriptions(rows: DataFrame, known: DataFrame, most: int = 50) -> DataF
 def label_effects(effects: DataFrame, sure: DataFrame, labels: DataFrame, products: DataFrame, drugs: DataFrame, terms: DataFrame) -> DataFrame:
     """Effects of labels (label_id, effect_id) over label -> product -> ingredients, with the sure ones (ingredient_id,
     effect_id): one row a (drug, effect), `high_confidence` before `label_derived`."""
-    by_label = effects.join(labels, "label_id").join(products, "product_id").select("ingredient_id", "effect_id", F.lit(2).alias("rank"))
+    # labels of a product share its ingredients, so an effect is carried once for each product
+    by_product = effects.join(labels, "label_id").select("product_id", "effect_id").distinct()
+    by_label = by_product.join(products, "product_id").select("ingredient_id", "effect_id", F.lit(2).alias("rank"))
     every = by_label.unionByName(sure.select("ingredient_id", "effect_id", F.lit(1).alias("rank")))
     best = every.groupBy("ingredient_id", "effect_id").agg(F.min("rank").alias("rank"))
     named = best.join(drugs, "ingredient_id").join(terms, "effect_id")
