@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import functions as F
 
 from medloom.operators import graph as G
-from medloom.operators import paths, report, safety, support
+from medloom.operators import fuzzy, paths, report, safety, support
 from medloom.sources import ingest
 
 
@@ -112,3 +112,14 @@ def test_hub_ends_are_looked_up(spark):
     assert len(rows) == 400 and most <= 1600
     whole = paths.shortest_paths(spark.createDataFrame(hub + rest, "src string, dst string, rel string"), todo, 3)
     assert {(r.hops, len(r.nodes)) for r in whole.collect()} == {(2, 3)}
+
+
+def test_names_that_differ_in_one_letter_meet_at_its_place_only(spark):
+    names = [f"customer {k:09d}" for k in range(0, 4000, 7)]
+    left = spark.createDataFrame([(n,) for n in [*names, "aspirinnn", "aabaabaab"]], "n string")
+    right = spark.createDataFrame([(n,) for n in [*names, "aspirinn", "aspirinnnn", "abaabaabaa", "aabaabaaab"]], "n string")
+    keys = left.select(F.col("n").alias("key"), F.lit(0).alias("side")).union(right.select("n", F.lit(1)))
+    rows, most = most_rows(fuzzy._by_one_edit(keys, 0.9))
+    near = {(a, b) for a in names for b in names if a != b and sum(x != y for x, y in zip(a, b, strict=True)) == 1}
+    assert {(r.a, r.b) for r in rows} == near | {("aspirinnn", "aspirinnnn"), ("aabaabaab", "aabaabaaab")}
+    assert most < 30 * len(names)
