@@ -1,7 +1,7 @@
 """Shortest paths with their nodes and relations, between stated pairs of nodes.
 
-Frontiers of paths grow from both ends in turn and meet over one edge, so a hub in the middle of a path is passed as a single
-node and its neighbours are never listed; only a hub that is itself an end opens its whole neighbourhood. Pairs are taken
+Frontiers of paths grow from both ends in turn and meet over one edge, by whichever way lists the fewest rows for a pair, so a hub
+in the middle of a path is passed as a single node, and a hub that is itself an end is looked up and not listed for each pair. Pairs are taken
 out as soon as a path is found, each step is written to the shared folder, and a frontier keeps one path for each end and
 node, which is enough: the smallest path over a node is the smallest way to it and the smallest way on.
 """
@@ -42,6 +42,27 @@ def _grown(ends: DataFrame, edges: DataFrame, open_pairs: DataFrame, end: str) -
     return stored(found.withColumnsRenamed({"nodes": f"{end}_nodes", "rels": f"{end}_rels"}), f"paths-{end}")
 
 
+def _meeting(todo: DataFrame, left: DataFrame, right: DataFrame, links: DataFrame) -> DataFrame:
+    """The paths of open pairs whose frontiers one edge joins. For each pair either both frontiers are paired and the edge is looked
+    up, or one of them goes one edge on and is looked up in the other one: whichever lists the fewest rows."""
+    degree = links.groupBy("src").agg(F.count("*").alias("n"))
+    def size(ends: DataFrame, end: str) -> DataFrame:
+        ahead = ends.join(degree, F.col(f"{end}_at") == F.col("src"), "left").groupBy(end)
+        return ahead.agg(F.count("*").cast("double").alias(f"{end}_n"), F.sum("n").cast("double").alias(f"{end}_next"))
+
+    both = F.col("a_n") * F.col("b_n")
+    way = F.when(both <= F.least("a_next", "b_next"), "both").when(F.col("a_next") <= F.col("b_next"), "a").otherwise("b")
+    # a frontier without any edge on joins nothing
+    sized = todo.join(size(left, "a"), "a").join(size(right, "b"), "b").where("a_next is not null and b_next is not null")
+    chosen = stored(sized.select("a", "b", way.alias("way")), "paths-ways")
+    pick = lambda w: chosen.where(F.col("way") == w).select("a", "b")
+    columns = ["a", "b", "a_nodes", "a_rels", "b_nodes", "b_rels", "rel"]
+    crossed = pick("both").join(left, "a").join(right, "b").join(links, (F.col("a_at") == F.col("src")) & (F.col("b_at") == F.col("dst")))
+    from_a = pick("a").join(left, "a").join(links, F.col("a_at") == F.col("src")).join(right.withColumnRenamed("b_at", "dst"), ["b", "dst"])
+    from_b = pick("b").join(right, "b").join(links, F.col("b_at") == F.col("dst")).join(left.withColumnRenamed("a_at", "src"), ["a", "src"])
+    return reduce(DataFrame.union, [df.select(columns) for df in (crossed, from_a, from_b)])
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 3) -> DataFrame:
     """(a, b, hops, nodes, rels) for every distinct pair (a, b) of text ids: a shortest path of at most `hops` undirected edges.
 
@@ -59,7 +80,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 3) -> DataFra
             left = _grown(left, links, todo, "a")
         elif hop > 1:
             right = _grown(right, links, todo, "b")
-        meet = todo.join(left, "a").join(right, "b").join(links, (F.col("a_at") == F.col("src")) & (F.col("b_at") == F.col("dst")))
+        meet = _meeting(todo, left, right, links)
         nodes, rels = F.concat("a_nodes", "b_nodes"), F.concat("a_rels", F.array("rel"), "b_rels")
         met = stored(_smallest(meet, ["a", "b"], nodes, rels), "paths-found")
         found.append(met.select("a", "b", F.lit(hop).alias("hops"), "nodes", "rels"))
