@@ -49,8 +49,8 @@ SHAPES = {
 #: The longest run at the start of joined words, and the most words that it can have.
 RUN, RUN_WORDS = rf"^[^A-Za-z0-9(+]*({CARD_RUN}|{PHONE_RUN})(?=[^A-Za-z0-9@{MARK}]*(?:\x20|$))", 19
 SUPPORT, CONFIDENCE, MOVED = 3, 0.5, 0.01
-#: One of so many documents is counted first.
-PART = 16
+#: One of so many documents is counted first; so many contexts are told by their hashes, more by a join only.
+PART, FEW = 16, 16_384
 CHUNK = 256
 SPAN = "struct<kind: int, start: int, end: int, value: string>"
 
@@ -214,7 +214,12 @@ def _instances(based: DataFrame, text_col: str) -> DataFrame:
 
 def _totals(based: DataFrame, text_col: str, contexts: DataFrame) -> DataFrame:
     """(context, total): the occurrences of these contexts before any word of all documents."""
-    every = _masked(based, text_col).select(F.explode(F.transform("words", lambda w, i: _before(i))).alias("context"))
+    every = F.transform("words", lambda w, i: _before(i))
+    # all other words are left out before they are rows, while the contexts are few
+    marks = [r[0] for r in contexts.select(F.hash("context")).distinct().limit(FEW + 1).collect()]
+    if len(marks) <= FEW:
+        every = F.filter(every, lambda c: F.hash(c).isin(marks))
+    every = _masked(based, text_col).select(F.explode(every).alias("context"))
     return every.groupBy("context").agg(F.count("*").alias("total")).join(contexts.select("context"), "context", "left_semi")
 
 
@@ -283,7 +288,8 @@ def _found(docs: DataFrame, known: DataFrame) -> DataFrame:
         end = F.get("starts", last) + F.length(F.get("words", last)) - (F.length(joined) - lead - F.length(value))
         return F.struct(value.alias("value"), (F.get("starts", x["i"]) + lead).alias("start"), end.alias("end"))
 
-    upto = lambda x: F.when(_in_run(x["w"], F.get("words", x["i"] + 1)), F.sequence(F.lit(1), F.lit(most))).otherwise(F.array(F.lit(1)))
+    left = lambda x: F.least(F.lit(most), F.size("words") - x["i"])
+    upto = lambda x: F.when(_in_run(x["w"], F.get("words", x["i"] + 1)), F.sequence(F.lit(1), left(x))).otherwise(F.array(F.lit(1)))
     each = F.flatten(F.transform(some, lambda x: F.transform(upto(x) if most > 1 else F.array(F.lit(1)), lambda n: place(x, n))))
     return df.select("key", F.inline(each)).join(known, "value").select("key", "kind", "start", "end").distinct()
 

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from oracle import connection, of_spark, of_sql
 from pyspark.sql import functions as F
+from test_growth import most_rows
 
 from medloom.llm import pii, quality, queries, shard
 
@@ -180,6 +181,22 @@ def discoveries(spark, texts):
     return {r.text[s.start : s.end] for r in rows for s in r.spans if not s.base}
 
 
+def test_spans_end_inside_their_text(spark):
+    rows = [f"please call me +1 (555) 010-{1000 + i} thanks" for i in range(12)] + ["please call me 030 1234 567 890", "desk 030 1234 567 890", "please call me 555 010-7000", "desk 555 010-7000"]
+    found = pii.find_personal(spark.createDataFrame([*enumerate(rows)], "doc_id long, text string")).collect()
+    ends = {r.doc_id: [(s.start, s.end) for s in r.spans if not s.base] for r in found}
+    assert [ends[k] for k in (12, 13, 14, 15)] == [[(15, 31)], [(5, 21)], [(15, 27)], [(5, 17)]]
+
+
+def test_only_contexts_become_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([("it is said that you may call me 7 times or " * 50,)] * 40, "text string")
+    contexts = spark.createDataFrame([("call me",), ("never met",)], "context string")
+    rows, most = most_rows(pii._totals(pii.base_spans(docs), "text", contexts))
+    assert [tuple(r) for r in rows] == [("call me", 2000)] and most <= 2000
+    monkeypatch.setattr(pii, "FEW", 1)
+    assert [tuple(r) for r in pii._totals(pii.base_spans(docs), "text", contexts).collect()] == [("call me", 2000)]
+
+
 def test_contexts_count_in_all_documents(spark):
     rows = [f"please call me +1 (555) 010-{1000 + i} thanks" for i in range(12)] + ["please call me 555-010-7000 thanks"]
     assert discoveries(spark, rows) == {"555-010-7000"}
