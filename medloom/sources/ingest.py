@@ -17,8 +17,8 @@ from medloom.operators import resolve as R
 from medloom.operators.rules import naming
 from medloom.sources.files import bucketed
 
-# Fixed value: MedDRA's word for a preferred term.
-PREFERRED = "PT"
+# MedDRA's word for a preferred term, and the rows that one task looks for distinct ones among.
+PREFERRED, ROWS = "PT", 200_000
 
 
 def _resolved(rows: DataFrame, column: str, known: DataFrame) -> DataFrame:
@@ -186,7 +186,11 @@ def herb_rules(herbs: DataFrame, drugs: DataFrame) -> DataFrame:
     known = drugs.select("drug", T.lookup_key(F.col("drug")).alias("n"), T.lookup_key(F.col("class")).alias("c"))
     by_name = naming(keyed, "t", known.select("n"), "n").join(known, "n").select("t", "drug")
     by_class = naming(keyed, "t", known.select("c"), "c", least=1).join(known, "c").select("t", "drug")
-    return keyed.join(by_name.union(by_class).distinct(), "t").select("herb", "drug", "severity").distinct()
+    met = by_name.union(by_class).distinct()
+    # dealt by how many rows there are, so that what finds the distinct ones does not grow with the herbs of a file
+    each = keyed.groupBy("t").agg(F.count("*").alias("herbs")).join(met.groupBy("t").agg(F.count("*").alias("drugs")), "t")
+    rows = each.agg(F.sum(F.col("herbs") * F.col("drugs"))).first()[0] or 0
+    return keyed.join(met, "t").select("herb", "drug", "severity").repartition(1 + rows // ROWS, "herb", "drug").distinct()
 
 
 def criteria_pairs(document: DataFrame) -> DataFrame:

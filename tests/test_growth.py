@@ -123,3 +123,13 @@ def test_names_that_differ_in_one_letter_meet_at_its_place_only(spark):
     near = {(a, b) for a in names for b in names if a != b and sum(x != y for x, y in zip(a, b, strict=True)) == 1}
     assert {(r.a, r.b) for r in rows} == near | {("aspirinnn", "aspirinnnn"), ("aabaabaab", "aabaabaaab")}
     assert most < 30 * len(names)
+
+
+def test_herb_rules_are_dealt_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "ROWS", 50)
+    herbs = spark.range(100).select(F.col("id").alias("herb"), F.lit("any statin or garlicin").alias("term"), F.lit("major").alias("severity")).repartition(1)
+    drugs = spark.createDataFrame([("garlicin", "x"), ("simva", "statin"), ("garlicin", "statin")], "drug string, class string")
+    rules = ingest.herb_rules(herbs.union(herbs), drugs)
+    shares = [r["count"] for r in rules.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == 200 and len(shares) > 4 and max(shares) < 80
+    assert {(r.herb, r.drug) for r in rules.collect()} == {(h, d) for h in range(100) for d in ("garlicin", "simva")}
