@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from medloom.operators import graph as G
 from medloom.operators import fuzzy, paths, report, safety, support
+from medloom.plans import standin
 from medloom.sources import ingest
 
 
@@ -133,3 +134,11 @@ def test_herb_rules_are_dealt_by_their_rows(spark, monkeypatch):
     shares = [r["count"] for r in rules.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(shares) == 200 and len(shares) > 4 and max(shares) < 80
     assert {(r.herb, r.drug) for r in rules.collect()} == {(h, d) for h in range(100) for d in ("garlicin", "simva")}
+
+
+def test_direct_edges_are_dealt_by_the_lines(spark, small, monkeypatch):
+    monkeypatch.setattr(standin, "LINES", 500)
+    shares = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    for df in (standin.direct_edges(spark, small), standin.dealt_edges(spark, small), standin.dealt_edges(spark, small).groupBy("lo", "hi").count()):
+        each = shares(df)
+        assert len(each) > 8 and max(each) < 2 * sum(each) / len(each)
