@@ -142,3 +142,41 @@ def test_direct_edges_are_dealt_by_the_lines(spark, small, monkeypatch):
     for df in (standin.direct_edges(spark, small), standin.dealt_edges(spark, small), standin.dealt_edges(spark, small).groupBy("lo", "hi").count()):
         each = shares(df)
         assert len(each) > 8 and max(each) < 2 * sum(each) / len(each)
+
+
+def test_nodes_with_the_same_neighbours_are_reached_together(spark):
+    """The pairs of 400 leaves of a hub are made last: no step deals them out."""
+    star = spark.range(400).select(F.concat(F.lit("s"), "id").alias("src"), F.lit("n").alias("dst"))
+    df = G.reachable(star, star.select(F.col("src").alias("start")), 3)
+    assert df.groupBy("hops").count().sort("hops").collect() == [(0, 400), (1, 400), (2, 400 * 399)]
+    df.collect()
+    dealt, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name, count = node.getClass().getSimpleName(), node.metrics().get("shuffleRecordsWritten")
+        if count.isDefined():
+            dealt.append(count.get().value())
+        todo += [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+    assert dealt and max(dealt) < 5000
+
+
+def test_reachability_of_loops_twins_and_nulls(spark, monkeypatch):
+    monkeypatch.setattr(G, "IN_A_BUNDLE", 2)
+    monkeypatch.setattr(G, "REACHED", 10)
+    pairs = [(i, (i * i * 7 + 3) % 23) for i in range(40)] + [(50, 3), (51, 3), (52, 3), (60, 61), (70, 70), (80, 80), (81, 81), (80, 81), (5, None), (None, 6), (90, None)]
+    starts = [*range(0, 40, 3), 50, 51, 52, 60, 61, 70, 80, 81, 90, 99, 5, 5, None]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    wanted = []
+    for start in starts:
+        wanted.append((str(start), str(start), 0))
+    for start in set(starts) - {None}:
+        seen, front = {start}, {start}
+        for hop in range(1, 4):
+            front = {b for a in front if a is not None for b in near.get(a, ())} - seen
+            seen |= front
+            wanted += [(str(start), str(node), hop) for node in front]
+    found = G.reachable(spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(s,) for s in starts], "start long"), 3)
+    assert sorted((str(r.start), str(r.node), r.hops) for r in found.collect()) == sorted(wanted)
