@@ -7,8 +7,9 @@ from itertools import product
 from pyspark.sql import functions as F
 
 from medloom.operators import graph as G
-from medloom.operators import fuzzy, paths, report, safety, support
-from medloom.plans import standin
+from medloom.functions import text
+from medloom.operators import fuzzy, medicines, paths, report, safety, support
+from medloom.plans import queries, reading, standin
 from medloom.sources import ingest
 
 
@@ -180,3 +181,12 @@ def test_reachability_of_loops_twins_and_nulls(spark, monkeypatch):
             wanted += [(str(start), str(node), hop) for node in front]
     found = G.reachable(spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(s,) for s in starts], "start long"), 3)
     assert sorted((str(r.start), str(r.node), r.hops) for r in found.collect()) == sorted(wanted)
+
+
+def test_variants_of_a_brand_are_computed_once(spark):
+    df = spark.createDataFrame([("Crocin650mg Tablet",), ("tablet",), ("5 ml drops",), (None,), ("",)], "raw string")
+    plan = df.select(text.brand_variants(F.col("raw")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") < 20
+    found = {r.raw: r.v for r in df.select("raw", text.brand_variants(F.col("raw")).alias("v")).collect()}
+    assert found["Crocin650mg Tablet"] == ["crocin 650 mg tablet", "crocin 650 mg", "crocin 650mg", "crocin 650", "crocin", "650 crocin"]
+    assert found["tablet"] == ["tablet"] and found["5 ml drops"] == ["5 ml drops", "5 ml", "5"] and found[""] == [] and not found[None]
