@@ -52,13 +52,16 @@ def food_and_herb(rows: DataFrame) -> DataFrame:
     )
     rank = F.col("evidence_rank")
     rows = rows.withColumns({"rank": S.ranked(severity, S.SEVERITY_RANK, 1), "evidence_rank": S.ranked(F.col("evidence"), S.EVIDENCE_RANK, 0)})
-    first = rows.where("effect is not null").groupBy("herb", "drug", "effect").agg(F.min("seq").alias("seq"))
-    four = M.top_per_key(first, ["herb", "drug"], [F.col("seq"), F.col("effect")], 4).groupBy("herb", "drug")
-    four = four.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "effect"))), lambda m: m["effect"]), " | ").alias("mechanism"))
-    best = rows.groupBy("herb", "drug").agg(
-        F.max("rank").alias("severity_rank"), F.max(rank).alias("evidence_rank"), F.max_by("effect", F.struct(rank, -F.col("seq"))).alias("effect"), F.count("*").alias("n_studies"),
+    # one pass: each effect of a pair first, its place among the pair's effects (none last), then the pair
+    effects = rows.groupBy("herb", "drug", "effect").agg(
+        F.min("seq").alias("seq"), F.max("rank").alias("rank"), F.max(F.struct(rank, -F.col("seq"))).alias("best"), F.count("*").alias("n")
+    )
+    at = F.row_number().over(W.partitionBy("herb", "drug").orderBy(F.col("effect").isNull(), "seq", "effect"))
+    four = F.array_sort(F.collect_list(F.when((F.col("at") <= 4) & F.col("effect").isNotNull(), F.struct("at", "effect"))))
+    return effects.withColumn("at", at).groupBy("herb", "drug").agg(
+        F.max("rank").alias("severity_rank"), F.max("best.evidence_rank").alias("evidence_rank"), F.max_by("effect", "best").alias("effect"),
+        F.array_join(F.transform(four, lambda m: m["effect"]), " | ").alias("mechanism"), F.sum("n").alias("n_studies"),
     )
-    return best.join(four, ["herb", "drug"], "left").select("herb", "drug", "severity_rank", "evidence_rank", "effect", F.coalesce("mechanism", F.lit("")).alias("mechanism"), "n_studies")
 
 
 def herb_nodes(rows: DataFrame) -> DataFrame:

@@ -190,3 +190,12 @@ def test_variants_of_a_brand_are_computed_once(spark):
     found = {r.raw: r.v for r in df.select("raw", text.brand_variants(F.col("raw")).alias("v")).collect()}
     assert found["Crocin650mg Tablet"] == ["crocin 650 mg tablet", "crocin 650 mg", "crocin 650mg", "crocin 650", "crocin", "650 crocin"]
     assert found["tablet"] == ["tablet"] and found["5 ml drops"] == ["5 ml drops", "5 ml", "5"] and found[""] == [] and not found[None]
+
+
+def test_herbs_and_food_are_read_once(spark):
+    rows = [("d", "h", "k", f"alters {i % 6}", "Strong" if i == 7 else None, i) for i in range(12)] + [("d", "h", "k", "n/a", "strong", 3), ("d", None, "k", "x", "weak", 1), ("d", "h", "k", "No effect", "strong", 0)]
+    df = ingest.food_and_herb(spark.createDataFrame(rows, "drug string, herb string, kind string, effect string, evidence string, seq int"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") == 1
+    (row,) = df.collect()
+    assert (row.effect, row.mechanism, row.n_studies) == (None, "alters 0 | alters 1 | alters 2 | alters 3", 13)
