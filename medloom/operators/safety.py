@@ -24,13 +24,14 @@ def direct(baskets: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def metabolic(
-    baskets: DataFrame, changes: DataFrame, substrates: DataFrame, drugs: DataFrame, induces: bool = False, met: DataFrame | None = None
+    baskets: DataFrame, changes: DataFrame, substrates: DataFrame, drugs: DataFrame, induces: bool = False, met: DataFrame | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Drugs that inhibit (or induce) what metabolises another: score and confidence of each path.
 
     changes: src, dst, strength, confidence; substrates: src, dst, fraction, confidence; drugs: drug, nti.
     """
-    paths = G.two_hop(baskets, changes, substrates, "patient", "drug", carried=("age",), met=met)
+    paths = G.two_hop(baskets, changes, substrates, "patient", "drug", carried=("age",), met=met, parts=parts)
     paths = paths.join(drugs.select(F.col("drug").alias("b"), "nti"), "b")
     nti, age = F.coalesce("nti", F.lit(False)), F.col("age")
     score = S.induction_score(nti, age) if induces else S.inhibition_score(F.col("a_strength"), F.col("b_fraction"), nti, age)
@@ -39,9 +40,9 @@ def metabolic(
     return paths.select("patient", "a", "b", "mid", kind.alias("mechanism"), score.alias("score"), confidence.alias("confidence"))
 
 
-def shared_effect(baskets: DataFrame, causes: DataFrame, effect: str, met: DataFrame | None = None) -> DataFrame:
+def shared_effect(baskets: DataFrame, causes: DataFrame, effect: str, met: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """Pairs of drugs that cause the same effect (qt, cns)."""
-    pairs = G.shared_neighbour(baskets, causes, "patient", "drug", ("age",), met)
+    pairs = G.shared_neighbour(baskets, causes, "patient", "drug", ("age",), met, parts)
     return pairs.select(
         "patient", "a", "b", "mid", F.lit(effect).alias("mechanism"), S.effect_score(effect, F.col("age")).alias("score"),
         S.path_confidence(F.col("a_confidence"), F.col("b_confidence")).alias("confidence"),

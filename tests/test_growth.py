@@ -199,3 +199,11 @@ def test_herbs_and_food_are_read_once(spark):
     assert "Join" not in plan and plan.count("LogicalRDD") == 1
     (row,) = df.collect()
     assert (row.effect, row.mechanism, row.n_studies) == (None, "alters 0 | alters 1 | alters 2 | alters 3", 13)
+
+
+def test_findings_are_dealt_by_the_lines(spark, small, monkeypatch):
+    monkeypatch.setattr(standin, "LINES", 500)
+    shares = [r["count"] for r in queries._findings(spark, small).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) > 8 and max(shares) < 3 * sum(shares) / len(shares)
+    shares = [r["count"] for r in queries.ranked_ids(spark, small).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) > 8 and max(shares) < 3 * sum(shares) / len(shares)
