@@ -137,19 +137,21 @@ def enriched(entries: DataFrame, key: str, known: DataFrame) -> DataFrame:
     one = known.groupBy("key").agg(F.min(F.struct("entity", "match_type")).alias("hit"))
     flat = entries.select(key, F.posexplode("ingredients").alias("at", "i")).where(F.trim(F.coalesce("i.name", F.lit(""))) != "")
     flat = flat.withColumn("key", text.lookup_key(F.col("i.name"))).join(one, "key", "left")
+    name, dose = F.coalesce("hit.entity", F.trim("i.name")), F.trim(F.coalesce("i.dose", F.lit("")))
+    # nk and dk, by which ingredients are compared, are made once an ingredient
     item = F.struct(
-        "at", F.coalesce("hit.entity", F.trim("i.name")).alias("name"), F.trim(F.coalesce("i.dose", F.lit(""))).alias("dose"), F.col("hit").isNotNull().alias("met"),
-        F.coalesce("hit.match_type", F.lit("not_found")).alias("match_type"),
+        "at", name.alias("name"), dose.alias("dose"), F.col("hit").isNotNull().alias("met"), F.coalesce("hit.match_type", F.lit("not_found")).alias("match_type"),
+        _key(name).alias("nk"), _dose_key(dose).alias("dk"),
     )
-    lists = flat.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("all"))
+    lists = flat.select(key, item.alias("item")).groupBy(key).agg(F.array_sort(F.collect_list("item")).alias("all"))
     taken = F.transform(F.filter("all", lambda x: x["met"] & (x["dose"] != "")), lambda x: F.lower(x["dose"]))
     left = F.filter("all", lambda x: x["met"] | ~F.array_contains(taken, F.lower(x["dose"])))
     lists = lists.select(key, left.alias("all"))
-    same = lambda x, y: (_key(x["name"]) == _key(y["name"])) & (_dose_key(x["dose"]) == _dose_key(y["dose"]))
+    same = lambda x, y: (x["nk"] == y["nk"]) & (x["dk"] == y["dk"])
     first = F.filter("all", lambda x: ~F.exists("all", lambda y: (y["at"] < x["at"]) & same(x, y)))
     lists = lists.select(key, first.alias("_found"))
 
-    none = F.array().cast("array<struct<at:int,name:string,dose:string,met:boolean,match_type:string>>")
+    none = F.array().cast("array<struct<at:int,name:string,dose:string,met:boolean,match_type:string,nk:string,dk:string>>")
     rows = entries.join(lists, key, "left").withColumn("_found", F.coalesce("_found", none))
     asked = rows.withColumn("key", text.lookup_key(F.coalesce("generic_name", F.lit(""))))
     rows = asked.join(one.withColumnRenamed("hit", "_g"), "key", "left").drop("key")
@@ -172,13 +174,13 @@ def signature(ingredients: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(some)), "+")
 
 
-def preference(entry: str = "entry") -> Column:
-    """What makes one of several equal entries the preferred one; of equal ones the first."""
+def preference(entry: str, mark: Column, quality: Column) -> Column:
+    """What makes one of several equal entries, of a signature and a brand's quality, the preferred one; of equal ones the first."""
     worth = F.create_map(*[F.lit(x) for item in MATCH_WORTH.items() for x in item])
-    many = F.size(F.filter(F.split(signature(F.col("ingredients")), r"\+"), lambda s: s != ""))
+    many = F.size(F.filter(F.split(mark, r"\+"), lambda s: s != ""))
     return F.struct(
         F.coalesce(F.col("graph_match"), F.lit(False)).cast("int").alias("p0"), F.coalesce(F.element_at(worth, _key(F.col("match_type"))), F.lit(0)).alias("p1"), many.alias("p2"),
-        (_key(F.col("generic_name")) != "").cast("int").alias("p3"), brand_quality(F.col("brand_name")).alias("p4"),
+        (_key(F.col("generic_name")) != "").cast("int").alias("p3"), quality.alias("p4"),
         F.coalesce("confidence", F.lit(0.0)).alias("p5"), F.length(F.trim(F.coalesce("brand_name", F.lit("")))).alias("p6"), (-F.col(entry)).alias("p7"),
     )
 
@@ -186,11 +188,12 @@ def preference(entry: str = "entry") -> Column:
 def deduped(entries: DataFrame, doc: str, entry: str = "entry") -> DataFrame:
     """One entry for each document and signature (generic name, ingredients, form): the preferred one, with the most telling
     brand, the highest confidence and the longest list of ingredients of all of them; `entry` is the smallest number."""
-    mark = signature(F.col("ingredients"))
-    anchor = F.when(_key(F.col("generic_name")) != "", _key(F.col("generic_name"))).when(mark != "", mark).otherwise(_key(F.col("brand_name")))
-    own = entries.withColumns({"_a": anchor, "_m": mark, "_f": _key(F.col("dosage_form")), "_p": preference(entry)})
+    own = entries.withColumns({"_m": signature(F.col("ingredients")), "_q": brand_quality(F.col("brand_name")), "_n": _key(F.col("generic_name"))})
+    mark, name = F.col("_m"), F.col("_n")
+    anchor = F.when(name != "", name).when(mark != "", mark).otherwise(_key(F.col("brand_name")))
+    own = own.withColumns({"_a": anchor, "_f": _key(F.col("dosage_form")), "_p": preference(entry, mark, F.col("_q"))})
     take = lambda c: F.max_by(F.col(c), F.col("_p")).alias(c)
-    brand = F.max_by("brand_name", F.struct(brand_quality(F.col("brand_name")), "_p"))
+    brand = F.max_by("brand_name", F.struct("_q", "_p"))
     size = F.max_by("ingredients", F.struct(F.size("ingredients"), "_p"))
     best = own.groupBy(doc, "_a", "_m", "_f").agg(
         F.min(entry).alias(entry), brand.alias("brand_name"), take("generic_name"), size.alias("ingredients"), take("dosage_form"),
@@ -199,19 +202,21 @@ def deduped(entries: DataFrame, doc: str, entry: str = "entry") -> DataFrame:
     return best.drop("_a", "_m", "_f")
 
 
-def merged(entries: DataFrame, doc: str, entry: str = "entry") -> DataFrame:
+def merged(entries: DataFrame, doc: str, entry: str = "entry", parts: int | None = None) -> DataFrame:
     """One entry for each document and brand (or generic name where there is no brand): the first value of each column that is
-    not blank, the highest confidence, and all distinct ingredients in order of first mention."""
+    not blank, the highest confidence, and all distinct ingredients in order of first mention. `parts`: how many parts the groups
+    are dealt to, for all steps."""
     blank = lambda c: F.trim(F.coalesce(c, F.lit("")))
     by = F.when(blank("brand_name") != "", F.concat(F.lit("b:"), F.lower(blank("brand_name")))).otherwise(F.concat(F.lit("g:"), F.lower(blank("generic_name"))))
     first = lambda c: F.min_by(c, F.when(blank(c) != "", F.col(entry))).alias(c)
-    groups = entries.withColumn("_k", by)
-    heads = groups.groupBy(doc, "_k").agg(F.min(entry).alias(entry), first("brand_name"), first("generic_name"), first("dosage_form"), F.max("confidence").alias("confidence"))
-    items = groups.select(doc, "_k", entry, F.posexplode("ingredients").alias("at", "i"))
+    # a struct is never null itself, so groups without a document meet by plain equality
+    groups = entries.withColumn("_g", F.struct(F.col(doc).alias("doc"), by.alias("k")))
+    groups = groups.repartition(parts, "_g") if parts else groups
+    heads = groups.groupBy("_g").agg(F.first(doc).alias(doc), F.min(entry).alias(entry), first("brand_name"), first("generic_name"), first("dosage_form"), F.max("confidence").alias("confidence"))
+    items = groups.select("_g", entry, F.posexplode("ingredients").alias("at", "i"))
     pair = F.lower(F.coalesce("i.name", F.lit(""))), F.lower(F.coalesce("i.dose", F.lit("")))
     items = items.withColumns({"_n": pair[0], "_d": pair[1]}).where("_n <> '' or _d <> ''")
-    items = items.groupBy(doc, "_k", "_n", "_d").agg(F.min(F.struct(entry, "at", "i")).alias("x"))
-    lists = items.groupBy(doc, "_k").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["i"]).alias("ingredients"))
-    same = F.col(doc).eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_k2"))
-    rows = heads.join(lists.withColumnsRenamed({doc: "_doc", "_k": "_k2"}), same, "left")
+    items = items.groupBy("_g", "_n", "_d").agg(F.min(F.struct(entry, "at", "i")).alias("x"))
+    lists = items.groupBy("_g").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["i"]).alias("ingredients"))
+    rows = heads.join(lists, "_g", "left")
     return rows.select(doc, entry, "brand_name", "generic_name", F.coalesce("ingredients", F.array().cast(INGREDIENTS)).alias("ingredients"), "dosage_form", "confidence")

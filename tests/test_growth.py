@@ -207,3 +207,22 @@ def test_findings_are_dealt_by_the_lines(spark, small, monkeypatch):
     assert len(shares) > 8 and max(shares) < 3 * sum(shares) / len(shares)
     shares = [r["count"] for r in queries.ranked_ids(spark, small).groupBy(F.spark_partition_id()).count().collect()]
     assert len(shares) > 8 and max(shares) < 3 * sum(shares) / len(shares)
+
+
+def test_entries_and_names_are_dealt_by_the_lines(spark, small, monkeypatch):
+    monkeypatch.setattr(standin, "LINES", 500)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for name, df in (("united", reading.united_entries(spark, small)), ("merged", reading.merged_entries(spark, small)), ("named", queries._named(spark, small)), ("class", queries.duplicate_class(spark, small))):
+            shares = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+            assert len(shares) > 8 and max(shares) < 3 * sum(shares) / len(shares), name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_entries_without_a_document_are_united(spark):
+    schema = "doc int, entry int, brand_name string, generic_name string, ingredients array<struct<name:string,dose:string>>, dosage_form string, confidence double"
+    rows = [(None, 1, "A", None, [("x", "1")], None, 0.1), (None, 2, "a", "g", [("X", "1"), ("y", None)], "f", 0.2), (3, 1, "A", None, None, None, 0.3)]
+    for parts in (None, 3):
+        found = {r.doc: (r.entry, r.generic_name, [i.name for i in r.ingredients], r.confidence) for r in medicines.merged(spark.createDataFrame(rows, schema), "doc", parts=parts).collect()}
+        assert found == {None: (1, "g", ["x", "y"], 0.2), 3: (1, None, [], 0.3)}
