@@ -213,7 +213,7 @@ def test_entries_and_names_are_dealt_by_the_lines(spark, small, monkeypatch):
     monkeypatch.setattr(standin, "LINES", 500)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        for name, df in (("united", reading.united_entries(spark, small)), ("merged", reading.merged_entries(spark, small)), ("named", queries._named(spark, small)), ("class", queries.duplicate_class(spark, small))):
+        for name, df in (("united", reading.united_entries(spark, small)), ("merged", reading.merged_entries(spark, small)), ("named", queries._named(spark, small)), ("class", queries.duplicate_class(spark, small)), ("variants", queries.search_variants(spark, small))):
             shares = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
             assert len(shares) > 8 and max(shares) < 3 * sum(shares) / len(shares), name
     finally:
