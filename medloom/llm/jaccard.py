@@ -9,10 +9,11 @@ Two documents link when their sets of 5-word shingles have a Jaccard similarity
    those that only one set has are dropped; the frequent ones, which could fill a part, are rows of their own.
 3. Equal sets are one node. Nodes next to each other under a key are compared, in an order that changes from round to
    round, which joins whole groups of near copies by chains instead of by all pairs.
-4. What is still open is cut into tiles by key, size band and hash, and pairs of tiles meet as Spark groups of bounded
-   size. Sizes of linked sets differ by a third at most, so only bands next to each other meet. Of the sets under keys
-   that fill several tiles, those with more than a seventh of shingles that no other such set has never link with each
-   other, so their tiles do not meet: pages of a common template with some text of their own are not compared.
+4. What is still open meets by key, as Spark groups of bounded size. Keys that fill several tiles are cut by size band and
+   hash, and pairs of tiles meet; sizes of linked sets differ by a third at most, so only bands next to each other do. Of
+   the sets under such keys, those with more than a seventh of shingles that no other such set has never link with each
+   other, so they are not compared: pages of a common template with some text of their own. Folded bitmaps are tested as
+   rows meet, and a pair that shares several keys is found under the smallest of them only: rows carry their smaller keys.
 
 Every candidate pair, of 3 and of 4, passes the bitmap bound first: with d differing bits two sets share at most
 (a + b - d) / 2 shingles. Bitmaps grow with the sets (a wide one is folded to meet a narrow one), so long sets do not
@@ -36,6 +37,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +54,8 @@ SLICE = 4 << 20
 #: Pairs that a task gathers before it hands on the distinct ones; neighbours compared in later rounds; open pairs a row
 #: that the last step may compare; rounds.
 HELD, REACH, FEW, MOST_ROUNDS = 1_000_000, 3, 0.5, 16
+#: Bytes of the bitmaps that rows of tiles carry, with few and with many pairs a row; smaller keys that they carry at most.
+TILE_BYTES, SMALLER_KEYS = (64, 1024), 12
 #: Size bands are a little wider than a factor of 4/3, so that linked sets are in the same or in neighbouring ones.
 BAND = math.log(1.334)
 
@@ -64,7 +68,7 @@ class Limits:
     frequent_rows: int = 2_000_000  # frequent shingles that may be broadcast
     salt_rows: int = 4096  # rows of a key that are dealt to one part
     tile: int = 1024  # nodes in a tile
-    light: float = 20  # pairs a row up to which pairs are gathered before their bitmaps are
+    light: float = 20  # pairs a row up to which rows of tiles carry short bitmaps
 
 
 LIMITS = Limits()
@@ -206,8 +210,8 @@ def node_of(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """As many bits as the set has members, doubled and rounded up to a power of two, 64 at least."""
-    width = max(64, 1 << (2 * len(s) - 1).bit_length())
+    """Four times as many bits as the set has members, rounded up to a power of two, 64 at least."""
+    width = max(64, 1 << (4 * len(s) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -493,31 +497,55 @@ class _Maps:
         return out
 
 
+def _together(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows of keys, filled up with -1, have a key in common."""
+    out = np.zeros(len(x), bool)
+    for c in range(x.shape[1]):
+        out |= ((y == x[:, c : c + 1]) & (x[:, c : c + 1] >= 0)).any(1)
+    return out
+
+
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the two tiles of a group (of a tile that is alone: of its rows) that the bitmaps, where rows carry them, do
-    not exclude."""
+    """Pairs of the two tiles of a group (of a tile that is alone: of its rows) that the bitmaps do not exclude and that
+    have no smaller key in common, as far as the rows carry these."""
     found = _Pairs()
     for piece in _runs(batches):
-        group, side, node, n, root = (piece.column(c).to_numpy() for c in ("group", "side", "node", "n", "root"))
+        group, side, node, n, root, crowd = (piece.column(c).to_numpy() for c in ("group", "side", "node", "n", "root", "crowd"))
         cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         ends = np.repeat(np.append(cuts[1:], len(group)), np.diff(np.append(cuts, len(group))))
         alone = np.repeat(np.add.reduceat(side, cuts) == 0, np.diff(np.append(cuts, len(group))))
-        maps = None if piece.column("bits").null_count else _Maps(piece.column("bits"))
+        maps, many = _Maps(piece.column("bits")), pa.compute.list_value_length(piece.column("smaller")).to_numpy()
+        keys = np.full((len(group), max(1, int(many.max()))), -1)
+        keys[np.arange(keys.shape[1]) < many[:, None]] = piece.column("smaller").flatten().to_numpy()
         i, step = np.arange(len(group)), 1
         while len(i := i[i + step < ends[i]]):
             j = i + step
             may = (root[i] != root[j]) & (alone[i] | (side[i] != side[j])) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
+            may &= (crowd[i] & crowd[j]) == 0
             p, q = i[may], j[may]
-            if maps and len(p):
+            if len(p):
                 likely = (n[p] + n[q] - maps.differ(p, q)) // 2 >= needed(n[p], n[q])
                 p, q = p[likely], q[likely]
-            found.add(node[p], node[q])
+            if len(p):
+                fresh = ~_together(keys[p], keys[q])
+                found.add(node[p[fresh]], node[q[fresh]])
             if found.full():
                 yield found.batch()
             step += 1
     yield found.batch()
 
 
+def _short(most: int):
+    """Rows (node, bits) with bitmaps of at most so many bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            bits = [folded(np.frombuffer(x.as_buffer(), np.uint8)[None, :], most).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["node", "bits"])
+
+    return run
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, shingles) as (node, member) for each shingle."""
     for batch in sliced(batches):
@@ -526,11 +554,10 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(member), node.as_py())), pa.array(member)], names=["node", "member"])
 
 
-def _crowd(rows: DataFrame, nodes: DataFrame, store: SetStore, tile: int) -> DataFrame:
-    """The nodes under keys of more than a tile that share so little with all others of them that no two of them link:
-    of a pair's union each one's own members, more than a seventh of it, would be missing in the intersection."""
-    big = rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > tile).select("key")
-    some = stored(nodes.join(rows.join(big, "key", "left_semi").select("node").distinct(), "node", "left_semi").select("node", "n"), "shingle-crowd")
+def _crowd(rows: DataFrame, nodes: DataFrame, store: SetStore) -> DataFrame:
+    """Of the rows under keys of several tiles, the nodes that share so little with all others of them that no two of them
+    link: of a pair's union each one's own members, more than a seventh of it, would be missing in the intersection."""
+    some = stored(nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "n"), "shingle-crowd")
     if some.isEmpty():
         return some.select("node", F.lit(1).alias("crowd"))
     sets = store.of(some.select("node")).join(some, "node", "left_semi").dropDuplicates(["node"])
@@ -540,9 +567,8 @@ def _crowd(rows: DataFrame, nodes: DataFrame, store: SetStore, tile: int) -> Dat
     return own.where("7 * own > n").select("node", F.lit(1).alias("crowd"))
 
 
-def _tile_pairs(rows: DataFrame, nodes: DataFrame, store: SetStore, per_tile: int, with_bits: bool) -> DataFrame:
-    """Pairs (a, b) of the open rows (key, node, n, root) that may link; with_bits: tested as they meet, not afterwards."""
-    crowd = stored(_crowd(rows, nodes, store, per_tile), "shingle-crowd")
+def _met_tiles(rows: DataFrame, crowd: DataFrame, per_tile: int) -> DataFrame:
+    """Rows (key, node, n) of keys of several tiles as (group, side, key, node), for each pair of tiles that meet."""
     rows = rows.join(crowd, "node", "left").fillna(0, ["crowd"])
     rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / BAND).cast("int"))
     sizes = rows.groupBy("key", "band", "crowd").agg(F.ceil(F.count("*") / per_tile).cast("int").alias("tiles"))
@@ -561,13 +587,29 @@ def _tile_pairs(rows: DataFrame, nodes: DataFrame, store: SetStore, per_tile: in
         twins = upto(own, F.col("tiles_x") - 1) if c == "x" else upto(F.lit(0), own - 1)
         others = F.when(one, twins).otherwise(upto(F.lit(0), F.col(f"tiles_{o}") - 1))
         mine = mine.withColumn(f"tile_{o}", F.explode(others))
-        return mine.select("key", "band_x", "band_y", "crowd_x", "crowd_y", "tile_x", "tile_y", F.lit(0 if c == "x" else 1).alias("side"), "node", "n", "root")
-
-    both = side("x", "y").unionByName(side("y", "x"))
-    both = both.join(nodes.select("node", "bits"), "node") if with_bits else both.withColumn("bits", F.lit(None).cast("binary"))
-    both = both.withColumn("group", F.xxhash64("key", "band_x", "band_y", "crowd_x", "crowd_y", "tile_x", "tile_y"))
-    spread = both.select("group", "side", "node", "n", "root", "bits").repartition("group").sortWithinPartitions("group", "side")
-    return spread.mapInArrow(_tiles, "a long, b long")
+        group = F.xxhash64("key", "band_x", "band_y", "crowd_x", "crowd_y", "tile_x", "tile_y")
+        return mine.select(group.alias("group"), F.lit(0 if c == "x" else 1).alias("side"), "key", "node")
+
+    return side("x", "y").unionByName(side("y", "x"))
+
+
+def _tile_pairs(rows: DataFrame, nodes: DataFrame, store: SetStore, per_tile: int, bits_bytes: int) -> DataFrame:
+    """Pairs (a, b) of the open rows (key, node, n, root) that may link, each once if its nodes' smallest common key is
+    among the SMALLER_KEYS smallest of both."""
+    many = rows.groupBy("key").agg(F.count("*").alias("c"))
+    big = stored(many.where(F.col("c") > per_tile).select("key"), "shingle-big")
+    wide = rows.join(big, "key", "left_semi")
+    crowd = stored(_crowd(wide, nodes, store), "shingle-crowd")
+    met = rows.join(big, "key", "left_anti").select(F.xxhash64("key").alias("group"), F.lit(0).alias("side"), "key", "node")
+    if not big.isEmpty():
+        met = met.unionByName(_met_tiles(wide, crowd, per_tile))
+    first = F.slice(F.array_sort(F.collect_set("key")), 1, SMALLER_KEYS).alias("keys")
+    known = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), first)
+    bits = nodes.select("node", "bits").mapInArrow(_short(bits_bytes), "node long, bits binary")
+    known = known.join(bits, "node").join(crowd, "node", "left").fillna(0, ["crowd"])
+    smaller = F.filter("keys", lambda k: k < F.col("key")).alias("smaller")
+    spread = met.join(known, "node").select("group", "side", "node", "n", "root", "crowd", "bits", smaller)
+    return spread.repartition("group").sortWithinPartitions("group", "side").mapInArrow(_tiles, "a long, b long")
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -693,7 +735,7 @@ def components_of(rows: DataFrame, nodes: DataFrame, store: SetStore, limits: Li
             break
     if not pairs:
         return roots
-    tiled = _tile_pairs(rows.drop("parts"), nodes, store, limits.tile, pairs > limits.light * total)
+    tiled = _tile_pairs(rows.drop("parts"), nodes, store, limits.tile, TILE_BYTES[pairs > limits.light * total])
     return _merged(roots, verified(tiled, nodes, store, False))
 
 

@@ -85,6 +85,21 @@ def test_hot_keys_are_cut_up_without_losing_links(spark, rows):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(df, limits=limits).collect()} == groups(texts)
 
 
+def test_pair_of_many_keys_is_found_once(spark):
+    """Under the smallest common key only, in whatever task the others are; unlike sets go where they meet."""
+    rng = np.random.default_rng(9)
+    a = np.unique(rng.integers(0, 2**64, 200, dtype=np.uint64))
+    sets = [a, np.unique(np.append(a[5:], rng.integers(0, 2**64, 5, dtype=np.uint64))), np.unique(rng.integers(0, 2**64, 200, dtype=np.uint64))]
+    nodes = spark.createDataFrame([(i, len(x), bytearray(jaccard.bitmap(x)), i) for i, x in enumerate(sets)], "node long, n long, bits binary, mark long")
+    rows = spark.createDataFrame([(key, i, len(x), i) for key in range(10) for i, x in enumerate(sets)], "key long, node long, n long, root long")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert [tuple(r) for r in jaccard._tile_pairs(rows, nodes, None, 1024, 64).collect()] == [(0, 1)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_packed_numbers():
     x = np.random.default_rng(3).integers(0, 2**32, 1000, dtype=np.uint32)
     assert (jaccard._numbers(jaccard._planes(x)) == x).all()
