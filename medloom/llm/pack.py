@@ -33,6 +33,8 @@ from pyspark.sql import Window as W
 from medloom.llm.common import stored
 
 CAPACITY, END_ID, TABLE_WORDS, ROWS, BUCKET_ROWS = 4096, 1, 400_000, 1000, 4096
+#: Words that go through the tokenizer at a time: what it holds of each takes far more memory than its ids.
+ENCODED = 2048
 PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -104,13 +106,15 @@ class TokenTable(dict):
             self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
         plain = np.fromiter((bool(_ONE_PIECE.fullmatch(w)) for w in self.waiting), bool, len(rows))
         for some in (plain, ~plain):
-            ids, lens = self._encode([w for w, s in zip(self.waiting, some, strict=True) if s])
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.starts[rows[some]] = self.used + np.cumsum(lens) - lens
-            self.lens[rows[some]] = lens
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+            mine = np.flatnonzero(some)
+            for part in np.split(mine, range(ENCODED, len(mine), ENCODED)):
+                ids, lens = self._encode([self.waiting[k] for k in part])
+                while self.used + len(ids) > len(self.ids):
+                    self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+                self.starts[rows[part]] = self.used + np.cumsum(lens) - lens
+                self.lens[rows[part]] = lens
+                self.ids[self.used : self.used + len(ids)] = ids
+                self.used += len(ids)
         self.waiting = []
 
     def rows(self, text: bytes | None) -> np.ndarray:

@@ -100,6 +100,30 @@ def test_pair_of_many_keys_is_found_once(spark):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+def test_few_words_go_through_the_tokenizer_at_a_time():
+    table, most = pack.TokenTable(public_tokenizers.path("word_bpe_49k.json")), []
+
+    class Seen:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode(self, text, **options):
+            most.append(len(text.split()))
+            return self.tokenizer.encode(text, **options)
+
+        def encode_batch(self, texts, **options):
+            most.append(len(texts))
+            return self.tokenizer.encode_batch(texts, **options)
+
+    rng, plain = random.Random(8), table.tokenizer
+    table.tokenizer = Seen(plain)
+    text = " ".join(f"{words(rng, 1)}{'abcdefghij'[i % 10]}{'' if i % 3 else i}" for i in range(30_000))
+    rows = table.rows(text.encode())
+    table.learn()
+    assert table.encoded(rows).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(table) > 5000 and max(most) <= 2048
+
+
 def test_packed_numbers():
     x = np.random.default_rng(3).integers(0, 2**32, 1000, dtype=np.uint32)
     assert (jaccard._numbers(jaccard._planes(x)) == x).all()
