@@ -32,6 +32,19 @@ def most_rows(df):
     return rows, most
 
 
+def broadcast_rows(df):
+    """Collected rows, and the most rows that one broadcast of the executed plan sends to every task."""
+    rows = df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "BroadcastExchangeExec":
+            most = max(most, node.metrics().get("numOutputRows").get().value())
+        todo += [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+    return rows, most
+
+
 def test_two_hops_list_no_edges_of_what_does_not_meet(spark):
     baskets = spark.range(100).select(F.col("id").alias("patient"), F.explode(F.array(F.lit(1), F.lit(2))).alias("drug"))
     edges = lambda src, start: spark.range(start, start + 200).select(F.lit(src).alias("src"), F.col("id").alias("dst"))
@@ -73,6 +86,16 @@ def test_herbs_reach_drugs_once_for_all_patients(spark):
     assert most < 1000
 
 
+def test_edges_of_herbs_are_not_broadcast(spark):
+    """Edges that an explode makes are taken for as few as what it starts from."""
+    baskets = spark.range(30).select(F.col("id").alias("patient"), F.col("id").alias("drug"), F.lit(70).alias("age"))
+    herbs = baskets.select("patient", (F.col("patient") % 3).alias("herb"))
+    edges = spark.range(100).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(98).cast("long"), F.lit(2).cast("long"))).alias("src"), F.col("id").alias("dst"), F.lit("major").alias("severity"))
+    none = spark.createDataFrame([], "src long, dst long")
+    rows, most = broadcast_rows(safety.with_herbs(herbs, baskets, edges, none, none))
+    assert sorted((r.patient, r.herb) for r in rows) == [(p, p % 3) for p in range(30) if p % 3 != 1] and most < 1000
+
+
 def test_best_edges_are_chosen_before_patients(spark):
     baskets = spark.range(100).select(F.col("id").alias("patient"), F.explode(F.array(F.lit(1), F.lit(2))).alias("drug"))
     edge = spark.range(100).select(F.lit(1).alias("lo"), F.lit(2).alias("hi"), F.lit("major").alias("severity"), F.lit("s").alias("source"), F.lit(1).alias("source_rank"),
