@@ -150,6 +150,17 @@ def test_names_that_differ_in_one_letter_meet_at_its_place_only(spark):
     assert most < 30 * len(names)
 
 
+def test_grams_of_names_are_not_broadcast(spark):
+    """Names compress to almost nothing, and their grams are many."""
+    names = [f"customer {k:09d}" for k in range(1500)]
+    left = spark.createDataFrame([(n,) for n in [*names, "hot copper bolt of brass", "abc"]], "n string")
+    right = spark.createDataFrame([(n,) for n in [*names, "hot coper boltt of brass", "xabc"]], "n string")
+    rows, most = broadcast_rows(fuzzy.fuzzy_keys(left, right))
+    found = {(r.a, r.b) for r in rows}
+    assert most < 1000 and (names[0], names[9]) in found and ("hot copper bolt of brass", "hot coper boltt of brass") in found
+    assert all(sum(x != y for x, y in zip(a, b, strict=True)) < 2 for a, b in found if a.startswith("cust"))
+
+
 def test_herb_rules_are_dealt_by_their_rows(spark, monkeypatch):
     monkeypatch.setattr(ingest, "ROWS", 50)
     herbs = spark.range(100).select(F.col("id").alias("herb"), F.lit("any statin or garlicin").alias("term"), F.lit("major").alias("severity")).repartition(1)
