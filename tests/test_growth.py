@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from medloom.operators import graph as G
 from medloom.functions import text
-from medloom.operators import fuzzy, medicines, paths, report, safety, support
+from medloom.operators import fuzzy, medicines, paths, report, resolve, safety, support
 from medloom.plans import queries, reading, standin
 from medloom.sources import ingest
 
@@ -161,6 +161,15 @@ def test_grams_of_names_are_not_broadcast(spark):
     assert all(sum(x != y for x, y in zip(a, b, strict=True)) < 2 for a, b in found if a.startswith("cust"))
 
 
+def test_names_of_a_cascade_are_not_broadcast(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    known = [(f"customer {k:09d}", f"C{k}") for k in range(1500)]
+    names = frame([(n.replace("tom", "tm" if k % 2 else "tom"),) for k, (n, _) in enumerate(known)], "raw string")
+    brands = frame([("some brand", "C1")], "brand string, entity string")
+    rows, most = broadcast_rows(resolve.drug_cascade(names, "raw", frame(known, "key string, entity string"), frame([("syn", "C1")], "key string, entity string"), brands, frame([(f"zz {k}", "Z") for k in range(1500)], "key string, entity string")))
+    assert most < 1000 and {(int(r.raw[-9:]), r.entity, r.match_type) for r in rows} == {(k, f"C{k}", "fuzzy" if k % 2 else "exact") for k in range(1500)}
+
+
 def test_herb_rules_are_dealt_by_their_rows(spark, monkeypatch):
     monkeypatch.setattr(ingest, "ROWS", 50)
     herbs = spark.range(100).select(F.col("id").alias("herb"), F.lit("any statin or garlicin").alias("term"), F.lit("major").alias("severity")).repartition(1)
