@@ -8,10 +8,13 @@ from itertools import product
 
 import numpy as np
 import pytest
+from oracle import TABLES, connection, of_spark, of_sql
 from pyspark.sql import functions as F
 
 from medloom.functions import text as T
 from medloom.operators import audit, canonical, fulltext, fuzzy, packing, paths, resolve, sentinel
+from medloom.plans import linking  # noqa: F401
+from medloom.plans import queries as graph
 
 # --- paths ----------------------------------------------------------------------------------------------------------
 
@@ -116,6 +119,28 @@ def test_ratios_without_a_shared_gram():
         fuzzy.check_ratio(0.5)
 
 
+def test_names_without_a_shared_token_do_not_meet(spark):
+    names = spark.createDataFrame([("abcd e",)], "n string")
+    with pytest.raises(ValueError):
+        fuzzy.fuzzy_keys(names, names, overlap=0.0)
+
+
+def test_pairs_of_odd_names_equal_their_sql(spark, small, tmp_path):
+    """Null, blank and repeated words, names of signs only, and close ones at the bounds of all rules."""
+    rng = random.Random(4)
+    odd = [None, "", "###", "-- ", "a a b c d", "a b c d e", "AB-ab ab x y", "Custmer#000000001", "cust 1 2 3 4", "cust 1 2 3 5", *_names(rng, 30)]
+    for name in TABLES:
+        rows = spark.read.parquet(f"{small}/{name}.parquet")
+        if name == "customer":
+            rows = rows.select("c_custkey", F.element_at(F.array(*[F.lit(n) for n in odd]), (F.col("c_custkey") % len(odd) + 1).cast("int")).alias("c_name"))
+        if name == "part":
+            rows = rows.withColumn("p_type", F.when(F.col("p_partkey") % 7 == 0, None).when(F.col("p_partkey") % 7 == 1, F.lit("#")).otherwise(F.col("p_type")))
+            rows = rows.withColumn("p_name", F.when(F.col("p_partkey") % 11 == 0, None).when(F.col("p_partkey") % 11 == 1, F.lit(" ")).otherwise(F.col("p_name")))
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = of_spark(graph.QUERIES["fuzzy_ratio"](spark, str(tmp_path)))
+    assert got == of_sql(connection(str(tmp_path)), graph.ORACLES["fuzzy_ratio"]) and ("", "") in got and len(got) > 100
+
+
 def test_prefix_pairs_and_families(spark):
     rng = random.Random(2)
     words = lambda n: ["".join(rng.choice("ab") for _ in range(rng.randint(0, 6))) for _ in range(n)]
