@@ -45,6 +45,37 @@ def broadcast_rows(df):
     return rows, most
 
 
+def dealt_rows(df):
+    """Collected rows, and the most rows that one exchange of the executed plan deals out."""
+    rows = df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name, count = node.getClass().getSimpleName(), node.metrics().get("shuffleRecordsWritten")
+        if count.isDefined():
+            most = max(most, count.get().value())
+        todo += [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+    return rows, most
+
+
+def test_transporter_paths_are_not_dealt_out(spark):
+    baskets = spark.range(100).select(F.col("id").alias("patient"), F.explode(F.array(F.lit(1), F.lit(2))).alias("drug"))
+    edges = lambda src: spark.range(600).select(F.lit(src).alias("src"), F.col("id").alias("dst"))
+    rows, most = dealt_rows(support.transporter_paths(baskets, edges(1), edges(2).union(edges(2)), "patient", "drug"))
+    assert len(rows) == 60_000 == len({tuple(r) for r in rows}) and {(r.a, r.b) for r in rows} == {(1, 2)} and most < 3000
+
+
+def test_mids_of_split_rows_and_odd_ends(spark, monkeypatch):
+    monkeypatch.setattr(G, "IN_A_ROW", 3)
+    first = [(d, (d * 7919 + k * 104729) % 300) for d in range(4) for k in range(200)] + [(1, None), (2, 5), (2, 5), (3, 5), (None, 5)]
+    second = [(d, (d * 31 + k * 104729) % 300) for d in range(4) for k in range(200)] + [(0, None), (1, 5), (None, 5)]
+    one, two = (spark.createDataFrame(e, "src long, dst long") for e in (first, second))
+    baskets = spark.createDataFrame([(p, d) for p in (7, 8) for d in range(4) if d != p - 7] + [(7, 1), (None, 1), (None, 2), (7, None)], "p long, d long")
+    found = sorted((r.p, r.a, r.b, r.mid, r.way) for r in G.mids(baskets, [one, two], [(0, 1, "a <> b"), (0, 0, "a < b")], "p", "d", 3).collect())
+    pairs = [(w, x, y) for w, e in enumerate((second, first)) for x, y in product(set(first), set(e)) if None not in (*x, *y) and x[1] == y[1] and (x[0] < y[0] if w else x[0] != y[0])]
+    assert found == sorted((p, a, b, m, w) for p in (7, 8) for w, (a, m), (b, _) in pairs if p - 7 not in (a, b)) and len(found) > 100
+
+
 def test_two_hops_list_no_edges_of_what_does_not_meet(spark):
     baskets = spark.range(100).select(F.col("id").alias("patient"), F.explode(F.array(F.lit(1), F.lit(2))).alias("drug"))
     edges = lambda src, start: spark.range(start, start + 200).select(F.lit(src).alias("src"), F.col("id").alias("dst"))
