@@ -42,8 +42,8 @@ def _grown(ends: DataFrame, edges: DataFrame, open_pairs: DataFrame, end: str) -
     return stored(found.withColumnsRenamed({"nodes": f"{end}_nodes", "rels": f"{end}_rels"}), f"paths-{end}")
 
 
-def _meeting(todo: DataFrame, left: DataFrame, right: DataFrame, links: DataFrame) -> DataFrame:
-    """The paths of open pairs whose frontiers one edge joins. For each pair either both frontiers are paired and the edge is looked
+def _meetings(todo: DataFrame, left: DataFrame, right: DataFrame, links: DataFrame) -> list[DataFrame]:
+    """A table for each way: the paths of open pairs whose frontiers one edge joins. For each pair either both frontiers are paired and the edge is looked
     up, or one of them goes one edge on and is looked up in the other one: whichever lists the fewest rows."""
     degree = links.groupBy("src").agg(F.count("*").alias("n"))
     def size(ends: DataFrame, end: str) -> DataFrame:
@@ -60,7 +60,12 @@ def _meeting(todo: DataFrame, left: DataFrame, right: DataFrame, links: DataFram
     crossed = pick("both").join(left, "a").join(right, "b").join(links, (F.col("a_at") == F.col("src")) & (F.col("b_at") == F.col("dst")))
     from_a = pick("a").join(left, "a").join(links, F.col("a_at") == F.col("src")).join(right.withColumnRenamed("b_at", "dst"), ["b", "dst"])
     from_b = pick("b").join(right, "b").join(links, F.col("b_at") == F.col("dst")).join(left.withColumnRenamed("a_at", "src"), ["a", "src"])
-    return reduce(DataFrame.union, [df.select(columns) for df in (crossed, from_a, from_b)])
+    return [df.select(columns) for df in (crossed, from_a, from_b)]
+
+
+def _meeting(todo: DataFrame, left: DataFrame, right: DataFrame, links: DataFrame) -> DataFrame:
+    """The paths of all ways as one table."""
+    return reduce(DataFrame.union, _meetings(todo, left, right, links))
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 3) -> DataFrame:
@@ -80,9 +85,10 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 3) -> DataFra
             left = _grown(left, links, todo, "a")
         elif hop > 1:
             right = _grown(right, links, todo, "b")
-        meet = _meeting(todo, left, right, links)
         nodes, rels = F.concat("a_nodes", "b_nodes"), F.concat("a_rels", F.array("rel"), "b_rels")
-        met = stored(_smallest(meet, ["a", "b"], nodes, rels), "paths-found")
+        # a pair goes one way only; one way after the other, so that the shuffle files of one are gone before the next one writes
+        met = [stored(_smallest(meet, ["a", "b"], nodes, rels), "paths-found") for meet in _meetings(todo, left, right, links)]
+        met = reduce(DataFrame.union, met)
         found.append(met.select("a", "b", F.lit(hop).alias("hops"), "nodes", "rels"))
         todo = stored(todo.join(met, ["a", "b"], "left_anti"), "paths-open")
     rest = todo.unionByName(asked.where("a is null or b is null"))
