@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from itertools import product
 
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from medloom.operators import graph as G
 from medloom.functions import text
 from medloom.operators import fuzzy, medicines, paths, report, resolve, safety, support
 from medloom.plans import queries, reading, standin
-from medloom.sources import ingest
+from medloom.sources import ingest, shared
 
 
 def most_rows(df):
@@ -300,3 +301,15 @@ def test_entries_without_a_document_are_united(spark):
     for parts in (None, 3):
         found = {r.doc: (r.entry, r.generic_name, [i.name for i in r.ingredients], r.confidence) for r in medicines.merged(spark.createDataFrame(rows, schema), "doc", parts=parts).collect()}
         assert found == {None: (1, "g", ["x", "y"], 0.2), 3: (1, None, [], 0.3)}
+
+
+def test_shuffle_files_go_with_the_step_that_made_them(spark):
+    files = lambda: {f for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = files()
+    for _ in range(3):
+        assert shared.stored(spark.range(2000).repartition(7), "test-step").count() == 2000
+    for _ in range(100):
+        if not any("_data" in f or ".data" in f for f in files() - before):
+            break
+        time.sleep(0.1)
+    assert not any(".data" in f for f in files() - before)
